@@ -26,9 +26,17 @@ from bandstream.schemas import FOLD_CHANGELOG
 # Fixed value: records a sink writes at a time.
 SINK_BATCH = 100
 
-IS_CONFIG = (F.col("side") == "C") & ~F.coalesce("deleted", F.lit(False))
-IS_DROP = (F.col("side") == "C") & F.coalesce("deleted", F.lit(False))
-IS_TICK = F.col("side") == "P"
+
+def is_config() -> Column:
+    return (F.col("side") == "C") & ~F.coalesce("deleted", F.lit(False))
+
+
+def is_drop() -> Column:
+    return (F.col("side") == "C") & F.coalesce("deleted", F.lit(False))
+
+
+def is_tick() -> Column:
+    return F.col("side") == "P"
 
 
 def seed_log(state: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def _fold_timeline(
 ) -> Timeline:
     sizes = {} if min_rows is None else {"min_rows": min_rows}
     line = timeline(_known_keys(log, seed), cuts=cuts, parts=parts, **sizes)
-    line = line.prior(_start=F.when(IS_DROP, F.col("seq")))
+    line = line.prior(_start=F.when(is_drop(), F.col("seq")))
     revision = F.struct(
         F.col("_start").alias("start"),
         F.col("config_event_at").alias("at"),
@@ -80,17 +88,17 @@ def _fold_timeline(
     )
     return line.prior(
         _first=F.when(
-            ~IS_DROP,
+            ~is_drop(),
             F.struct(
                 F.col("_start").alias("start"),
                 (-F.col("seq")).alias("earlier"),
-                IS_TICK.alias("tick"),
+                is_tick().alias("tick"),
             ),
         ),
-        _any=F.when(IS_CONFIG, revision),
-        _positive=F.when(IS_CONFIG & (F.col("config_event_at") > 0), revision),
+        _any=F.when(is_config(), revision),
+        _positive=F.when(is_config() & (F.col("config_event_at") > 0), revision),
         _tick=F.when(
-            IS_TICK, F.struct(F.col("_start").alias("start"), "seq", "price")
+            is_tick(), F.struct(F.col("_start").alias("start"), "seq", "price")
         ),
     )
 
@@ -129,7 +137,7 @@ def fold_steps(
     rows = rows.withColumns(
         {
             "known": known,
-            "accepted": F.when(IS_CONFIG, taken).when(IS_DROP, known).otherwise(True),
+            "accepted": F.when(is_config(), taken).when(is_drop(), known).otherwise(True),
             "old_price": F.col("_tick.price"),
             "old_delta": F.col("_config.delta_percent"),
             "old_config_id": F.col("_config.config_id"),
@@ -137,15 +145,15 @@ def fold_steps(
         }
     )
     changed = (
-        F.when(IS_CONFIG, ~same_value(F.col("old_delta"), F.col("delta_percent")))
-        .when(IS_TICK, ~same_value(F.col("old_price"), F.col("price")))
+        F.when(is_config(), ~same_value(F.col("old_delta"), F.col("delta_percent")))
+        .when(is_tick(), ~same_value(F.col("old_price"), F.col("price")))
         .otherwise(True)
     )
     rows = rows.withColumn("changed", F.col("accepted") & changed)
-    config_taken = IS_CONFIG & F.col("accepted")
+    config_taken = is_config() & F.col("accepted")
     rows = rows.withColumns(
         {
-            "new_price": F.when(IS_TICK, F.col("price")).otherwise(F.col("old_price")),
+            "new_price": F.when(is_tick(), F.col("price")).otherwise(F.col("old_price")),
             "new_delta": F.when(config_taken, F.col("delta_percent")).otherwise(F.col("old_delta")),
             "new_config_id": F.when(config_taken, F.col("id")).otherwise(F.col("old_config_id")),
             "new_config_event_at": F.when(config_taken, F.col("config_event_at")).otherwise(
@@ -158,7 +166,7 @@ def fold_steps(
     return rows.select(
         "symbol_pair",
         "seq",
-        F.when(IS_DROP, "drop").when(IS_CONFIG, "config").otherwise("tick").alias("event"),
+        F.when(is_drop(), "drop").when(is_config(), "config").otherwise("tick").alias("event"),
         "accepted",
         "changed",
         "old_price",
@@ -196,7 +204,7 @@ def fold_state(log: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     last drop per symbol, then the entry over the rows after it.
     """
     rows = _known_keys(log, seed)
-    drops = rows.where(IS_DROP).groupBy("symbol_pair").agg(F.max("seq").alias("_dropped"))
+    drops = rows.where(is_drop()).groupBy("symbol_pair").agg(F.max("seq").alias("_dropped"))
     rows = rows.join(drops, "symbol_pair", "left").where(
         F.col("_dropped").isNull() | (F.col("seq") > F.col("_dropped"))
     )
@@ -207,10 +215,10 @@ def fold_state(log: DataFrame, seed: DataFrame | None = None) -> DataFrame:
         "delta_percent",
     )
     entries = rows.groupBy("symbol_pair").agg(
-        F.min_by(IS_TICK, "seq").alias("_by_tick"),
-        F.max(F.when(IS_CONFIG, revision)).alias("_any"),
-        F.max(F.when(IS_CONFIG & (F.col("config_event_at") > 0), revision)).alias("_positive"),
-        F.max(F.when(IS_TICK, F.struct("seq", "price"))).alias("_tick"),
+        F.min_by(is_tick(), "seq").alias("_by_tick"),
+        F.max(F.when(is_config(), revision)).alias("_any"),
+        F.max(F.when(is_config() & (F.col("config_event_at") > 0), revision)).alias("_positive"),
+        F.max(F.when(is_tick(), F.struct("seq", "price"))).alias("_tick"),
     )
     config = F.when(F.col("_by_tick"), F.col("_positive")).otherwise(F.col("_any"))
     entries = entries.withColumn("_config", config).select(

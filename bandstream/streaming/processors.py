@@ -1,0 +1,168 @@
+"""Per-event changelogs of streams: one state value per symbol.
+
+The update-mode aggregate in ``operators.joins.join_state`` gives one row per
+touched symbol and batch, all inside the JVM.  Where every single event has to
+appear in the output, these processors keep the state of a symbol in the state
+store and walk the batch's rows of that symbol in ``seq`` order.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from bandstream.functions.numeric import add_band
+from bandstream.schemas import CHANGELOG, DELTA, FOLD_CHANGELOG, PRICE
+
+# Processors travel inside the query, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _shape(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
+
+
+JOIN_STATE = _shape(
+    ("config_id", T.LongType()),
+    ("delta_percent", DELTA),
+    ("config_event_at", T.LongType()),
+    ("config_live", T.BooleanType()),
+    ("has_config", T.BooleanType()),
+    ("price", PRICE),
+    ("price_at", T.LongType()),
+    ("price_live", T.BooleanType()),
+)
+
+JOIN_OUT = _shape(
+    ("symbol_pair", T.StringType()),
+    ("config_id", T.LongType()),
+    ("price", PRICE),
+    ("delta_percent", DELTA),
+    ("price_at", T.LongType()),
+    ("config_event_at", T.LongType()),
+    ("op", T.StringType()),
+    ("seq", T.LongType()),
+)
+
+FOLD_ENTRY = _shape(
+    ("config_id", T.LongType()),
+    ("delta_percent", DELTA),
+    ("config_event_at", T.LongType()),
+    ("price", PRICE),
+)
+
+FOLD_OUT = _shape(
+    ("symbol_pair", T.StringType()),
+    ("config_id", T.LongType()),
+    ("price", PRICE),
+    ("delta_percent", DELTA),
+    ("config_event_at", T.LongType()),
+    ("op", T.StringType()),
+    ("seq", T.LongType()),
+)
+
+
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    return sorted(rows, key=lambda row: row["seq"])
+
+
+class JoinProcessor(StatefulProcessor):
+    """Latest config and latest price of a symbol; emits after every event."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("joined", JOIN_STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = self.state.get() if self.state.exists() else None
+        now = dict(zip(JOIN_STATE.names, found)) if found else dict.fromkeys(JOIN_STATE.names)
+        for row in _in_order(rows):
+            was_joined = bool(now["config_live"] and now["price_live"])
+            if row["side"] == "P":
+                now["price"], now["price_at"] = row["price"], row["price_at"]
+                now["price_live"] = not row["deleted"]
+            elif not now["has_config"] or row["config_event_at"] >= now["config_event_at"]:
+                now["has_config"] = True
+                now["config_id"], now["delta_percent"] = row["id"], row["delta_percent"]
+                now["config_event_at"] = row["config_event_at"]
+                now["config_live"] = not row["deleted"]
+            if now["config_live"] and now["price_live"]:
+                shown = {n: now[n] for n in JOIN_OUT.names if n in now}
+                yield Row(**_full(JOIN_OUT, key[0], "U", row["seq"], shown))
+            elif was_joined:
+                yield Row(**_full(JOIN_OUT, key[0], "D", row["seq"], {}))
+        self.state.update(tuple(now[n] for n in JOIN_STATE.names))
+
+    def close(self) -> None:
+        pass
+
+
+class FoldProcessor(StatefulProcessor):
+    """The fold entry of a symbol; emits complete entries that changed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("entry", FOLD_ENTRY)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.state.update(tuple(initialState[n] for n in FOLD_ENTRY.names))
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = self.state.get() if self.state.exists() else None
+        entry = dict(zip(FOLD_ENTRY.names, found)) if found else None
+        for row in _in_order(rows):
+            if row["side"] == "C" and row["deleted"]:
+                gone, entry = entry, None
+                if gone and gone["price"] is not None and gone["delta_percent"] is not None:
+                    yield Row(**_full(FOLD_OUT, key[0], "D", row["seq"], gone))
+                continue
+            if row["side"] == "P":
+                entry = entry or {**dict.fromkeys(FOLD_ENTRY.names), "config_event_at": 0}
+                changed = entry["price"] != row["price"]
+                entry["price"] = row["price"]
+            else:
+                if entry and row["config_event_at"] <= entry["config_event_at"]:
+                    continue
+                entry = entry or dict.fromkeys(FOLD_ENTRY.names)
+                changed = entry["delta_percent"] != row["delta_percent"]
+                entry["config_id"], entry["delta_percent"] = row["id"], row["delta_percent"]
+                entry["config_event_at"] = row["config_event_at"]
+            if changed and entry["price"] is not None and entry["delta_percent"] is not None:
+                yield Row(**_full(FOLD_OUT, key[0], "U", row["seq"], entry))
+        if entry is None:
+            self.state.clear()
+        else:
+            self.state.update(tuple(entry[n] for n in FOLD_ENTRY.names))
+
+    def close(self) -> None:
+        pass
+
+
+def _full(shape: T.StructType, symbol: str, op: str, seq: int, values: dict) -> dict:
+    given = {"symbol_pair": symbol, "op": op, "seq": seq, **values}
+    return {name: given.get(name) for name in shape.names}
+
+
+def _keyed(log_stream: DataFrame):
+    return log_stream.where(F.col("symbol_pair").isNotNull()).groupBy("symbol_pair")
+
+
+def stream_join_changelog(log_stream: DataFrame) -> DataFrame:
+    """Streaming twin of ``join_changelog``."""
+    rows = _keyed(log_stream).transformWithState(JoinProcessor(), JOIN_OUT, "Update", "None")
+    return add_band(rows).select(*CHANGELOG.names)
+
+
+def stream_fold(log_stream: DataFrame, seed: DataFrame | None = None) -> DataFrame:
+    """Streaming twin of ``fold_changelog``; ``seed`` holds restored entries."""
+    initial = None
+    if seed is not None:
+        initial = seed.select("symbol_pair", *FOLD_ENTRY.names).groupBy("symbol_pair")
+    rows = _keyed(log_stream).transformWithState(
+        FoldProcessor(), FOLD_OUT, "Update", "None", initialState=initial
+    )
+    return add_band(rows).select(*FOLD_CHANGELOG.names)
