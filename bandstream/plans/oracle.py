@@ -397,6 +397,80 @@ req AS (
 )"""
 
 
+# The requests one after the other: a list folded with the table as accumulator.
+# A symbol maps to its owner (-1: free), an id to its symbol ('': removed).
+SEQUENTIAL = f"""
+checked AS (
+  SELECT *, op <> 'delete' AND (symbol_pair IS NULL OR length(symbol_pair) > 32
+    OR delta_percent IS NULL OR delta_percent < 0 OR delta_percent >= 1000
+    OR round(delta_percent, 6) <> delta_percent) AS bad
+  FROM req
+),
+named AS (
+  SELECT * FROM cfg WHERE id IN (SELECT id FROM req)
+    OR symbol_pair IN (SELECT symbol_pair FROM req)
+),
+script AS (
+  SELECT [{{'seq': -1::BIGINT, 'op': '', 'id': 0::BIGINT, 'sym': '', 'bad': false,
+           'owner': (SELECT map_from_entries(list((symbol_pair, id))) FROM named),
+           'home': (SELECT map_from_entries(list((id, symbol_pair))) FROM named),
+           'done': []::INTEGER[]}}]
+    || list({{'seq': seq, 'op': op, 'id': id, 'sym': symbol_pair, 'bad': bad,
+            'owner': MAP {{}}::MAP(VARCHAR, BIGINT), 'home': MAP {{}}::MAP(BIGINT, VARCHAR),
+            'done': []::INTEGER[]}} ORDER BY seq) AS steps
+  FROM checked
+),
+played AS (
+  SELECT list_reduce(steps, lambda acc, x: list_transform([
+      CASE WHEN x.bad THEN 400
+        WHEN x.op = 'create' THEN
+          CASE WHEN coalesce(acc.owner[x.sym], -1) = -1 THEN 201 ELSE 409 END
+        WHEN coalesce(acc.home[x.id], '') = '' THEN 404
+        WHEN x.op = 'delete' THEN 204
+        WHEN coalesce(acc.owner[x.sym], -1) IN (-1, x.id) THEN 200
+        ELSE 409 END], lambda st: {{
+      'seq': x.seq, 'op': x.op, 'id': x.id, 'sym': x.sym, 'bad': x.bad,
+      'owner': CASE st
+        WHEN 201 THEN map_concat(acc.owner, MAP {{x.sym: 1000000000000 + x.seq}})
+        WHEN 200 THEN map_concat(acc.owner, MAP {{acc.home[x.id]: -1::BIGINT}}, MAP {{x.sym: x.id}})
+        WHEN 204 THEN map_concat(acc.owner, MAP {{acc.home[x.id]: -1::BIGINT}})
+        ELSE acc.owner END,
+      'home': CASE st
+        WHEN 200 THEN map_concat(acc.home, MAP {{x.id: x.sym}})
+        WHEN 204 THEN map_concat(acc.home, MAP {{x.id: ''}})
+        ELSE acc.home END,
+      'done': list_append(acc.done, st::INTEGER)}})[1]).done AS done
+  FROM script
+),
+statuses AS (
+  SELECT c.*, p.status FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM checked) c
+  JOIN (SELECT unnest(done) AS status, generate_subscripts(done, 1) AS n FROM played) p USING (n)
+),
+outcome AS (
+  SELECT seq, op, symbol_pair, CAST(delta_percent AS DECIMAL(30,6)) AS delta_percent, status,
+         {MID_JANUARY} + seq * 1000 AS touched,
+         CASE WHEN status = 201 THEN (SELECT max(id) FROM cfg)
+           + count(*) FILTER (status = 201) OVER (ORDER BY seq) ELSE id END AS id
+  FROM statuses
+),
+accepted AS (
+  SELECT o.seq, o.op, o.id,
+    CASE WHEN op <> 'delete' THEN o.symbol_pair
+      ELSE coalesce(last_value(CASE WHEN op = 'update' THEN o.symbol_pair END IGNORE NULLS) OVER w,
+                    cfg.symbol_pair) END AS symbol_pair,
+    CASE WHEN op <> 'delete' THEN o.delta_percent
+      ELSE coalesce(last_value(CASE WHEN op = 'update' THEN o.delta_percent END IGNORE NULLS)
+                    OVER w, cfg.delta_percent) END AS delta_percent,
+    CASE WHEN op <> 'delete' THEN o.touched
+      ELSE coalesce(last_value(CASE WHEN op = 'update' THEN o.touched END IGNORE NULLS) OVER w,
+                    cfg.touched) END AS touched
+  FROM outcome o LEFT JOIN cfg ON o.id = cfg.id WHERE status < 300
+  WINDOW w AS (PARTITION BY o.id ORDER BY seq)
+)"""
+
+MUTATIONS = f"WITH {EVENTS}, {REQUESTS}, {CONFIG_TABLE}, {SEQUENTIAL}"
+
+
 def _ttl(expiry: str, as_of: int) -> str:
     return (
         CHANGES
@@ -650,6 +724,26 @@ def oracle() -> dict[str, str]:
                 THEN 'numeric value out of bounds (<3 digits>.<6 digits> expected)' END
               FROM req WHERE op <> 'delete')
             SELECT * FROM checked WHERE message IS NOT NULL""",
+        "mutation_results": f"""{MUTATIONS}
+            SELECT seq, op, id, status, CASE status WHEN 400 THEN 'VALIDATION_FAILED'
+              WHEN 404 THEN 'PRICE_CONFIG_NOT_FOUND' WHEN 409 THEN 'DUPLICATE_SYMBOL_PAIR'
+              END AS error_code FROM outcome""",
+        "mutation_table": f"""{MUTATIONS}
+            SELECT id, symbol_pair, CAST(delta_percent AS DOUBLE) AS delta_percent,
+                   touched AS updated_at
+            FROM {_newest('accepted', 'seq DESC', 'id')} WHERE op <> 'delete'
+            UNION ALL
+            SELECT id, symbol_pair, CAST(delta_percent AS DOUBLE), touched FROM cfg
+            WHERE id NOT IN (SELECT id FROM accepted)""",
+        "outbox_rows": f"""{MUTATIONS}
+            SELECT row_number() OVER (ORDER BY seq) AS id, 'e-' || seq AS event_id,
+                   'PRICE_CONFIG' AS aggregatetype, CAST(id AS VARCHAR) AS aggregateid,
+                   CASE op WHEN 'create' THEN 'PriceConfigCreated' WHEN 'update' THEN
+                     'PriceConfigUpdated' ELSE 'PriceConfigDeleted' END AS type,
+                   '{{"id":' || id || ',"symbolPair":"' || symbol_pair || '","deltaPercent":' ||
+                   CAST(CAST(delta_percent AS DECIMAL(9,6)) AS VARCHAR) || ',"updatedAt":"' ||
+                   strftime(make_timestamp(touched * 1000), {ISO}) || '"}}' AS payload
+            FROM accepted""",
         "stream_full_config": f"""{CHANGES}, {LAST_CHANGE}
             SELECT {SHOW_FULL}, last_seen AS seq FROM last_change
             JOIN (SELECT symbol_pair AS s, max(seq) AS last_seen FROM log GROUP BY 1)
