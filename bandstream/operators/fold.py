@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandstream.functions.numeric import add_band, same_value
+from bandstream.functions.staging import compute_once
 from bandstream.operators.latest import latest_by, merge_streams
 from bandstream.operators.runs import Cuts, Timeline, number_rows, timeline
 from bandstream.schemas import FOLD_CHANGELOG
@@ -122,34 +123,39 @@ def fold_steps(
     known symbol.  ``changed``: a scaled value is different from before.
     """
     rows = _fold_timeline(log, seed, cuts, parts, min_rows).rows()
-    rows = rows.withColumns(
-        {n: _current(n) for n in ("_first", "_any", "_positive", "_tick")}
-    )
-    by_tick = F.coalesce("_first.tick", F.lit(False))
-    rows = rows.withColumn(
-        "_config", F.when(by_tick, F.col("_positive")).otherwise(F.col("_any"))
+    by_tick = F.coalesce(_current("_first")["tick"], F.lit(False))
+    rows = compute_once(
+        rows,
+        {
+            "_known": _current("_first").isNotNull(),
+            "_by_tick": by_tick,
+            "_config": F.when(by_tick, _current("_positive")).otherwise(_current("_any")),
+            "old_price": _current("_tick")["price"],
+        },
     )
-    known = F.col("_first").isNotNull()
-    base = F.when(by_tick, F.coalesce("_config.at", F.lit(0).cast("long"))).otherwise(
+    zero = F.lit(0).cast("long")
+    base = F.when(F.col("_by_tick"), F.coalesce("_config.at", zero)).otherwise(
         F.col("_config.at")
     )
     taken = base.isNull() | (F.col("config_event_at") > base)
-    rows = rows.withColumns(
-        {
-            "known": known,
-            "accepted": F.when(is_config(), taken).when(is_drop(), known).otherwise(True),
-            "old_price": F.col("_tick.price"),
-            "old_delta": F.col("_config.delta_percent"),
-            "old_config_id": F.col("_config.config_id"),
-            "old_config_event_at": F.coalesce("_config.at", F.lit(0).cast("long")),
-        }
-    )
+    old_delta = F.col("_config.delta_percent")
     changed = (
-        F.when(is_config(), ~same_value(F.col("old_delta"), F.col("delta_percent")))
+        F.when(is_config(), taken & ~same_value(old_delta, F.col("delta_percent")))
         .when(is_tick(), ~same_value(F.col("old_price"), F.col("price")))
-        .otherwise(True)
+        .otherwise(F.col("_known"))
+    )
+    rows = compute_once(
+        rows,
+        {
+            "accepted": F.when(is_config(), taken)
+            .when(is_drop(), F.col("_known"))
+            .otherwise(True),
+            "changed": changed,
+            "old_delta": old_delta,
+            "old_config_id": F.col("_config.config_id"),
+            "old_config_event_at": F.coalesce("_config.at", zero),
+        },
     )
-    rows = rows.withColumn("changed", F.col("accepted") & changed)
     config_taken = is_config() & F.col("accepted")
     rows = rows.withColumns(
         {

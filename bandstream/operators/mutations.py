@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandstream.functions.staging import compute_once
 from bandstream.operators.latest import latest_by
 from bandstream.operators.runs import Cuts, hot_cuts, number_rows, timeline
 from bandstream.schemas import DELTA
@@ -47,6 +48,8 @@ EVENT = {
 }
 AGGREGATE_TYPE = "PRICE_CONFIG"
 
+ROUNDS_PER_JOB = 4
+
 
 def field_errors() -> dict[str, Column]:
     """First broken rule per field of a create or update, null when it is fine."""
@@ -132,62 +135,61 @@ def _guess() -> Column:
 
 
 def _entity_before(live: DataFrame, cuts: Cuts) -> DataFrame:
-    """Add ``was``: the last successful update of the same id before each row."""
+    """Add ``was``: the last successful update of the same row before each request."""
     update = F.when(
         F.col("ok") & (F.col("op") == "update"),
         F.struct("seq", "symbol_pair", "delta_percent", "at"),
     )
-    rows = live.where(F.col("op") != "create")
-    known = timeline(rows, "id", "seq", cuts).prior(was=update).rows()
-    created = live.where(F.col("op") == "create")
-    return known.unionByName(created, allowMissingColumns=True)
+    return timeline(live, "entity", "seq", cuts).prior(was=update).rows()
 
 
-def _round(live: DataFrame, by_id: Cuts, by_symbol: Cuts) -> DataFrame:
+def _round(live: DataFrame, by_entity: Cuts, by_symbol: Cuts) -> DataFrame:
     """One pass: outcomes implied by the guesses in ``ok``.
 
     The event rows of a request are what it does to symbols if its guess holds:
-    it takes the one it names, and leaves the one its row had.
+    it takes the one it names, and leaves the one its row had.  The row marked
+    ``main`` stands for the request itself.
     """
-    before = _entity_before(live, by_id).withColumn(
-        "_from", F.coalesce("was.symbol_pair", "home")
+    before = compute_once(
+        _entity_before(live, by_entity), {"_from": F.coalesce("was.symbol_pair", "home")}
     )
-    leaves = F.col("ok") & (
-        ((F.col("op") == "update") & (F.col("_from") != F.col("symbol_pair")))
-        | (F.col("op") == "delete")
+    renames = (
+        (F.col("op") == "update") & F.col("ok") & (F.col("_from") != F.col("symbol_pair"))
     )
-    owner = F.when(F.col("op") == "create", -F.col("seq") - 1).otherwise(F.col("id"))
+    removes = F.col("op") == "delete"
+    gone = F.lit(None).cast("long")
+
+    def event(owner: Column) -> Column:
+        return F.struct("seq", owner.alias("owner"))
+
     take = F.when(
-        F.col("op") != "delete",
+        ~removes,
         F.struct(
             F.col("symbol_pair").alias("symbol"),
-            F.when(F.col("ok"), F.struct("seq", owner.alias("owner"))).alias("event"),
-            F.lit(True).alias("asks"),
+            F.when(F.col("ok"), event(F.col("entity"))).alias("event"),
+            F.lit(True).alias("main"),
         ),
     )
     leave = F.when(
-        leaves,
-        F.struct(
-            F.col("_from").alias("symbol"),
-            F.struct("seq", F.lit(None).cast("long").alias("owner")).alias("event"),
-            F.lit(False).alias("asks"),
-        ),
+        renames | removes,
+        F.struct(F.col("_from").alias("symbol"), event(gone).alias("event"), removes.alias("main")),
     )
-    kept = [c for c in live.columns]
-    rows = before.select(*kept, F.explode(F.array_compact(F.array(take, leave))).alias("_s"))
-    rows = rows.withColumns({"_symbol": F.col("_s.symbol"), "_event": F.col("_s.event")})
-    rows = timeline(rows, "_symbol", "seq", by_symbol).prior(_last=F.col("_event")).rows()
+    kept = live.columns
+    rows = before.select(*kept, F.inline(F.array_compact(F.array(take, leave))))
+    rows = timeline(rows, "symbol", "seq", by_symbol).prior(_last=F.col("event")).rows()
     holder = F.when(F.col("_last").isNull(), F.col("owner0")).otherwise(F.col("_last.owner"))
     free = holder.isNull()
-    outcome = F.when(F.col("op") == "update", free | (holder == F.col("id"))).otherwise(free)
-    asked = rows.where(F.col("_s.asks")).withColumn("_outcome", outcome)
-    deletes = before.where(F.col("op") == "delete").select(*kept)
-    settled = asked.select(
+    outcome = (
+        F.when(removes, True)
+        .when(F.col("op") == "update", free | (holder == F.col("id")))
+        .otherwise(free)
+    )
+    judged = compute_once(rows.where("main"), {"_outcome": outcome})
+    return judged.select(
         *[c for c in kept if c not in ("ok", "moved")],
         F.col("_outcome").alias("ok"),
         (F.col("_outcome") != F.col("ok")).alias("moved"),
     )
-    return settled.unionByName(deletes.withColumn("moved", F.lit(False)))
 
 
 def apply_requests(
@@ -214,20 +216,26 @@ def apply_requests(
 
     staged = saved(_staged(configs, requests.withColumn("at", at)), "staged")
     contested = (F.col("op") == "create") | F.col("alive")
+    # a create makes a row of its own; table ids are not negative
+    entity = F.when(F.col("op") == "create", -F.col("seq") - 1).otherwise(F.col("id"))
     live = staged.where(~F.col("invalid") & contested).withColumns(
-        {"ok": _guess(), "moved": F.lit(True)}
+        {"ok": _guess(), "moved": F.lit(True), "entity": entity}
     )
-    by_id = hot_cuts(live.where(F.col("id").isNotNull()), "id", "seq", parts, **sizes)
+    by_entity = hot_cuts(live, "entity", "seq", parts, **sizes)
     by_symbol = hot_cuts(live, "symbol_pair", "seq", parts, **sizes)
 
+    # Rounds without cut keys are a chain of two shuffles each: run a few per job.
+    chained = 1 if by_entity.bounds or by_symbol.bounds else ROUNDS_PER_JOB
     rounds = 0
     while True:
-        live = saved(_round(live, by_id, by_symbol), f"round={rounds}")
-        rounds += 1
+        for _ in range(chained):
+            live = _round(live, by_entity, by_symbol)
+        rounds += chained
+        live = saved(live, f"round={rounds}")
         if live.where("moved").isEmpty():
             break
 
-    final = saved(_entity_before(live, by_id), "final")
+    final = saved(_entity_before(live, by_entity), "final")
     last_id = configs.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
     created = number_rows(
         final.where((F.col("op") == "create") & F.col("ok")), parts=parts, **sizes

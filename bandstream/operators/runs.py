@@ -55,10 +55,10 @@ class Cuts:
         longest = max(map(len, self.bounds.values()))
         return [1 << b for b in reversed(range(longest.bit_length()))]
 
-    def table(self, spark: SparkSession) -> DataFrame:
+    def table(self, spark: SparkSession, key: str) -> DataFrame:
         schema = T.StructType(
             [
-                T.StructField(self.key, self.kind),
+                T.StructField(key, self.kind),
                 T.StructField("_bounds", T.ArrayType(T.LongType(), False)),
             ]
         )
@@ -181,7 +181,7 @@ def timeline(
     if cuts is None:
         cuts = hot_cuts(df, key, seq, parts, min_rows)
     if cuts.bounds:
-        df = df.join(F.broadcast(cuts.table(df.sparkSession)), key, "left")
+        df = df.join(F.broadcast(cuts.table(df.sparkSession, key)), key, "left")
         df = df.withColumn(
             SEGMENT, _segment_of(F.col("_bounds"), F.col(seq), cuts.steps)
         ).drop("_bounds")

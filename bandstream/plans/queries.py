@@ -166,13 +166,13 @@ def _line_log(spark, sf_dir):
 
 @query
 def compact(spark, sf_dir):
-    """Changelog of all line ticks, stored in two batches with a compaction between."""
+    """Changelog of all line ticks, stored in two batches; the first is compacted."""
     changes = joins.join_changelog(_line_log(spark, sf_dir))
     middle = fixtures.line_ticks(spark, sf_dir).agg(F.avg("seq")).first()[0]
     store = CompactedChangelog(spark, scratch_path(spark, "compact"), CHANGELOG)
-    store.append(changes.where(F.col("seq") <= middle), 0)
-    store.compact()
-    store.append(changes.where(F.col("seq") > middle), 1)
+    late = (F.col("seq") > middle).cast("long")
+    store.append_batches(changes.withColumn("batch", late), "batch", [0, 1])
+    store.compact(upto=0)
     return store.read().drop("seq")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandstream.functions.staging import compute_once
 from bandstream.schemas import DELTA
 from bandstream.sources.records import arrival
 
@@ -29,14 +30,21 @@ def deleted_flag(event_type: Column) -> Column:
     return F.when(event_type.isin(*KEEPS), False).when(event_type.isin(*DROPS), True)
 
 
-def unwrap(value: Column) -> Column:
-    """The JSON document, or its ``payload`` member where it has one.
+def _parsed(raw: DataFrame) -> DataFrame:
+    """Add the JSON document, or its ``payload`` member where it has one.
 
     A ``payload`` of JSON null counts as present, so such a record has no
     fields.
     """
-    root = F.try_parse_json(value)
-    return F.coalesce(F.try_variant_get(root, "$.payload", "variant"), root)
+    root = compute_once(
+        raw,
+        {
+            "event_type": last_header(F.col("headers"), TYPE_HEADER),
+            "_root": F.try_parse_json("value"),
+        },
+    )
+    inner = F.try_variant_get(F.col("_root"), "$.payload", "variant")
+    return compute_once(root, {"_body": F.coalesce(inner, "_root")}).drop("_root")
 
 
 def _text(body: Column, name: str) -> Column:
@@ -45,31 +53,32 @@ def _text(body: Column, name: str) -> Column:
 
 def raw_fields(raw: DataFrame) -> DataFrame:
     """Each record with its event type and the texts of its four fields."""
-    staged = raw.withColumns(
-        {"event_type": last_header(F.col("headers"), TYPE_HEADER), "_body": unwrap(F.col("value"))}
-    )
-    return staged.withColumns(
+    body = F.col("_body")
+    texts = compute_once(
+        _parsed(raw),
         {
-            "_id": _text(F.col("_body"), "id"),
-            "_symbol": _text(F.col("_body"), "symbolPair"),
-            "_delta": _text(F.col("_body"), "deltaPercent"),
-            "_at": _text(F.col("_body"), "updatedAt"),
-            "_json": F.col("_body").isNotNull(),
-        }
+            "_id": _text(body, "id"),
+            "_symbol": _text(body, "symbolPair"),
+            "_delta": _text(body, "deltaPercent"),
+            "_at": _text(body, "updatedAt"),
+            "_json": body.isNotNull(),
+        },
     )
+    return texts.drop("_body")
 
 
 def _typed(rows: DataFrame) -> DataFrame:
     instant = F.when(F.col("_at").rlike(INSTANT), F.col("_at")).try_cast("timestamp")
     exact = F.when(F.col("_delta") == F.trim("_delta"), F.col("_delta"))
-    return rows.withColumns(
+    return compute_once(
+        rows,
         {
             "id": F.col("_id").try_cast("long"),
             "symbol_pair": F.col("_symbol"),
             "delta_percent": exact.try_cast(DELTA),
             "_millis": F.unix_millis(instant),
             "deleted": deleted_flag(F.col("event_type")),
-        }
+        },
     ).withColumn("config_event_at", F.coalesce("_millis", F.lit(0).cast("long")))
 
 

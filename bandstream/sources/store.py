@@ -45,6 +45,19 @@ class CompactedChangelog:
         rows.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
         self._mark(spark, f"commits/batch_id={batch_id}", batch_id)
 
+    def append_batches(self, changes: DataFrame, batch_col: str, batch_ids: list[int]) -> None:
+        """Append a changelog that spans the batches ``batch_ids``, in one pass."""
+        rows = changes.select(*self.schema.names, F.col(batch_col).alias("batch_id"))
+        (
+            rows.where(F.col("batch_id").isin(batch_ids))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id")
+            .parquet(f"{self.path}/log")
+        )
+        for batch_id in batch_ids:
+            self._mark(changes.sparkSession, f"commits/batch_id={batch_id}", batch_id)
+
     def _mark(self, spark: SparkSession, where: str, upto: int) -> None:
         row = spark.range(1).select(F.lit(upto).cast("long").alias("upto")).coalesce(1)
         row.write.mode("overwrite").parquet(f"{self.path}/{where}")
@@ -102,11 +115,14 @@ class CompactedChangelog:
         kept = base.join(tail.select(self.key), self.key, "left_anti")
         return kept.unionByName(live)
 
-    def compact(self) -> int:
-        """Write a new base that covers every committed batch; returns its version."""
-        newest = self.commits().agg(F.max("batch_id")).first()[0]
-        version, upto = self._base(None)
-        if newest is None or newest == upto:
+    def compact(self, upto: int | None = None) -> int:
+        """Write a new base of the committed batches (up to ``upto``); returns its version."""
+        commits = self.commits()
+        if upto is not None:
+            commits = commits.where(F.col("batch_id") <= upto)
+        newest = commits.agg(F.max("batch_id")).first()[0]
+        version, covered = self._base(None)
+        if newest is None or newest <= covered:
             return -1 if version is None else version
         new = 1 if version is None else version + 1
         self.read(newest).write.mode("overwrite").parquet(f"{self.path}/base/version={new}")
