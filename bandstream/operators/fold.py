@@ -110,18 +110,23 @@ def _current(entry: str) -> Column:
     return F.when(here, F.col(entry))
 
 
-def fold_steps(
-    log: DataFrame,
-    seed: DataFrame | None = None,
-    cuts: Cuts | None = None,
-    parts: int | None = None,
-    min_rows: int | None = None,
-) -> DataFrame:
+def fold_steps(log: DataFrame, seed: DataFrame | None = None, **sizes) -> DataFrame:
     """Every log row with the entry before it and what it does to the entry.
 
     ``accepted``: the revision was taken, or the row is a tick or a drop of a
     known symbol.  ``changed``: a scaled value is different from before.
     """
+    steps = _all_steps(log, seed, **sizes)
+    return steps if seed is None else steps.where(F.col("seq") >= 0)
+
+
+def _all_steps(
+    log: DataFrame,
+    seed: DataFrame | None,
+    cuts: Cuts | None = None,
+    parts: int | None = None,
+    min_rows: int | None = None,
+) -> DataFrame:
     rows = _fold_timeline(log, seed, cuts, parts, min_rows).rows()
     by_tick = F.coalesce(_current("_first")["tick"], F.lit(False))
     rows = compute_once(
@@ -167,8 +172,6 @@ def fold_steps(
             ),
         }
     )
-    if seed is not None:
-        rows = rows.where(F.col("seq") >= 0)
     return rows.select(
         "symbol_pair",
         "seq",
@@ -203,37 +206,23 @@ def fold_changelog(log: DataFrame, seed: DataFrame | None = None, **sizes) -> Da
     return add_band(emitted).select(*FOLD_CHANGELOG.names)
 
 
-def fold_state(log: DataFrame, seed: DataFrame | None = None) -> DataFrame:
+def fold_state(log: DataFrame, seed: DataFrame | None = None, **sizes) -> DataFrame:
     """All entries at the end of the log, complete (``presented``) or not.
 
-    Aggregates only, so a hot symbol is combined on the map side: first the
-    last drop per symbol, then the entry over the rows after it.
+    The last row of each symbol, unless that row dropped it.  Going through the
+    running state keeps a hot symbol split; the reduction to the last row is a
+    hash aggregate that combines before it shuffles.
     """
-    rows = _known_keys(log, seed)
-    drops = rows.where(is_drop()).groupBy("symbol_pair").agg(F.max("seq").alias("_dropped"))
-    rows = rows.join(drops, "symbol_pair", "left").where(
-        F.col("_dropped").isNull() | (F.col("seq") > F.col("_dropped"))
-    )
-    revision = F.struct(
-        F.col("config_event_at").alias("at"),
-        (-F.col("seq")).alias("earlier"),
-        F.col("id").alias("config_id"),
-        "delta_percent",
-    )
-    entries = rows.groupBy("symbol_pair").agg(
-        F.min_by(is_tick(), "seq").alias("_by_tick"),
-        F.max(F.when(is_config(), revision)).alias("_any"),
-        F.max(F.when(is_config() & (F.col("config_event_at") > 0), revision)).alias("_positive"),
-        F.max(F.when(is_tick(), F.struct("seq", "price"))).alias("_tick"),
-    )
-    config = F.when(F.col("_by_tick"), F.col("_positive")).otherwise(F.col("_any"))
-    entries = entries.withColumn("_config", config).select(
+    steps = _all_steps(log, seed, **sizes).select(
         "symbol_pair",
-        F.col("_config.config_id").alias("config_id"),
-        F.col("_tick.price").alias("price"),
-        F.col("_config.delta_percent").alias("delta_percent"),
-        F.coalesce("_config.at", F.lit(0).cast("long")).alias("config_event_at"),
+        "seq",
+        (F.col("event") == "drop").alias("gone"),
+        F.col("new_config_id").alias("config_id"),
+        F.col("new_price").alias("price"),
+        F.col("new_delta").alias("delta_percent"),
+        F.col("new_config_event_at").alias("config_event_at"),
     )
+    entries = latest_by(steps, ["symbol_pair"], ["seq"]).where(~F.col("gone"))
     return add_band(entries).select(
         "symbol_pair",
         "config_id",

@@ -106,7 +106,8 @@ def _staged(configs: DataFrame, requests: DataFrame) -> DataFrame:
     )
     owners = configs.select(F.col("symbol_pair"), F.col("id").alias("owner0"))
     by_id = requests.where(F.col("id").isNotNull() & (F.col("op") != "create"))
-    targeted = by_id.join(homes, "id", "left").join(gone, "id", "left")
+    # one join of the log per key, so that a hot id can be split at run time
+    targeted = by_id.join(homes.join(gone, "id", "left"), "id", "left")
     targeted = targeted.withColumn(
         "alive",
         F.col("home").isNotNull()
@@ -243,11 +244,13 @@ def apply_requests(
     others = final.where((F.col("op") != "create") | ~F.col("ok")).withColumn(
         "row_id", F.col("id")
     )
-    decided = saved(created.unionByName(others), "decided")
+    named = F.expr("uuid()") if event_id is None else event_id
+    # saved with their event ids: a random id must not change on a second read
+    decided = saved(created.unionByName(others).withColumn("event_id", named), "decided")
 
     results = _results(staged, decided)
     accepted = decided.where("ok")
-    outbox = number_rows(_outbox(accepted, event_id), parts=parts, **sizes)
+    outbox = number_rows(_outbox(accepted), parts=parts, **sizes)
     outbox = outbox.withColumn("id", F.col("position") + F.lit(first_outbox_id)).select(
         "id", "event_id", "aggregatetype", "aggregateid", "type", "payload"
     )
@@ -294,7 +297,7 @@ def _row_after() -> dict[str, Column]:
     }
 
 
-def _outbox(accepted: DataFrame, event_id: Column | None) -> DataFrame:
+def _outbox(accepted: DataFrame) -> DataFrame:
     """An outbox row per accepted request; a delete carries the row it removed."""
     after = _row_after()
     kind = F.lit(None).cast("string")
@@ -319,7 +322,7 @@ def _outbox(accepted: DataFrame, event_id: Column | None) -> DataFrame:
     )
     return accepted.select(
         "seq",
-        (F.expr("uuid()") if event_id is None else event_id).alias("event_id"),
+        "event_id",
         F.lit(AGGREGATE_TYPE).alias("aggregatetype"),
         F.col("row_id").cast("string").alias("aggregateid"),
         kind.alias("type"),

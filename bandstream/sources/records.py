@@ -27,9 +27,10 @@ POLL_RECORDS = 500
 _CORRUPT = "_corrupt_record"
 
 
-# A micro-batch is bounded, so that a backlog is read in steps.
-BATCH_RECORDS = 10_000_000
-BATCH_BYTES = 1 << 30
+# A micro-batch is bounded, so that a backlog is read in steps and one symbol's
+# share of it fits the task that keeps its state.
+BATCH_RECORDS = 1_000_000
+BATCH_BYTES = 1 << 26
 
 
 def kafka_stream(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bandstream.functions.text import epoch_millis
 from bandstream.schemas import PRICE_CONFIG
@@ -59,3 +60,30 @@ def to_config_events(configs: DataFrame, deleted: bool = False, seq: int = -1) -
         F.lit(deleted).alias("deleted"),
         F.lit(seq).cast("long").alias("seq"),
     )
+
+
+def commit_together(path: str, batch_id: int, tables: dict[str, DataFrame]) -> None:
+    """Write several tables as one unit: nobody reads any before all are there.
+
+    Each goes below its own folder under ``batch_id``; the commit row comes
+    last, and doing a batch again replaces it.
+    """
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+    spark = next(iter(tables.values())).sparkSession
+    mark = spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).coalesce(1)
+    mark.write.mode("overwrite").parquet(f"{path}/_done/{batch_id}")
+
+
+def read_committed(
+    spark: SparkSession, path: str, name: str, schema: T.StructType, whole: bool = False
+) -> DataFrame:
+    """The newest committed version of a table, or (``whole``) all its batches."""
+    done = spark.read.schema("batch_id long").parquet(f"{path}/_done/*")
+    shape = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(shape).parquet(f"{path}/{name}")
+    if whole:
+        rows = rows.join(done, "batch_id", "left_semi")
+    else:
+        rows = rows.where(F.col("batch_id") == done.agg(F.max("batch_id")).first()[0])
+    return rows.drop("batch_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bandstream.operators.latest import collapse
-from bandstream.operators.push import push, push_payload
+from bandstream.operators.push import poll_batches, push, push_payload
 from bandstream.sources.store import CompactedChangelog
 
 log = logging.getLogger(__name__)
@@ -22,18 +22,23 @@ def project_into(store: CompactedChangelog, transport: Callable | None = None):
     """A ``foreachBatch`` function: collapse the batch, store it, push it.
 
     Storing under the batch id makes a redelivered batch harmless, and an error
-    there fails the batch so that it is delivered again.  A failed push is
-    logged and dropped.
+    there fails the batch so that it is delivered again.  Pushes hold as many
+    records as a listener polls; a failed push is logged and dropped.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.append(collapse(batch), batch_id)
-        if transport is not None:
+        if transport is None:
+            store.append(collapse(batch), batch_id)
+            return
+        batch.persist()
+        try:
+            store.append(collapse(batch), batch_id)
             try:
-                whole = batch.withColumn("batch", F.lit(batch_id))
-                push(push_payload(whole), transport)
+                push(push_payload(poll_batches(batch)), transport)
             except Exception:
                 log.exception("push of batch %s failed", batch_id)
+        finally:
+            batch.unpersist()
 
     return write
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandstream.operators.mutations import apply_requests, validation_errors
-from bandstream.sources.tables import find_by, lookup
+from bandstream.schemas import OUTBOX, PRICE_CONFIG
+from bandstream.session import scratch_path
+from bandstream.sources.tables import commit_together, find_by, lookup, read_committed
 
 REQUEST = "seq long, op string, id long, symbol_pair string, delta_percent decimal(38,18)"
 CONFIG = "id long, symbol_pair string, delta_percent decimal(9,6), updated_at timestamp"
@@ -105,6 +107,19 @@ def test_invalid_requests_are_refused_first(spark):
     }
 
 
+def test_table_and_outbox_commit_as_one(spark):
+    rows = [{"seq": 1, "op": "create", "id": None, "symbol_pair": "B", "delta_percent": Decimal("2")}]
+    path = scratch_path(spark, "unit")
+    done = apply(spark, {1: ("A", Decimal(1))}, rows)
+    unit = {"configs": done.configs, "outbox": done.outbox}
+    commit_together(path, 0, unit)
+    commit_together(path, 0, unit)
+    done.outbox.write.parquet(f"{path}/outbox/batch_id=1")
+    table_ = read_committed(spark, path, "configs", PRICE_CONFIG)
+    assert sorted(r["symbol_pair"] for r in table_.collect()) == ["A", "B"]
+    assert read_committed(spark, path, "outbox", OUTBOX, whole=True).count() == 1
+
+
 def test_lookups(spark):
     configs = table(spark, {1: ("A", Decimal(1)), 2: ("B", Decimal(2))})
     keys = spark.createDataFrame([("B",), ("Z",)], "symbol_pair string")
