@@ -7,7 +7,7 @@ maxima over the earlier rows of the symbol, because
 * the accepted revisions of an entry are the strict records of its timestamps,
   so the current one is the earliest row that reaches the running maximum;
 * an entry that a tick opened starts at timestamp 0, so only positive
-  timestamps can be accepted there;
+  timestamps can be accepted there, and if the maximum is not positive none was;
 * putting the entry's start in front of every ordering makes any value of a
   later entry beat all values of earlier ones, and a value whose start is not
   the current one belongs to an entry that is gone.
@@ -80,27 +80,22 @@ def _fold_timeline(
     sizes = {} if min_rows is None else {"min_rows": min_rows}
     line = timeline(_known_keys(log, seed), cuts=cuts, parts=parts, **sizes)
     line = line.prior(_start=F.when(is_drop(), F.col("seq")))
-    revision = F.struct(
-        F.col("_start").alias("start"),
-        F.col("config_event_at").alias("at"),
-        (-F.col("seq")).alias("earlier"),
-        F.col("id").alias("config_id"),
-        "delta_percent",
-    )
+    start = F.col("_start").alias("start")
     return line.prior(
         _first=F.when(
-            ~is_drop(),
+            ~is_drop(), F.struct(start, (-F.col("seq")).alias("earlier"), is_tick().alias("tick"))
+        ),
+        _revision=F.when(
+            is_config(),
             F.struct(
-                F.col("_start").alias("start"),
+                start,
+                F.col("config_event_at").alias("at"),
                 (-F.col("seq")).alias("earlier"),
-                is_tick().alias("tick"),
+                F.col("id").alias("config_id"),
+                "delta_percent",
             ),
         ),
-        _any=F.when(is_config(), revision),
-        _positive=F.when(is_config() & (F.col("config_event_at") > 0), revision),
-        _tick=F.when(
-            is_tick(), F.struct(F.col("_start").alias("start"), "seq", "price")
-        ),
+        _tick=F.when(is_tick(), F.struct(start, "seq", "price")),
     )
 
 
@@ -129,61 +124,53 @@ def _all_steps(
 ) -> DataFrame:
     rows = _fold_timeline(log, seed, cuts, parts, min_rows).rows()
     by_tick = F.coalesce(_current("_first")["tick"], F.lit(False))
+    # an entry opened by a tick is at time 0: what is not above that was refused
+    refused = by_tick & (_current("_revision")["at"] <= 0)
+    config, tick = F.col("_revision_own"), F.col("_tick_own")
     rows = compute_once(
-        rows,
+        rows.select("symbol_pair", "seq", "_start", "_first", "_revision", "_tick",
+                    "_revision_own", "_tick_own"),
         {
+            "event": F.when(config.isNotNull(), "config")
+            .when(tick.isNotNull(), "tick")
+            .otherwise("drop"),
             "_known": _current("_first").isNotNull(),
             "_by_tick": by_tick,
-            "_config": F.when(by_tick, _current("_positive")).otherwise(_current("_any")),
+            "_config": F.when(~F.coalesce(refused, F.lit(False)), _current("_revision")),
             "old_price": _current("_tick")["price"],
         },
     )
+    is_revision, is_price = F.col("event") == "config", F.col("event") == "tick"
     zero = F.lit(0).cast("long")
     base = F.when(F.col("_by_tick"), F.coalesce("_config.at", zero)).otherwise(
         F.col("_config.at")
     )
-    taken = base.isNull() | (F.col("config_event_at") > base)
+    taken = base.isNull() | (config["at"] > base)
     old_delta = F.col("_config.delta_percent")
-    changed = (
-        F.when(is_config(), taken & ~same_value(old_delta, F.col("delta_percent")))
-        .when(is_tick(), ~same_value(F.col("old_price"), F.col("price")))
-        .otherwise(F.col("_known"))
-    )
     rows = compute_once(
         rows,
         {
-            "accepted": F.when(is_config(), taken)
-            .when(is_drop(), F.col("_known"))
-            .otherwise(True),
-            "changed": changed,
+            "accepted": F.when(is_revision, taken).when(is_price, True).otherwise(F.col("_known")),
+            "changed": F.when(is_revision, taken & ~same_value(old_delta, config["delta_percent"]))
+            .when(is_price, ~same_value(F.col("old_price"), tick["price"]))
+            .otherwise(F.col("_known")),
             "old_delta": old_delta,
-            "old_config_id": F.col("_config.config_id"),
-            "old_config_event_at": F.coalesce("_config.at", zero),
         },
     )
-    config_taken = is_config() & F.col("accepted")
-    rows = rows.withColumns(
-        {
-            "new_price": F.when(is_tick(), F.col("price")).otherwise(F.col("old_price")),
-            "new_delta": F.when(config_taken, F.col("delta_percent")).otherwise(F.col("old_delta")),
-            "new_config_id": F.when(config_taken, F.col("id")).otherwise(F.col("old_config_id")),
-            "new_config_event_at": F.when(config_taken, F.col("config_event_at")).otherwise(
-                F.col("old_config_event_at")
-            ),
-        }
-    )
+    replaced = is_revision & F.col("accepted")
+    now = F.when(replaced, config).otherwise(F.col("_config"))
     return rows.select(
         "symbol_pair",
         "seq",
-        F.when(is_drop(), "drop").when(is_config(), "config").otherwise("tick").alias("event"),
+        "event",
         "accepted",
         "changed",
         "old_price",
         "old_delta",
-        "new_price",
-        "new_delta",
-        "new_config_id",
-        "new_config_event_at",
+        F.when(is_price, tick["price"]).otherwise(F.col("old_price")).alias("new_price"),
+        F.when(replaced, config["delta_percent"]).otherwise(F.col("old_delta")).alias("new_delta"),
+        now["config_id"].alias("new_config_id"),
+        F.coalesce(now["at"], zero).alias("new_config_event_at"),
     )
 
 

@@ -148,11 +148,13 @@ def join_changelog(
     line = timeline(
         log.where(F.col("symbol_pair").isNotNull()), cuts=cuts, parts=parts, **sizes
     ).prior(_config0=config_entry(), _price0=price_entry())
-    state = line.rows().withColumns(
-        {
-            "_config": F.greatest("_config0", config_entry()),
-            "_price": F.greatest("_price0", price_entry()),
-        }
+    state = line.rows().select(
+        "symbol_pair",
+        "seq",
+        "_config0",
+        "_price0",
+        F.greatest("_config0", "_config0_own").alias("_config"),
+        F.greatest("_price0", "_price0_own").alias("_price"),
     )
     now = _present("_config") & _present("_price")
     was = _present("_config0") & _present("_price0")

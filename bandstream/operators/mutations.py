@@ -141,7 +141,7 @@ def _entity_before(live: DataFrame, cuts: Cuts) -> DataFrame:
         F.col("ok") & (F.col("op") == "update"),
         F.struct("seq", "symbol_pair", "delta_percent", "at"),
     )
-    return timeline(live, "entity", "seq", cuts).prior(was=update).rows()
+    return timeline(live, "entity", "seq", cuts).prior(was=update).rows().drop("was_own")
 
 
 def _round(live: DataFrame, by_entity: Cuts, by_symbol: Cuts) -> DataFrame:

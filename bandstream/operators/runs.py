@@ -135,21 +135,22 @@ class Timeline:
         """Add, per name, the maximum of the value over all earlier rows of the key.
 
         Nulls do not count; the result is null where no earlier row has a value.
+        The row's own value is added too, as ``{name}_own``: it has to cross the
+        shuffle anyway, so reading it there spares the columns it is made of.
         """
-        names = {f"_own_{name}": value for name, value in values.items()}
-        df = self.df.withColumns(names)
+        df = self.df.withColumns({f"{name}_own": value for name, value in values.items()})
         groups = [self.key, SEGMENT] if self.cut else [self.key]
         before = (
             Window.partitionBy(*groups)
             .orderBy(self.seq)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        out = df.withColumns({n: F.max(f"_own_{n}").over(before) for n in values})
+        out = df.withColumns({n: F.max(f"{n}_own").over(before) for n in values})
         if self.cut:
             ends = (
                 df.where(F.col(SEGMENT) > 0)
                 .groupBy(self.key, SEGMENT)
-                .agg(*[F.max(f"_own_{n}").alias(f"_in_{n}") for n in values])
+                .agg(*[F.max(f"{n}_own").alias(f"{n}_in") for n in values])
             )
             earlier = (
                 Window.partitionBy(self.key)
@@ -157,13 +158,13 @@ class Timeline:
                 .rowsBetween(Window.unboundedPreceding, -1)
             )
             carried = ends.withColumns(
-                {f"_in_{n}": F.max(f"_in_{n}").over(earlier) for n in values}
+                {f"{n}_in": F.max(f"{n}_in").over(earlier) for n in values}
             )
             # at most 2 * parts rows
             out = out.join(F.broadcast(carried), [self.key, SEGMENT], "left")
-            out = out.withColumns({n: F.greatest(n, f"_in_{n}") for n in values})
-            out = out.drop(*[f"_in_{n}" for n in values])
-        return Timeline(out.drop(*names), self.key, self.seq, self.cuts)
+            out = out.withColumns({n: F.greatest(n, f"{n}_in") for n in values})
+            out = out.drop(*[f"{n}_in" for n in values])
+        return Timeline(out, self.key, self.seq, self.cuts)
 
 
 def timeline(

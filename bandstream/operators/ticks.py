@@ -19,4 +19,4 @@ def tick_direction(ticks: DataFrame, **sizes) -> DataFrame:
     move = F.col("price") - F.col("_last.price")
     return line.rows().withColumn(
         "direction", F.when(move > 0, "up").when(move < 0, "down")
-    ).drop("_last")
+    ).drop("_last", "_last_own")
