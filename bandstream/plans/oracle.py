@@ -519,7 +519,7 @@ def oracle() -> dict[str, str]:
             FROM msg""",
         "snapshot_scan": f"""WITH {CONFIG_TABLE}
             SELECT id, symbol_pair, CAST(delta_percent AS DOUBLE) AS delta_percent,
-                   touched AS config_event_at, false AS deleted, -1 AS seq FROM cfg""",
+                   touched AS config_event_at, false AS deleted, CAST(-1 AS BIGINT) AS seq FROM cfg""",
         "price_table": f"""WITH {ORDER_TICKS}
             SELECT symbol_pair, CAST(price AS DOUBLE) AS price, price_at, seq
             FROM {_newest('ticks', 'seq DESC')}""",
@@ -550,7 +550,7 @@ def oracle() -> dict[str, str]:
             SELECT 'stream.PRICE_CONFIG.snapshot' AS topic, symbol_pair AS key,
                    '{{"id":' || id || ',"symbolPair":"' || symbol_pair || '","deltaPercent":' ||
                    CAST(delta_percent AS VARCHAR) || ',"configEventAt":' || touched ||
-                   ',"deleted":false}}' AS value, -1 AS seq FROM cfg""",
+                   ',"deleted":false}}' AS value, CAST(-1 AS BIGINT) AS seq FROM cfg""",
         "publish_prices": f"""WITH {ORDER_TICKS}
             SELECT 'stream.MARKET_PRICE.events' AS topic, symbol_pair AS key,
                    '{{"symbolPair":"' || symbol_pair || '","price":' || {scaled8('price')} ||
@@ -641,7 +641,7 @@ def oracle() -> dict[str, str]:
                    CAST(p.p_size AS DOUBLE) AS delta_percent,
                    {low('price', 'CAST(p.p_size AS DECIMAL(9,6))')} AS low_price,
                    {high('price', 'CAST(p.p_size AS DECIMAL(9,6))')} AS high_price,
-                   price_at, 0 AS config_event_at, 'U' AS op, seq
+                   price_at, CAST(0 AS BIGINT) AS config_event_at, 'U' AS op, seq
             FROM lines l JOIN part p ON l.symbol_pair = 'P' || p.p_partkey""",
         "enrich_with_full_config": f"""{CHANGES}, {LAST_CHANGE}, {ORDER_TICKS}
             SELECT t.symbol_pair, CAST(t.price AS DOUBLE) AS price, t.price_at, t.seq,

@@ -34,6 +34,7 @@ def test_every_query_has_sql():
 def test_query_matches_sql(spark, db, name):
     df = entry.queries()[name](spark, SF)
     answer = db.execute(entry.oracle_sql()[name])
+    assert check.type_gaps(df, answer) == []
     want = check.rows_of([c[0] for c in answer.description], answer.fetchall())
     assert check.rows_of(df.columns, df.collect()) == want
 
