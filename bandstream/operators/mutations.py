@@ -199,12 +199,15 @@ def apply_requests(
     at: Column,
     event_id: Column | None = None,
     first_outbox_id: int = 1,
+    rename_tombstones: bool = False,
     parts: int | None = None,
     **sizes,
 ) -> Applied:
     """Apply a request log to the config table.
 
-    ``at`` is the time of a request as an expression over its columns.  Each
+    ``at`` is the time of a request as an expression over its columns.  An update
+    that renames a row emits the new symbol only, so a consumer keeps the old
+    one; ``rename_tombstones`` adds a delete event for it.  Each
     round is written to the shared scratch folder, so lost executors cost a
     re-read and not a replay of the earlier rounds.
     """
@@ -250,7 +253,7 @@ def apply_requests(
 
     results = _results(staged, decided)
     accepted = decided.where("ok")
-    outbox = number_rows(_outbox(accepted), parts=parts, **sizes)
+    outbox = number_rows(_outbox(accepted, rename_tombstones), parts=parts, **sizes)
     outbox = outbox.withColumn("id", F.col("position") + F.lit(first_outbox_id)).select(
         "id", "event_id", "aggregatetype", "aggregateid", "type", "payload"
     )
@@ -297,35 +300,55 @@ def _row_after() -> dict[str, Column]:
     }
 
 
-def _outbox(accepted: DataFrame) -> DataFrame:
+def _outbox(accepted: DataFrame, rename_tombstones: bool) -> DataFrame:
     """An outbox row per accepted request; a delete carries the row it removed."""
-    after = _row_after()
+    rows = accepted.withColumns(_row_after())
     kind = F.lit(None).cast("string")
     for op, name in EVENT.items():
         kind = F.when(F.col("op") == op, name).otherwise(kind)
+    rows = rows.select(
+        (F.col("seq") * 2 + 1).alias("seq"),
+        "event_id",
+        "row_id",
+        kind.alias("type"),
+        "symbol_pair",
+        "delta_percent",
+        "updated_at",
+        F.coalesce("was.symbol_pair", "home").alias("_from"),
+    )
+    if rename_tombstones:
+        old = rows.where(
+            (F.col("type") == EVENT["update"]) & (F.col("_from") != F.col("symbol_pair"))
+        ).withColumns(
+            {
+                "seq": F.col("seq") - 1,
+                "event_id": F.concat("event_id", F.lit("-renamed")),
+                "type": F.lit(EVENT["delete"]),
+                "symbol_pair": F.col("_from"),
+            }
+        )
+        rows = rows.unionByName(old)
+    micros = F.date_format("updated_at", "SSSSSS")
     instant = F.concat(
-        F.date_format(after["updated_at"], "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(
-            F.date_format(after["updated_at"], "SSSSSS") != "000000",
-            F.concat(F.lit("."), F.date_format(after["updated_at"], "SSSSSS")),
-        ).otherwise(""),
+        F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss"),
+        F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""),
         F.lit("Z"),
     )
     payload = F.to_json(
         F.struct(
             F.col("row_id").alias("id"),
-            after["symbol_pair"].alias("symbolPair"),
-            after["delta_percent"].alias("deltaPercent"),
+            F.col("symbol_pair").alias("symbolPair"),
+            F.col("delta_percent").alias("deltaPercent"),
             instant.alias("updatedAt"),
         ),
         {"ignoreNullFields": "false"},
     )
-    return accepted.select(
+    return rows.select(
         "seq",
         "event_id",
         F.lit(AGGREGATE_TYPE).alias("aggregatetype"),
         F.col("row_id").cast("string").alias("aggregateid"),
-        kind.alias("type"),
+        "type",
         payload.alias("payload"),
     )
 

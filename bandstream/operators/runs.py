@@ -85,18 +85,17 @@ def hot_cuts(
     # fewer than `parts` rows: each stands for more than total / parts rows
     hot = counts.where(F.col("n") > limit)
     grid = [i / parts for i in range(1, parts)]
+    pieces = F.least(F.lit(parts), F.ceil(F.col("n") / limit)).cast("int")
+    nth = lambda i: F.get("grid", F.floor(i * parts / pieces).cast("int") - 1)
+    picks = F.array_distinct(F.transform(F.sequence(F.lit(1), pieces - 1), nth))
     rows = (
         df.join(F.broadcast(hot), key)
         .groupBy(key, "n")
         .agg(F.percentile_approx(seq, grid, 4 * parts).alias("grid"))
+        .select(key, F.sort_array(picks).alias("bounds"))
         .collect()
     )
-    bounds = {}
-    for row in rows:
-        pieces = min(parts, -(-row["n"] // max(1, int(limit))))
-        picked = {row["grid"][i * parts // pieces - 1] for i in range(1, pieces)}
-        bounds[row[key]] = sorted(picked)
-    return Cuts(key, seq, none.kind, bounds)
+    return Cuts(key, seq, none.kind, {row[key]: row["bounds"] for row in rows})
 
 
 def _segment_of(bounds: Column, seq: Column, steps: list[int]) -> Column:

@@ -393,7 +393,7 @@ def fold_restore(spark, sf_dir):
 @query
 def fold_rebuild(spark, sf_dir):
     """Start without cached entries: from the config table."""
-    cache = fold.fold_snapshot(fold.fold_state(fixtures.log(spark, sf_dir).where("seq < 0")))
+    cache = spark.createDataFrame([], FOLD_CHANGELOG)
     configs = tables.to_config_events(fixtures.config_table(spark, sf_dir))
     seed = fold.restore_seed(cache, configs)
     return fold.fold_changelog(fixtures.log(spark, sf_dir), seed=seed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bandstream.operators.latest import collapse
+from bandstream.operators.projection import with_ttl
 from bandstream.operators.push import poll_batches, push, push_payload
 from bandstream.sources.store import CompactedChangelog
 
@@ -18,21 +20,36 @@ log = logging.getLogger(__name__)
 TRIGGER = "200 milliseconds"
 
 
-def project_into(store: CompactedChangelog, transport: Callable | None = None):
+def project_into(
+    store: CompactedChangelog,
+    transport: Callable | None = None,
+    ttl_ms: int | None = None,
+    clock: Callable[[], float] = time.time,
+):
     """A ``foreachBatch`` function: collapse the batch, store it, push it.
 
     Storing under the batch id makes a redelivered batch harmless, and an error
     there fails the batch so that it is delivered again.  Pushes hold as many
     records as a listener polls; a failed push is logged and dropped.
+
+    With ``ttl_ms`` every row is stored with the ``expires_at`` its write gives
+    it; the store's schema then has that column.
     """
 
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = collapse(batch)
+        if ttl_ms is not None:
+            now = F.lit(int(clock() * 1000)).cast("long")
+            rows = with_ttl(rows, now, ttl_ms=ttl_ms)
+        store.append(rows, batch_id)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         if transport is None:
-            store.append(collapse(batch), batch_id)
+            save(batch, batch_id)
             return
         batch.persist()
         try:
-            store.append(collapse(batch), batch_id)
+            save(batch, batch_id)
             try:
                 push(push_payload(poll_batches(batch)), transport)
             except Exception:

@@ -107,6 +107,20 @@ def test_invalid_requests_are_refused_first(spark):
     }
 
 
+def test_rename_can_emit_a_delete_for_the_old_symbol(spark):
+    rows = [
+        {"seq": 1, "op": "update", "id": 1, "symbol_pair": "B", "delta_percent": Decimal("2")},
+        {"seq": 2, "op": "update", "id": 1, "symbol_pair": "B", "delta_percent": Decimal("3")},
+    ]
+    done = apply(spark, {1: ("A", Decimal(1))}, rows, rename_tombstones=True)
+    got = [(r["type"], '"A"' in r["payload"]) for r in done.outbox.orderBy("id").collect()]
+    assert got == [
+        ("PriceConfigDeleted", True),
+        ("PriceConfigUpdated", False),
+        ("PriceConfigUpdated", False),
+    ]
+
+
 def test_table_and_outbox_commit_as_one(spark):
     rows = [{"seq": 1, "op": "create", "id": None, "symbol_pair": "B", "delta_percent": Decimal("2")}]
     path = scratch_path(spark, "unit")

@@ -2,7 +2,9 @@ import logs
 import model
 import pytest
 
-from bandstream.operators import fold, joins
+from pyspark.sql import types as T
+
+from bandstream.operators import fold, joins, projection
 from bandstream.operators.latest import live_rows
 from bandstream.schemas import CHANGELOG, FOLD_CHANGELOG, TAGGED_LOG
 from bandstream.session import scratch_path
@@ -66,3 +68,20 @@ def test_streaming_fold_starts_from_restored_entries(spark):
         for r in seed.collect()
     }
     assert store.changes().count() == len(model.fold(later, entries)[0])
+
+
+def test_metrics_and_expiry_of_a_projected_stream(spark):
+    rows = logs.random_log(15, 120)
+    shape = T.StructType(CHANGELOG.fields + [T.StructField("expires_at", T.LongType())])
+    store = CompactedChangelog(spark, scratch_path(spark, "out"), shape)
+    source = scratch_path(spark, "in")
+    logs.frame(spark, rows).write.parquet(source)
+    stream = sinks.observed(joins.join_state(records.file_stream(spark, source, TAGGED_LOG)))
+    sink = sinks.project_into(store, ttl_ms=1000, clock=lambda: 5)
+    running = sinks.start(stream, sink, scratch_path(spark, "ck"), available_now=True)
+    running.awaitTermination()
+    seen = running.recentProgress[0].observedMetrics["changes"]
+    symbols = {r["symbol_pair"] for r in rows if r["symbol_pair"]}
+    assert seen["records"] == len(symbols) == seen["upserts"] + seen["deletions"]
+    assert {r["expires_at"] for r in store.read().collect()} == {6000}
+    assert projection.alive(store.read(), 6000).isEmpty()
