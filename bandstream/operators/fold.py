@@ -128,8 +128,16 @@ def _all_steps(
     refused = by_tick & (_current("_revision")["at"] <= 0)
     config, tick = F.col("_revision_own"), F.col("_tick_own")
     rows = compute_once(
-        rows.select("symbol_pair", "seq", "_start", "_first", "_revision", "_tick",
-                    "_revision_own", "_tick_own"),
+        rows.select(
+            "symbol_pair",
+            "seq",
+            "_start",
+            "_first",
+            "_revision",
+            "_tick",
+            "_revision_own",
+            "_tick_own",
+        ),
         {
             "event": F.when(config.isNotNull(), "config")
             .when(tick.isNotNull(), "tick")
