@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -29,12 +29,18 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, the storage executors share.
+    """A fresh folder on the storage that the driver and all executors share.
 
-    Only where the setting is absent (a single-machine test session) does the
-    folder come from the operating system.
+    That is ``spark.checkpoint.dir``, or the checkpoint folder set on the
+    context.  Only where one process is the whole cluster (``local[n]``) and
+    neither is set does a folder of this machine do; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = base or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="bandstream-")
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
+        base = context.getCheckpointDir()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
