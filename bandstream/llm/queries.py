@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from bandstream.llm import bpe, secrets
+from bandstream.llm import bpe, secrets, simhash, urlfilter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        urlfilter.op2_url_filter,
+        simhash.op6_simhash,
         bpe.op9_bpe,
         secrets.op10_secrets,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_url_filter": urlfilter.SQL,
+}
