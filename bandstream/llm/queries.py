@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from bandstream.llm import bpe, secrets, simhash, urlfilter
+from bandstream.llm import bpe, decontaminate, neighbours, secrets, simhash, urlfilter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        decontaminate.op1_decontaminate,
         urlfilter.op2_url_filter,
+        neighbours.op5_neighbours,
         simhash.op6_simhash,
         bpe.op9_bpe,
         secrets.op10_secrets,
