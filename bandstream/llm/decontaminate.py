@@ -18,20 +18,20 @@ never shuffled.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandstream.llm.common import fields, fresh, table, text_bytes
 
-RATE = 0.1
+RATE = 0.08
 BLOCK_CHARS = 4_000_000
-WORD = regex.compile(r"[^\W_]+")
+WORD = re.compile(r"[^\W_]+")
 
 
 def plain(text: str) -> str:

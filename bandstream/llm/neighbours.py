@@ -34,7 +34,7 @@ from bandstream.llm.common import stored, table
 
 TREES = 48
 DEPTH = 32
-CANDIDATES = 4000
+CANDIDATES = 3000
 SHARD = 8192
 BLOCK = 20_000
 NEAREST = 10
