@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from bandstream.llm import bpe, decontaminate, neighbours, secrets, simhash, urlfilter
+from bandstream.llm import (
+    bpe,
+    decontaminate,
+    linededup,
+    neighbours,
+    secrets,
+    simhash,
+    urlfilter,
+)
 
 QUERIES = {
     f.__name__: f
     for f in (
         decontaminate.op1_decontaminate,
         urlfilter.op2_url_filter,
+        linededup.op3_line_dedup,
         neighbours.op5_neighbours,
         simhash.op6_simhash,
         bpe.op9_bpe,
@@ -18,4 +27,5 @@ QUERIES = {
 
 SQL = {
     "op2_url_filter": urlfilter.SQL,
+    "op3_line_dedup": linededup.SQL,
 }
