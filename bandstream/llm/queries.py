@@ -5,8 +5,10 @@ from __future__ import annotations
 from bandstream.llm import (
     bpe,
     decontaminate,
+    language,
     linededup,
     neighbours,
+    quality,
     secrets,
     simhash,
     urlfilter,
@@ -18,8 +20,11 @@ QUERIES = {
         decontaminate.op1_decontaminate,
         urlfilter.op2_url_filter,
         linededup.op3_line_dedup,
+        language.op4_language_id,
+        language.page_languages,
         neighbours.op5_neighbours,
         simhash.op6_simhash,
+        quality.op7_quality,
         bpe.op9_bpe,
         secrets.op10_secrets,
     )
