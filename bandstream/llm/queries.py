@@ -11,6 +11,7 @@ from bandstream.llm import (
     quality,
     secrets,
     simhash,
+    suffixes,
     urlfilter,
 )
 
@@ -25,6 +26,7 @@ QUERIES = {
         neighbours.op5_neighbours,
         simhash.op6_simhash,
         quality.op7_quality,
+        suffixes.op8_repeated_passages,
         bpe.op9_bpe,
         secrets.op10_secrets,
     )
