@@ -17,6 +17,10 @@ The array is range partitioned by prefix, document and place: a passage that a
 third of all documents has is spread over many tasks.  Where a range border cuts
 through equal prefixes, the pieces are linked afterwards by one row per border.
 
+A row tells how far a document agrees with the one that stands for it.  Where a
+third document that agrees less far stands first, the row is that much shorter;
+if it shares fewer than ``SHORTEST`` words, only anchors outside its part count.
+
 Passages repeated inside one document only are not reported.  Rows with the same
 doc_id and text are one document.  Null and short texts have no passages.
 """
