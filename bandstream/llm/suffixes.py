@@ -3,10 +3,11 @@
 Of all suffixes of a text (as words, A-Z as a-z) only those are kept that start
 at a minimiser: the smallest hash of ``GRAM`` words in some window of ``WINDOW``
 such hashes.  Two equal passages choose the same places, about one word in nine.
-A kept suffix is sorted by the hash of its first ``PREFIX`` words; neighbours in
-the sorted array that agree start a match, and the first of them stands for the
-others.  A passage of ``SHORTEST`` words always contains a kept suffix whose
-prefix lies inside it (``WINDOW - 1 + PREFIX <= SHORTEST``).
+A kept suffix is sorted by the hash of its first ``PREFIX`` words,
+then by the words that follow; in the sorted array each one that agrees with its
+neighbour is matched with it and with the first of its run.  A passage of
+``SHORTEST`` words always contains a kept suffix whose prefix lies inside it
+(``WINDOW - 1 + PREFIX <= SHORTEST``).
 
 Anchors of two documents on one diagonal join to runs.  A run is verified by a
 128-bit digest of its words and extended left and right word by word, up to
@@ -17,9 +18,8 @@ The array is range partitioned by prefix, document and place: a passage that a
 third of all documents has is spread over many tasks.  Where a range border cuts
 through equal prefixes, the pieces are linked afterwards by one row per border.
 
-A row tells how far a document agrees with the one that stands for it.  Where a
-third document that agrees less far stands first, the row is that much shorter;
-if it shares fewer than ``SHORTEST`` words, only anchors outside its part count.
+A row tells how far a document agrees with one earlier document; there may be
+rows for several.
 
 Passages repeated inside one document only are not reported.  Rows with the same
 doc_id and text are one document.  Null and short texts have no passages.
@@ -39,6 +39,8 @@ GRAM = 5
 WINDOW = 16
 PREFIX = 32
 SHORTEST = 50
+#: Words per block of the order beyond the prefix.
+BLOCK = 5
 REACH = 64
 
 
@@ -65,6 +67,18 @@ def run_hashes(hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> n
     return mixed(out)
 
 
+def following(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sort key of what comes after the prefixes: 16 bits for each of four blocks."""
+    out = np.zeros(len(places), dtype=np.uint64)
+    padded = np.concatenate([hashes, np.zeros(PREFIX, dtype=np.uint64)])
+    for block in range(4):
+        key = np.zeros(len(places), dtype=np.uint64)
+        for i in range(BLOCK):
+            key = mixed(key ^ padded[places + PREFIX + block * BLOCK + i])
+        out = (out << np.uint64(16)) | (key >> np.uint64(48))
+    return out
+
+
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the kept suffixes and the hashes of their prefixes."""
     if len(hashes) < PREFIX:
@@ -77,96 +91,140 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_rows(docs: DataFrame) -> DataFrame:
-    """h, doc_id, k, pos of every kept suffix."""
+    """h, e, doc_id, k, pos of every kept suffix; e orders equal prefixes."""
 
     def run(batches):
         for batch in batches:
             ids, keys, texts = (batch.column(i) for i in range(3))
-            rows, hashes, places = [], [], []
+            rows, hashes, order, places = [], [], [], []
             for n, text in enumerate(texts.to_pylist()):
-                at, h = anchors(word_hashes(text.lower().split()))
+                own = word_hashes(text.lower().split())
+                at, h = anchors(own)
                 rows.append(np.full(len(at), n))
                 hashes.append(h)
+                order.append(following(own, at))
                 places.append(at)
             take = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(hashes).view(np.int64)),
+                    pa.array(np.concatenate(order).view(np.int64)),
                     ids.take(take),
                     keys.take(take),
                     pa.array(np.concatenate(places).astype(np.int32)),
                 ],
-                ["h", "doc_id", "k", "pos"],
+                ["h", "e", "doc_id", "k", "pos"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("k"), text_bytes().alias("raw"))
-    return rows.mapInArrow(run, fields(f"h long, doc_id {kind}, k long, pos int"))
+    return rows.mapInArrow(run, fields(f"h long, e long, doc_id {kind}, k long, pos int"))
 
 
-def neighbour_links(suffixes: DataFrame) -> DataFrame:
-    """doc_id, k, pos, to_id, to_k, to_pos: each repeated suffix and what stands for it."""
+def neighbour_pairs(suffixes: DataFrame) -> DataFrame:
+    """h, doc_id, k, pos, to_id, to_k, to_pos: suffixes with their predecessor of equal prefix.
+
+    ``opens``: the predecessor may have no pair of its own.
+    """
     spark = suffixes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = suffixes.schema["doc_id"].dataType.simpleString()
-    side = f"doc_id {kind}, k long, pos int, to_id {kind}, to_k long, to_pos int"
-    names = ["h", "doc_id", "k", "pos"]
+    names = ["h", "e", "doc_id", "k", "pos"]
 
     def compare(batches):
-        """Rows arrive in order; each is compared with the head of its run."""
-        head, edges = None, []
+        """Rows arrive in order; each is compared with the one before."""
+        before = first_row = None
 
-        def out(rows, heads, borders):
+        def out(rows, others, opens, border):
             left = [rows.column(c) for c in names]
-            right = [heads.column(c) for c in names[1:]]
+            right = [others.column(c) for c in ("doc_id", "k", "pos")]
             return pa.RecordBatch.from_arrays(
-                [*left, *right, pa.array(np.full(len(rows), borders))],
-                [*names, "to_id", "to_k", "to_pos", "border"],
+                [*left, *right, pa.array(opens), pa.array(np.full(rows.num_rows, border))],
+                [*names, "to_id", "to_k", "to_pos", "opens", "border"],
             )
 
-        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if first_row is None:
+                first_row = batch.slice(0, 1)
+            else:
+                batch = pa.Table.from_batches([before, batch]).combine_chunks().to_batches()[0]
             h = batch.column(0).to_numpy(zero_copy_only=False)
-            first = np.concatenate([[True], h[1:] != h[:-1]])
-            if head is not None and head.column(0)[0].as_py() == h[0]:
-                first[0] = False
-            # heads of the runs: the one carried over, then those that start here
-            starts = np.flatnonzero(first)
-            pool = pa.Table.from_batches(
-                ([head] if head is not None else []) + [batch.take(pa.array(starts))]
-            ).combine_chunks()
-            carried = int(head is not None)
-            which = np.cumsum(first) - 1 + carried
-            again = np.flatnonzero(~first)
-            if head is None:
-                edges.append(batch.slice(0, 1))
-            if len(again):
-                rows = batch.take(pa.array(again))
-                heads = pool.take(pa.array(which[again])).to_batches()[0]
-                yield out(rows, heads, False)
-            head = pool.slice(int(which[-1]), 1).to_batches()[0]
-            last = head
-        if last is not None:
-            edges.append(last)
-            for edge in edges:
-                yield out(edge, edge, True)
+            same = np.flatnonzero(h[1:] == h[:-1])
+            if len(same):
+                opens = (same == 0) | (h[same] != h[same - 1])
+                rows, others = batch.take(pa.array(same + 1)), batch.take(pa.array(same))
+                yield out(rows, others, opens, False)
+            before = batch.slice(batch.num_rows - 1, 1)
+        if first_row is not None:
+            for edge in (first_row, before):
+                yield out(edge, edge, np.ones(1, dtype=bool), True)
 
     dealt = suffixes.repartitionByRange(n, *names).sortWithinPartitions(*names)
-    compared = stored(
-        dealt.mapInArrow(compare, fields(f"h long, {side}, border boolean")), "neighbours"
+    side = f"doc_id {kind}, k long, pos int, to_id {kind}, to_k long, to_pos int"
+    shape = fields(f"h long, e long, {side}, opens boolean, border boolean")
+    compared = stored(dealt.mapInArrow(compare, shape), "neighbours")
+    # the rows on both sides of a range border: at most two per partition
+    line = Window.partitionBy("h").orderBy("e", "doc_id", "k", "pos")
+    across = (
+        compared.where("border")
+        .select(*names)
+        .distinct()
+        .select(
+            "h",
+            "doc_id",
+            "k",
+            "pos",
+            F.lag("doc_id").over(line).alias("to_id"),
+            F.lag("k").over(line).alias("to_k"),
+            F.lag("pos").over(line).alias("to_pos"),
+            F.lit(True).alias("opens"),
+        )
+        .where("to_pos IS NOT NULL")
+    )
+    return compared.where("NOT border").drop("border", "e").unionByName(across)
+
+
+def neighbour_links(suffixes: DataFrame) -> DataFrame:
+    """doc_id, k, pos, to_id, to_k, to_pos: a repeated suffix and an earlier one.
+
+    Each is linked to the first document of its run (with equal prefixes) and to
+    its neighbour in the array, which may agree further.
+    """
+    pairs = neighbour_pairs(suffixes)
+    members = pairs.select("h", "doc_id", "k", "pos").unionByName(
+        pairs.where("opens").select(
+            "h", F.col("to_id").alias("doc_id"), F.col("to_k").alias("k"), F.col("to_pos").alias("pos")
+        )
     )
-    before = Window.partitionBy("h").orderBy("doc_id", "k", "pos")
-    borders = compared.where("border").select(*names).distinct()
-    across = borders.select(
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "pos")
+    firsts = members.groupBy("h").agg(F.min(place).alias("first"))
+    to_first = members.join(firsts, "h").select(
         "doc_id",
         "k",
         "pos",
-        *[F.lag(c).over(before).alias(f"to_{c.removeprefix('doc_')}") for c in names[1:]],
-    ).where("to_pos IS NOT NULL")
-    found = compared.where("NOT border").drop("h", "border")
-    return found.unionByName(across).where(~same_document())
+        F.col("first.doc_id").alias("to_id"),
+        F.col("first.k").alias("to_k"),
+        F.col("first.pos").alias("to_pos"),
+    )
+    links = to_first.unionByName(earlier_second(pairs.drop("h", "opens")))
+    return links.where(~same_document()).distinct()
+
+
+def earlier_second(links: DataFrame) -> DataFrame:
+    """Each link from the later document (by doc_id, nulls last, then k) to the earlier."""
+    doc, other = F.col("doc_id"), F.col("to_id")
+    swap = (
+        F.when(doc.isNull() & other.isNull(), F.col("k") < F.col("to_k"))
+        .when(doc.isNull(), False)
+        .when(other.isNull(), True)
+        .otherwise((doc < other) | ((doc == other) & (F.col("k") < F.col("to_k"))))
+    )
+    sides = (("doc_id", "to_id"), ("k", "to_k"), ("pos", "to_pos"))
+    here = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in sides]
+    there = [F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in sides]
+    return links.select(*here, *there)
 
 
 def same_document():

@@ -171,7 +171,7 @@ def test_neighbours_against_brute_force(spark, folder):
 
 
 def test_passages_against_all_pairs(spark, folder):
-    shared = [words(7000 + i, n) for i, n in enumerate((50, 51, 64, 120, 400, 49, 30))]
+    shared = [words(7000 + i, n) for i, n in enumerate((50, 51, 64, 120, 400, 40, 30))]
     draw, docs = random.Random(9), []
     for n in range(40):
         parts = words(8000 + n, draw.randint(0, 120))
