@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 from bandstream.functions.numeric import add_band, same_value
 from bandstream.functions.staging import compute_once
 from bandstream.operators.latest import latest_by, merge_streams
-from bandstream.operators.runs import Cuts, Timeline, number_rows, timeline
+from bandstream.operators.runs import TASK_ROWS, Cuts, Timeline, number_rows, timeline
 from bandstream.schemas import FOLD_CHANGELOG
 
 # Fixed value: records a sink writes at a time.
 SINK_BATCH = 100
 
+#: ``seq`` of seed rows; every log row has a greater one, negative ones too.
+SEED_SEQ = -(1 << 63)
+
 
 def is_config() -> Column:
     return (F.col("side") == "C") & ~F.coalesce("deleted", F.lit(False))
@@ -49,7 +52,7 @@ def seed_log(state: DataFrame) -> DataFrame:
     """
     config = state.select(
         "symbol_pair",
-        F.lit(-2).cast("long").alias("seq"),
+        F.lit(SEED_SEQ).cast("long").alias("seq"),
         F.lit("C").alias("side"),
         F.col("config_id").alias("id"),
         "delta_percent",
@@ -58,7 +61,7 @@ def seed_log(state: DataFrame) -> DataFrame:
     )
     tick = state.where(F.col("price").isNotNull()).select(
         "symbol_pair",
-        F.lit(-1).cast("long").alias("seq"),
+        F.lit(SEED_SEQ + 1).cast("long").alias("seq"),
         F.lit("P").alias("side"),
         "price",
     )
@@ -74,23 +77,21 @@ def _fold_timeline(
     log: DataFrame,
     seed: DataFrame | None,
     cuts: Cuts | None,
-    parts: int | None,
-    min_rows: int | None,
+    limit: int,
 ) -> Timeline:
-    sizes = {} if min_rows is None else {"min_rows": min_rows}
-    line = timeline(_known_keys(log, seed), cuts=cuts, parts=parts, **sizes)
+    line = timeline(_known_keys(log, seed), cuts=cuts, limit=limit)
     line = line.prior(_start=F.when(is_drop(), F.col("seq")))
     start = F.col("_start").alias("start")
     return line.prior(
         _first=F.when(
-            ~is_drop(), F.struct(start, (-F.col("seq")).alias("earlier"), is_tick().alias("tick"))
+            ~is_drop(), F.struct(start, F.bitwise_not("seq").alias("earlier"), is_tick().alias("tick"))
         ),
         _revision=F.when(
             is_config(),
             F.struct(
                 start,
                 F.col("config_event_at").alias("at"),
-                (-F.col("seq")).alias("earlier"),
+                F.bitwise_not("seq").alias("earlier"),
                 F.col("id").alias("config_id"),
                 "delta_percent",
             ),
@@ -112,17 +113,16 @@ def fold_steps(log: DataFrame, seed: DataFrame | None = None, **sizes) -> DataFr
     known symbol.  ``changed``: a scaled value is different from before.
     """
     steps = _all_steps(log, seed, **sizes)
-    return steps if seed is None else steps.where(F.col("seq") >= 0)
+    return steps if seed is None else steps.where(F.col("seq") > SEED_SEQ + 1)
 
 
 def _all_steps(
     log: DataFrame,
     seed: DataFrame | None,
     cuts: Cuts | None = None,
-    parts: int | None = None,
-    min_rows: int | None = None,
+    limit: int = TASK_ROWS,
 ) -> DataFrame:
-    rows = _fold_timeline(log, seed, cuts, parts, min_rows).rows()
+    rows = _fold_timeline(log, seed, cuts, limit).rows()
     by_tick = F.coalesce(_current("_first")["tick"], F.lit(False))
     # an entry opened by a tick is at time 0: what is not above that was refused
     refused = by_tick & (_current("_revision")["at"] <= 0)
@@ -201,24 +201,40 @@ def fold_changelog(log: DataFrame, seed: DataFrame | None = None, **sizes) -> Da
     return add_band(emitted).select(*FOLD_CHANGELOG.names)
 
 
-def fold_state(log: DataFrame, seed: DataFrame | None = None, **sizes) -> DataFrame:
+def fold_state(log: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """All entries at the end of the log, complete (``presented``) or not.
 
-    The last row of each symbol, unless that row dropped it.  Going through the
-    running state keeps a hot symbol split; the reduction to the last row is a
-    hash aggregate that combines before it shuffles.
+    Needs no order of the rows: what counts is after the last drop of its
+    symbol, and of that only the first row, the highest revision and the last
+    tick, all of them aggregates that combine before they shuffle.
     """
-    steps = _all_steps(log, seed, **sizes).select(
+    rows = _known_keys(log, seed)
+    drops = rows.where(is_drop()).groupBy("symbol_pair").agg(F.max("seq").alias("_dropped"))
+    since = rows.join(drops, "symbol_pair", "left").where(
+        F.col("_dropped").isNull() | (F.col("seq") > F.col("_dropped"))
+    )
+    revision = F.struct(
+        F.col("config_event_at").alias("at"),
+        F.bitwise_not("seq").alias("earlier"),
+        F.col("id").alias("config_id"),
+        "delta_percent",
+    )
+    entries = since.groupBy("symbol_pair").agg(
+        F.min(F.struct("seq", is_tick().alias("tick"))).alias("_first"),
+        F.max(F.when(is_config(), revision)).alias("_revision"),
+        F.max(F.when(is_tick(), F.struct("seq", "price"))).alias("_tick"),
+    )
+    # an entry opened by a tick is at time 0: what is not above that was refused
+    refused = F.col("_first.tick") & (F.col("_revision.at") <= 0)
+    taken = F.when(~F.coalesce(refused, F.lit(False)), F.col("_revision"))
+    staged = entries.select(
         "symbol_pair",
-        "seq",
-        (F.col("event") == "drop").alias("gone"),
-        F.col("new_config_id").alias("config_id"),
-        F.col("new_price").alias("price"),
-        F.col("new_delta").alias("delta_percent"),
-        F.col("new_config_event_at").alias("config_event_at"),
+        taken["config_id"].alias("config_id"),
+        F.col("_tick.price").alias("price"),
+        taken["delta_percent"].alias("delta_percent"),
+        F.coalesce(taken["at"], F.lit(0).cast("long")).alias("config_event_at"),
     )
-    entries = latest_by(steps, ["symbol_pair"], ["seq"]).where(~F.col("gone"))
-    return add_band(entries).select(
+    return add_band(staged).select(
         "symbol_pair",
         "config_id",
         "price",
@@ -235,20 +251,20 @@ def fold_snapshot(state: DataFrame) -> DataFrame:
     return state.where(F.col("presented") & ~F.col("deleted"))
 
 
-def sink_batches(changelog: DataFrame, size: int = SINK_BATCH, **sizes) -> DataFrame:
+def sink_batches(changelog: DataFrame, size: int = SINK_BATCH) -> DataFrame:
     """Number the emitted rows by ``seq`` and group each ``size`` into a batch."""
-    numbered = number_rows(changelog, **sizes)
+    numbered = number_rows(changelog)
     return numbered.withColumn("batch", F.floor(F.col("position") / size).cast("long"))
 
 
-def project_fold_batches(changelog: DataFrame, size: int = SINK_BATCH, **sizes) -> DataFrame:
+def project_fold_batches(changelog: DataFrame, size: int = SINK_BATCH) -> DataFrame:
     """The projection after sink batches that save all upserts, then delete.
 
     Inside a batch a delete wins over any upsert; across batches the last one
     that has the symbol wins.  Both rules are one ordering, so one aggregate
     answers.
     """
-    batches = sink_batches(changelog, size, **sizes)
+    batches = sink_batches(changelog, size)
     ranked = batches.withColumn("_delete", F.col("op") == "D")
     last = latest_by(ranked, ["symbol_pair"], ["batch", "_delete", "seq"])
     return last.where(~F.col("_delete")).drop("_delete", "position", "batch", "op")

@@ -9,8 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandstream.functions.numeric import add_band
-from bandstream.operators.latest import active_configs, latest_config, latest_price
-from bandstream.operators.runs import Cuts, timeline
+from bandstream.operators.latest import (
+    active_configs,
+    latest_config,
+    latest_price,
+    merge_streams,
+)
+from bandstream.operators.runs import TASK_ROWS, Cuts, timeline
 from bandstream.schemas import CHANGELOG, FULL_CONFIG
 
 
@@ -136,19 +141,27 @@ def _as_changelog(state: DataFrame, op: Column) -> DataFrame:
 def join_changelog(
     log: DataFrame,
     cuts: Cuts | None = None,
-    parts: int | None = None,
-    min_rows: int | None = None,
+    limit: int = TASK_ROWS,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """Every change of the joined table: one row per update of either side.
 
     A row that leaves the symbol joined emits U, also when nothing changed.
     A row that takes it out of the join emits D.  Other rows emit nothing.
+
+    ``seed`` has log rows that were handled before: they come first and emit
+    nothing.  A log row older than a seed row of its side does not replace it.
     """
-    sizes = {} if min_rows is None else {"min_rows": min_rows}
-    line = timeline(
-        log.where(F.col("symbol_pair").isNotNull()), cuts=cuts, parts=parts, **sizes
-    ).prior(_config0=config_entry(), _price0=price_entry())
-    state = line.rows().select(
+    rows, order = log.where(F.col("symbol_pair").isNotNull()), "seq"
+    if seed is not None:
+        rows = merge_streams(
+            rows.withColumn("_new", F.lit(True)), seed.withColumn("_new", F.lit(False))
+        ).withColumn("_order", F.struct("_new", "seq"))
+        order = "_order"
+    line = timeline(rows, seq=order, cuts=cuts, limit=limit)
+    line = line.prior(_config0=config_entry(), _price0=price_entry())
+    done = line.rows() if seed is None else line.rows().where("_new")
+    state = done.select(
         "symbol_pair",
         "seq",
         "_config0",

@@ -76,6 +76,18 @@ def tag_log(configs: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
+def tag_topics(configs: DataFrame, prices: DataFrame) -> DataFrame:
+    """``tag_log`` for two topics whose ``seq`` are their own arrival numbers.
+
+    Records of two topics can share offset and partition; the side becomes the
+    lowest bit, so ``seq`` stays unique and configs come first among equals.
+    """
+    twice = F.shiftleft("seq", 1)
+    return tag_log(
+        configs.withColumn("seq", twice), prices.withColumn("seq", twice + F.lit(1).cast("long"))
+    )
+
+
 def rekey(events: DataFrame, key: Column) -> DataFrame:
     """Replace the record key.  A projection only: the next keyed step shuffles."""
     return events.withColumn("key", key)

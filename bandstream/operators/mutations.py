@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from bandstream.functions.staging import compute_once
 from bandstream.operators.latest import latest_by
-from bandstream.operators.runs import Cuts, hot_cuts, number_rows, timeline
+from bandstream.operators.runs import TASK_ROWS, Cuts, hot_cuts, number_rows, timeline
 from bandstream.schemas import DELTA
 from bandstream.session import scratch_path
 
@@ -200,8 +200,7 @@ def apply_requests(
     event_id: Column | None = None,
     first_outbox_id: int = 1,
     rename_tombstones: bool = False,
-    parts: int | None = None,
-    **sizes,
+    limit: int = TASK_ROWS,
 ) -> Applied:
     """Apply a request log to the config table.
 
@@ -225,11 +224,11 @@ def apply_requests(
     live = staged.where(~F.col("invalid") & contested).withColumns(
         {"ok": _guess(), "moved": F.lit(True), "entity": entity}
     )
-    by_entity = hot_cuts(live, "entity", "seq", parts, **sizes)
-    by_symbol = hot_cuts(live, "symbol_pair", "seq", parts, **sizes)
+    by_entity = hot_cuts(live, "entity", limit)
+    by_symbol = hot_cuts(live, "symbol_pair", limit)
 
     # Rounds without cut keys are a chain of two shuffles each: run a few per job.
-    chained = 1 if by_entity.bounds or by_symbol.bounds else ROUNDS_PER_JOB
+    chained = 1 if by_entity.hot is not None or by_symbol.hot is not None else ROUNDS_PER_JOB
     rounds = 0
     while True:
         for _ in range(chained):
@@ -242,7 +241,7 @@ def apply_requests(
     final = saved(_entity_before(live, by_entity), "final")
     last_id = configs.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
     created = number_rows(
-        final.where((F.col("op") == "create") & F.col("ok")), parts=parts, **sizes
+        final.where((F.col("op") == "create") & F.col("ok"))
     ).withColumn("row_id", F.col("position") + F.lit(last_id + 1)).drop("position")
     others = final.where((F.col("op") != "create") | ~F.col("ok")).withColumn(
         "row_id", F.col("id")
@@ -253,7 +252,7 @@ def apply_requests(
 
     results = _results(staged, decided)
     accepted = decided.where("ok")
-    outbox = number_rows(_outbox(accepted, rename_tombstones), parts=parts, **sizes)
+    outbox = number_rows(_outbox(accepted, rename_tombstones))
     outbox = outbox.withColumn("id", F.col("position") + F.lit(first_outbox_id)).select(
         "id", "event_id", "aggregatetype", "aggregateid", "type", "payload"
     )

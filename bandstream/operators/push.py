@@ -30,9 +30,9 @@ FOLD_WIRE = {
 }
 
 
-def poll_batches(changelog: DataFrame, size: int = POLL_RECORDS, **sizes) -> DataFrame:
+def poll_batches(changelog: DataFrame, size: int = POLL_RECORDS) -> DataFrame:
     """Cut a changelog into the batches a listener would see."""
-    rows = number_rows(changelog, **sizes)
+    rows = number_rows(changelog)
     return rows.withColumn("batch", F.floor(F.col("position") / size).cast("long"))
 
 
@@ -87,11 +87,11 @@ def push_payload(batches: DataFrame, channel: str = STREAM_CHANNEL) -> DataFrame
 
 
 def push_payload_fold(
-    changelog: DataFrame, channel: str = CHANNEL, size: int = FOLD_PUSH, **sizes
+    changelog: DataFrame, channel: str = CHANNEL, size: int = FOLD_PUSH
 ) -> DataFrame:
     """Fold pushes: every changed row in order, no deletions, ``size`` at a time."""
     changed = changelog.where((F.col("op") == "U") & F.col("symbol_pair").isNotNull())
-    rows = number_rows(changed, **sizes).withColumns(
+    rows = number_rows(changed).withColumns(
         {"presented": F.lit(True), "deleted": F.lit(False)}
     )
     body = F.struct(*[F.col(c).alias(n) for c, n in FOLD_WIRE.items()])

@@ -1,20 +1,17 @@
 """Running state per key, without ever making one key one task.
 
 A window over ``key`` ordered by ``seq`` puts all rows of a key into one task.
-When a key holds a large share of the table, it is cut into segments of about
-equal size along ``seq``:
+A key with more than ``limit`` rows, which is what a task should hold and does
+not depend on the table, is cut into segments along ``seq``:
 
-1. count rows per key (map-side combined);
-2. for the keys above ``total / parts`` rows only, take cut points at quantiles
-   of ``seq``;
+1. count rows per key (map-side combined) and store the keys above the limit;
+2. range partition the rows of those keys by (key, seq) into pieces of about
+   ``limit`` rows and store them; the piece is the segment;
 3. run the windows per (key, segment);
 4. carry the state at the end of every segment into the later ones.
 
-At most ``parts`` keys can have more than ``total / parts`` rows and together
-they get at most ``2 * parts`` segments, whatever the size of the table.  That
-is the bound behind the two broadcasts here and behind reading the cut points
-on the driver.  The cut points need not be exact: any cuts give the same
-result.
+The hot keys stay a table, however many there are, and nothing is broadcast by
+hand.  Where the borders fall does not matter: any borders give the same result.
 
 Every running value is the running *maximum* of an orderable column, usually a
 struct that starts with what it is ordered by.  A maximum combines across
@@ -23,92 +20,35 @@ segments, which running windows in general do not.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MIN_HOT_ROWS = 1_000_000
-MAX_PARTS = 2048
-SEGMENT = "_segment"
 
+from bandstream.session import stored
 
-def default_parts(spark: SparkSession) -> int:
-    """Segments a table that is all one key would get."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(MAX_PARTS, 4 * shuffle))
+#: Rows of one key that one task may hold.
+TASK_ROWS = 1_000_000
+SEGMENT = "_segment"
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """For each hot key the ascending upper bounds of all segments but the last."""
+    """The keys too large for one task (a stored table), or None if there is none."""
 
     key: str
-    seq: str
-    kind: T.DataType
-    bounds: dict = field(default_factory=dict)
-
-    @property
-    def steps(self) -> list[int]:
-        """Halving step sizes for a search over the longest list of bounds."""
-        longest = max(map(len, self.bounds.values()))
-        return [1 << b for b in reversed(range(longest.bit_length()))]
-
-    def table(self, spark: SparkSession, key: str) -> DataFrame:
-        schema = T.StructType(
-            [
-                T.StructField(key, self.kind),
-                T.StructField("_bounds", T.ArrayType(T.LongType(), False)),
-            ]
-        )
-        return spark.createDataFrame(list(self.bounds.items()), schema)
-
+    hot: DataFrame | None = None
+    pieces: int = 0
 
-def hot_cuts(
-    df: DataFrame,
-    key: str,
-    seq: str,
-    parts: int | None = None,
-    min_rows: int = MIN_HOT_ROWS,
-) -> Cuts:
-    """Find the keys too large for one task and where to cut them."""
-    parts = parts or default_parts(df.sparkSession)
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
-    none = Cuts(key, seq, df.schema[key].dataType)
-    if not whole["total"]:
-        return none
-    limit = max(whole["total"] / parts, min_rows)
-    if whole["largest"] <= limit:
-        return none
-    # fewer than `parts` rows: each stands for more than total / parts rows
-    hot = counts.where(F.col("n") > limit)
-    grid = [i / parts for i in range(1, parts)]
-    pieces = F.least(F.lit(parts), F.ceil(F.col("n") / limit)).cast("int")
-    nth = lambda i: F.get("grid", F.floor(i * parts / pieces).cast("int") - 1)
-    picks = F.array_distinct(F.transform(F.sequence(F.lit(1), pieces - 1), nth))
-    rows = (
-        df.join(F.broadcast(hot), key)
-        .groupBy(key, "n")
-        .agg(F.percentile_approx(seq, grid, 4 * parts).alias("grid"))
-        .select(key, F.sort_array(picks).alias("bounds"))
-        .collect()
-    )
-    return Cuts(key, seq, none.kind, {row[key]: row["bounds"] for row in rows})
 
-
-def _segment_of(bounds: Column, seq: Column, steps: list[int]) -> Column:
-    """1 + how many bounds lie below ``seq``, by binary search."""
-
-    def advance(low, step):
-        probe = low + step
-        return F.when(
-            (probe <= F.size(bounds)) & (F.get(bounds, probe - 1) < seq), probe
-        ).otherwise(low)
-
-    search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
-    return F.when(bounds.isNull(), F.lit(0)).otherwise(search + 1)
+def hot_cuts(df: DataFrame, key: str, limit: int = TASK_ROWS) -> Cuts:
+    """Find the keys with more than ``limit`` rows."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    hot = stored(counts.where(F.col("_rows") > limit), "hot-keys")
+    rows = hot.agg(F.sum("_rows")).first()[0]
+    if rows is None:
+        return Cuts(key)
+    return Cuts(key, hot.select(key), max(2, -(-rows // limit)))
 
 
 @dataclass(frozen=True)
@@ -118,14 +58,10 @@ class Timeline:
     df: DataFrame
     key: str
     seq: str
-    cuts: Cuts
-
-    @property
-    def cut(self) -> bool:
-        return bool(self.cuts.bounds)
+    cut: bool
 
     def with_columns(self, columns: dict[str, Column]) -> "Timeline":
-        return Timeline(self.df.withColumns(columns), self.key, self.seq, self.cuts)
+        return Timeline(self.df.withColumns(columns), self.key, self.seq, self.cut)
 
     def rows(self) -> DataFrame:
         return self.df.drop(SEGMENT)
@@ -159,11 +95,10 @@ class Timeline:
             carried = ends.withColumns(
                 {f"{n}_in": F.max(f"{n}_in").over(earlier) for n in values}
             )
-            # at most 2 * parts rows
-            out = out.join(F.broadcast(carried), [self.key, SEGMENT], "left")
+            out = out.join(carried, [self.key, SEGMENT], "left")
             out = out.withColumns({n: F.greatest(n, f"{n}_in") for n in values})
             out = out.drop(*[f"{n}_in" for n in values])
-        return Timeline(out, self.key, self.seq, self.cuts)
+        return Timeline(out, self.key, self.seq, self.cut)
 
 
 def timeline(
@@ -171,54 +106,48 @@ def timeline(
     key: str = "symbol_pair",
     seq: str = "seq",
     cuts: Cuts | None = None,
-    parts: int | None = None,
-    min_rows: int = MIN_HOT_ROWS,
+    limit: int = TASK_ROWS,
 ) -> Timeline:
     """Prepare ``df`` for running state; ``cuts`` skips the search for hot keys.
 
     ``seq`` must be unique per key.
     """
     if cuts is None:
-        cuts = hot_cuts(df, key, seq, parts, min_rows)
-    if cuts.bounds:
-        df = df.join(F.broadcast(cuts.table(df.sparkSession, key)), key, "left")
-        df = df.withColumn(
-            SEGMENT, _segment_of(F.col("_bounds"), F.col(seq), cuts.steps)
-        ).drop("_bounds")
-    return Timeline(df, key, seq, cuts)
+        cuts = hot_cuts(df, key, limit)
+    if cuts.hot is None:
+        return Timeline(df, key, seq, False)
+    keys = cuts.hot.select(F.col(cuts.key).alias(key), F.lit(True).alias("_hot"))
+    marked = df.join(keys, key, "left")
+    cold = marked.where(F.col("_hot").isNull()).withColumn(SEGMENT, F.lit(0))
+    dealt = marked.where("_hot").repartitionByRange(cuts.pieces, key, seq)
+    # stored, because all readers must see the same borders
+    hot = stored(dealt.withColumn(SEGMENT, F.spark_partition_id() + 1), "segments")
+    return Timeline(cold.unionByName(hot).drop("_hot"), key, seq, True)
 
 
 def number_rows(
-    df: DataFrame,
-    seq: str = "seq",
-    parts: int | None = None,
-    min_rows: int = MIN_HOT_ROWS,
-    name: str = "position",
+    df: DataFrame, seq: str = "seq", name: str = "position", parts: int | None = None
 ) -> DataFrame:
     """Number all rows 0, 1, 2, … by ``seq`` without one task sorting them all.
 
-    The table is treated as a single key: cut by quantiles of ``seq``, numbered
-    inside each piece, and shifted by the sizes of the earlier pieces.
+    The rows are range partitioned, sorted and numbered inside each partition,
+    stored once, and shifted by the sizes of the earlier partitions.
     """
-    whole = df.withColumn("_all", F.lit(0))
-    cuts = hot_cuts(whole, "_all", seq, parts, min_rows)
-    inside = Window.partitionBy("_all").orderBy(seq)
-    if not cuts.bounds:
-        return whole.withColumn(name, F.row_number().over(inside).cast("long") - 1).drop("_all")
-    bounds = F.lit(cuts.bounds[0])
-    pieces = df.withColumn(SEGMENT, _segment_of(bounds, F.col(seq), cuts.steps))
-    sizes = pieces.groupBy(SEGMENT).agg(F.count("*").alias("_size"))
-    earlier = (
-        Window.partitionBy(F.lit(0))
-        .orderBy(SEGMENT)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    shifts = sizes.select(
-        SEGMENT, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift")
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the id counts rows in its lower 33 bits and has the partition above them
+    dealt = df.repartitionByRange(parts, seq).sortWithinPartitions(seq)
+    dealt = stored(dealt.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    piece = F.shiftright("_id", 33)
+    sizes = dealt.groupBy(piece.alias("_piece")).agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(  # one row per partition
+        "_piece", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift")
     )
-    inside = Window.partitionBy(SEGMENT).orderBy(seq)
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        pieces.join(F.broadcast(shifts), SEGMENT)
-        .withColumn(name, F.col("_shift") + F.row_number().over(inside) - 1)
-        .drop(SEGMENT, "_shift")
+        dealt.withColumn("_piece", piece)
+        .join(shifts, "_piece")
+        .withColumn(name, F.col("_shift") + inside)
+        .drop("_id", "_piece", "_shift")
     )

@@ -750,6 +750,17 @@ def oracle() -> dict[str, str]:
               ON s = symbol_pair
             WHERE op = 'U'""",
         "stream_changelog": changes,
+        "full_config_changelog_split": changes,
+        "fold_changelog_split": fold,
+        "stream_cdc_to_table": f"""{CDC_CTES}, {ORDER_TICKS},
+            c AS {_newest('parsed', 'config_event_at DESC, seq DESC')},
+            p AS {_newest('ticks', 'seq DESC')}
+            SELECT c.symbol_pair, c.id AS config_id, CAST(p.price AS DOUBLE) AS price,
+                   CAST(c.delta_percent AS DOUBLE) AS delta_percent,
+                   {low('p.price', 'c.delta_percent')} AS low_price,
+                   {high('p.price', 'c.delta_percent')} AS high_price,
+                   p.price_at, c.config_event_at
+            FROM c JOIN p ON c.symbol_pair = p.symbol_pair WHERE NOT c.deleted""",
         "stream_fold_changelog": fold,
         "bootstrap_equivalence": f"""WITH {EVENTS}, {LOG}, {CONFIG_TABLE}, {ORDER_TICKS},
             configs AS (

@@ -22,7 +22,7 @@ from bandstream.schemas import (
 from bandstream.session import configure, scratch_path
 from bandstream.sources import cdc, fixtures, records, tables
 from bandstream.sources.store import CompactedChangelog
-from bandstream.streaming import processors, sinks
+from bandstream.streaming import changelogs, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -30,6 +30,7 @@ REGISTRY: dict[str, Query] = {}
 DAY = fixtures.DAY_MS
 MID_JANUARY = 1_705_276_800_000  # 2024-01-15 00:00 UTC
 PUBLISHED_AT = 1_704_067_200_000
+SPLIT_ROWS = 60
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -591,18 +592,68 @@ def stream_full_config(spark, sf_dir):
     return _run(spark, sf_dir, joins.join_state, CHANGELOG, _halves(spark, sf_dir)).read()
 
 
+def _run_per_event(spark, sf_dir, into, schema, state_schema) -> DataFrame:
+    """Stream both halves, each cut along time into three micro-batches of the log."""
+    source, progress = scratch_path(spark, "arrivals"), scratch_path(spark, "progress")
+    changes = CompactedChangelog(spark, scratch_path(spark, "changes"), schema)
+    state = CompactedChangelog(spark, scratch_path(spark, "state"), state_schema)
+    for half in _halves(spark, sf_dir):
+        rows = half.select(*TAGGED_LOG.names)
+        # ranges of seq become files that arrive one after the other
+        cuts = rows.approxQuantile("seq", [1 / 3, 2 / 3], 0.01)
+        low = None
+        for high in [*cuts, None]:
+            piece = rows if low is None else rows.where(F.col("seq") > low)
+            piece = piece if high is None else piece.where(F.col("seq") <= high)
+            piece.write.mode("append").parquet(source)
+            stream = records.file_stream(spark, source, TAGGED_LOG)
+            sinks.start(
+                stream, into(changes, state), progress, mode="append", available_now=True
+            ).awaitTermination()
+            low = high
+    return changes.changes().drop("batch_id")
+
+
 @query
 def stream_changelog(spark, sf_dir):
-    build = processors.stream_join_changelog
-    store = _run(spark, sf_dir, build, CHANGELOG, _halves(spark, sf_dir))
-    return store.changes().drop("batch_id")
+    return _run_per_event(spark, sf_dir, changelogs.join_into, CHANGELOG, changelogs.JOIN_STATE)
 
 
 @query
 def stream_fold_changelog(spark, sf_dir):
-    build = processors.stream_fold
-    store = _run(spark, sf_dir, build, FOLD_CHANGELOG, _halves(spark, sf_dir))
-    return store.changes().drop("batch_id")
+    return _run_per_event(
+        spark, sf_dir, changelogs.fold_into, FOLD_CHANGELOG, changelogs.FOLD_STATE
+    )
+
+
+@query
+def stream_cdc_to_table(spark, sf_dir):
+    """Captured messages and ticks, streamed from topic rows to the stored table."""
+    source, prices = scratch_path(spark, "cdc"), scratch_path(spark, "ticks")
+    store = CompactedChangelog(spark, scratch_path(spark, "table"), CHANGELOG)
+    fixtures.cdc_log(spark, sf_dir).write.parquet(source)
+    ticks = fixtures.order_ticks(spark, sf_dir)
+    ticks.write.parquet(prices)
+    configs = cdc.parse_cdc(records.file_stream(spark, source))
+    log = latest.tag_log(configs, records.file_stream(spark, prices, ticks.schema))
+    sinks.start(
+        joins.join_state(log),
+        sinks.project_into(store),
+        scratch_path(spark, "progress"),
+        available_now=True,
+    ).awaitTermination()
+    return store.read().drop("seq")
+
+
+@query
+def full_config_changelog_split(spark, sf_dir):
+    """With a task limit so low that the busiest symbols are cut into segments."""
+    return joins.join_changelog(fixtures.log(spark, sf_dir), limit=SPLIT_ROWS)
+
+
+@query
+def fold_changelog_split(spark, sf_dir):
+    return fold.fold_changelog(fixtures.log(spark, sf_dir), limit=SPLIT_ROWS)
 
 
 @query

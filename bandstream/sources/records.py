@@ -27,23 +27,21 @@ POLL_RECORDS = 500
 _CORRUPT = "_corrupt_record"
 
 
-# A micro-batch is bounded, so that a backlog is read in steps and one symbol's
-# share of it fits the task that keeps its state.
-BATCH_RECORDS = 1_000_000
-BATCH_BYTES = 1 << 26
-
-
 def kafka_stream(
-    spark: SparkSession, servers: str, topic: str, max_records: int = BATCH_RECORDS
+    spark: SparkSession, servers: str, topic: str, max_records: int | None = None
 ) -> DataFrame:
-    """A topic as a stream of ``KAFKA_ROW``, from the earliest offset on."""
+    """A topic as a stream of ``KAFKA_ROW``, from the earliest offset on.
+
+    ``max_records`` bounds a micro-batch, for a backlog to be read in steps.
+    """
+    bound = {"maxOffsetsPerTrigger": str(max_records)} if max_records else {}
     reader = spark.readStream.format("kafka").options(
         **{
             "kafka.bootstrap.servers": servers,
             "subscribe": topic,
             "includeHeaders": "true",
             "startingOffsets": "earliest",
-            "maxOffsetsPerTrigger": str(max_records),
+            **bound,
         }
     )
     return from_kafka(reader.load())
@@ -63,12 +61,16 @@ def kafka_batch(spark: SparkSession, servers: str, topic: str) -> DataFrame:
 
 
 def kafka_write(records: DataFrame, servers: str) -> None:
-    """Write records (topic, key, value) to their topics."""
-    records.select("topic", "key", "value").write.format("kafka").option(
-        "kafka.bootstrap.servers", servers
+    """Write records (topic, key, value, and headers if there are) to their topics."""
+    records.select(*_sink_columns(records)).write.format("kafka").options(
+        **{"kafka.bootstrap.servers": servers, "includeHeaders": "true"}
     ).save()
 
 
+def _sink_columns(records: DataFrame) -> list[str]:
+    return [c for c in ("topic", "key", "value", "headers") if c in records.columns]
+
+
 def from_kafka(df: DataFrame) -> DataFrame:
     text = {"key": F.col("key").cast("string"), "value": F.col("value").cast("string")}
     return df.withColumns(text).select(*KAFKA_ROW.names)
@@ -79,11 +81,14 @@ def file_stream(
     path: str,
     schema: T.StructType = KAFKA_ROW,
     max_files: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Parquet files that keep arriving in ``path``; files already there come first."""
-    bound = (
-        {"maxFilesPerTrigger": max_files} if max_files else {"maxBytesPerTrigger": BATCH_BYTES}
-    )
+    """Parquet files that keep arriving in ``path``; files already there come first.
+
+    ``max_files`` or ``max_bytes`` bounds a micro-batch.
+    """
+    bound = {"maxFilesPerTrigger": max_files} if max_files else {}
+    bound |= {"maxBytesPerTrigger": max_bytes} if max_bytes else {}
     return spark.readStream.schema(schema).options(**bound).parquet(path)
 
 
@@ -92,6 +97,11 @@ def arrival() -> Column:
     return F.shiftleft(F.col("offset"), 16) + F.col("partition")
 
 
+def _sequenced(records: DataFrame) -> DataFrame:
+    """Records with ``seq``; Kafka-shaped ones get it from offset and partition."""
+    return records if "seq" in records.columns else records.withColumn("seq", arrival())
+
+
 def _json(row: Column) -> Column:
     return F.to_json(row, {"ignoreNullFields": "false"})
 
@@ -125,7 +135,7 @@ def full_config_json() -> Column:
 
 def _parsed(records: DataFrame, table: T.StructType, names: dict[str, str]) -> DataFrame:
     shape = wire_type(table, names).add(_CORRUPT, T.StringType())
-    return records.withColumn(
+    return _sequenced(records).withColumn(
         "_row", F.from_json("value", shape, {"columnNameOfCorruptRecord": _CORRUPT})
     )
 

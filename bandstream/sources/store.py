@@ -2,14 +2,15 @@
 
 Layout below one folder:
 
-    log/batch_id=N/       records of batch N; writing N again replaces them
-    commits/batch_id=N/   one row, written after the records
-    base/version=V/       one row per live key, up to some batch
-    versions/version=V/   one row with that batch, written after the base
-
-Readers see batches that have a commit row and the newest base that has a
-version row, so a half-written one is invisible, and a batch that is delivered
-twice leaves the same table.
+    log/batch_id=N/    records of batch N; writing N again replaces them
+    commits/N          empty file, written after the records
+    base/version=V/    one row per live key, up to some batch
+    versions/V-N       empty file that names that batch, written after the base
+
+Readers see batches that have a commit mark and the newest base that has a
+version mark, so a half-written one is invisible, and a batch that is delivered
+twice leaves the same table.  ``vacuum`` keeps the marks few: a reader lists
+those since the last base.
 """
 
 from __future__ import annotations
@@ -40,10 +41,9 @@ class CompactedChangelog:
         self.key = key
 
     def append(self, changes: DataFrame, batch_id: int) -> None:
-        spark = changes.sparkSession
         rows = changes.select(*self.schema.names)
         rows.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
-        self._mark(spark, f"commits/batch_id={batch_id}", batch_id)
+        self._mark(f"commits/{batch_id}")
 
     def append_batches(self, changes: DataFrame, batch_col: str, batch_ids: list[int]) -> None:
         """Append a changelog that spans the batches ``batch_ids``, in one pass."""
@@ -56,35 +56,48 @@ class CompactedChangelog:
             .parquet(f"{self.path}/log")
         )
         for batch_id in batch_ids:
-            self._mark(changes.sparkSession, f"commits/batch_id={batch_id}", batch_id)
+            self._mark(f"commits/{batch_id}")
 
-    def _mark(self, spark: SparkSession, where: str, upto: int) -> None:
-        row = spark.range(1).select(F.lit(upto).cast("long").alias("upto")).coalesce(1)
-        row.write.mode("overwrite").parquet(f"{self.path}/{where}")
+    def _files(self, name: str):
+        """The file system, and the path of ``name`` in it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _mark(self, name: str) -> None:
+        files, path = self._files(name)
+        files.create(path, True).close()
 
     def _exists(self, name: str) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return files.exists(folder)
+        files, path = self._files(name)
+        return files.exists(path)
 
-    def _marks(self, name: str, partition: str) -> DataFrame:
-        shape = T.StructType(
-            [T.StructField("upto", T.LongType()), T.StructField(partition, T.LongType())]
-        )
+    def _marks(self, name: str) -> list[str]:
         if not self._exists(name):
-            return self.spark.createDataFrame([], shape)
-        return self.spark.read.schema(shape).parquet(f"{self.path}/{name}")
+            return []
+        files, path = self._files(name)
+        return [f.getPath().getName() for f in files.listStatus(path)]
 
-    def commits(self) -> DataFrame:
-        return self._marks("commits", "batch_id").select("batch_id")
+    def commits(self) -> list[int]:
+        """Committed batches that ``vacuum`` has not removed."""
+        return sorted(int(n) for n in self._marks("commits"))
+
+    def _versions(self) -> list[tuple[int, int]]:
+        """(last batch, version) of the bases."""
+        marks = (n.split("-", 1) for n in self._marks("versions"))
+        return sorted((int(upto), int(version)) for version, upto in marks)
 
     def _base(self, as_of: int | None) -> tuple[int | None, int]:
         """Newest base version not past ``as_of``, and the batch it covers."""
-        versions = self._marks("versions", "version")
-        if as_of is not None:
-            versions = versions.where(F.col("upto") <= as_of)
-        best = versions.agg(F.max(F.struct("upto", "version")).alias("best")).first()["best"]
-        return (None, -1) if best is None else (best["version"], best["upto"])
+        found = [v for v in self._versions() if as_of is None or v[0] <= as_of]
+        return (found[-1][1], found[-1][0]) if found else (None, -1)
+
+    def start_from(self, table: DataFrame) -> None:
+        """Make ``table`` (without ``op``) the contents before the first batch."""
+        self._write_base(table.select(*[n for n in self.schema.names if n != "op"]), 0, -1)
+
+    def _write_base(self, table: DataFrame, version: int, upto: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.path}/base/version={version}")
+        self._mark(f"versions/{version}-{upto}")
 
     def changes(self, after: int = -1, upto: int | None = None) -> DataFrame:
         """Committed records of the batches in ``(after, upto]``, with ``batch_id``."""
@@ -92,10 +105,8 @@ class CompactedChangelog:
         if not self._exists("log"):
             return self.spark.createDataFrame([], shape)
         rows = self.spark.read.schema(shape).parquet(f"{self.path}/log")
-        wanted = F.col("batch_id") > after
-        if upto is not None:
-            wanted = wanted & (F.col("batch_id") <= upto)
-        return rows.where(wanted).join(self.commits().where(wanted), "batch_id", "left_semi")
+        wanted = [n for n in self.commits() if n > after and (upto is None or n <= upto)]
+        return rows.where(F.col("batch_id").isin(wanted))
 
     def read(self, as_of: int | None = None) -> DataFrame:
         """The table as of a batch (default: now): one row per live key.
@@ -104,7 +115,7 @@ class CompactedChangelog:
         aggregated, and the base loses the keys they touch.
         """
         version, upto = self._base(as_of)
-        if version is None and self.commits().isEmpty():
+        if version is None and not self.commits():
             raise StoreUnavailable(self.path)
         tail = latest_by(self.changes(upto, as_of), [self.key], ["batch_id", "seq"])
         live = tail.where(F.col("op") != "D").drop("batch_id", "op")
@@ -117,16 +128,12 @@ class CompactedChangelog:
 
     def compact(self, upto: int | None = None) -> int:
         """Write a new base of the committed batches (up to ``upto``); returns its version."""
-        commits = self.commits()
-        if upto is not None:
-            commits = commits.where(F.col("batch_id") <= upto)
-        newest = commits.agg(F.max("batch_id")).first()[0]
+        commits = [n for n in self.commits() if upto is None or n <= upto]
         version, covered = self._base(None)
-        if newest is None or newest <= covered:
+        if not commits or commits[-1] <= covered:
             return -1 if version is None else version
         new = 1 if version is None else version + 1
-        self.read(newest).write.mode("overwrite").parquet(f"{self.path}/base/version={new}")
-        self._mark(self.spark, f"versions/version={new}", newest)
+        self._write_base(self.read(commits[-1]), new, commits[-1])
         return new
 
     def vacuum(self) -> None:
@@ -137,15 +144,15 @@ class CompactedChangelog:
         version, upto = self._base(None)
         if version is None:
             return
-        for row in self.commits().where(F.col("batch_id") <= upto).toLocalIterator():
-            self._delete(f"commits/batch_id={row['batch_id']}")
-            self._delete(f"log/batch_id={row['batch_id']}")
-        for row in self._marks("versions", "version").toLocalIterator():
-            if row["version"] != version:
-                self._delete(f"versions/version={row['version']}")
-                self._delete(f"base/version={row['version']}")
+        for batch_id in self.commits():
+            if batch_id <= upto:
+                self._delete(f"commits/{batch_id}")
+                self._delete(f"log/batch_id={batch_id}")
+        for covered, other in self._versions():
+            if other != version:
+                self._delete(f"versions/{other}-{covered}")
+                self._delete(f"base/version={other}")
 
     def _delete(self, name: str) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(folder, True)
+        files, path = self._files(name)
+        files.delete(path, True)

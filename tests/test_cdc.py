@@ -111,3 +111,27 @@ def test_prices_without_symbol_are_not_published(spark):
     ]
     back = records.price_scan(records.publish_prices(ticks, F.lit(99)))
     assert [tuple(r) for r in back.collect()] == [("A", Decimal("1.5"), 99, False, 1)]
+
+
+def test_scans_take_kafka_shaped_rows(spark):
+    """The typed scans number rows by offset and partition; headers reach the sink."""
+    rows = [
+        ("t", 1, 5, None, "A", '{"symbolPair":"A","price":2.5,"priceAt":7}', None),
+        ("t", 0, 6, None, "A", None, None),
+    ]
+    raw = spark.createDataFrame(rows, KAFKA_ROW)
+    ticks = {r["seq"]: r for r in records.price_scan(raw).collect()}
+    assert set(ticks) == {(5 << 16) + 1, 6 << 16}
+    assert ticks[6 << 16]["deleted"] and ticks[(5 << 16) + 1]["price_at"] == 7
+    assert records.snapshot_scan(raw).columns[-1] == "seq"
+    assert {r["op"] for r in records.changelog_scan(raw).collect()} == {"U", "D"}
+    assert records._sink_columns(raw) == ["topic", "key", "value", "headers"]
+
+
+def test_two_topics_never_share_a_number(spark):
+    from bandstream.operators.latest import tag_topics
+
+    config = spark.createDataFrame([("A", 1, 9)], "symbol_pair string, id long, seq long")
+    price = spark.createDataFrame([("A", 9)], "symbol_pair string, seq long")
+    got = {r["side"]: r["seq"] for r in tag_topics(config, price).collect()}
+    assert got == {"C": 18, "P": 19}

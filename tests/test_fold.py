@@ -15,7 +15,7 @@ def emitted(df):
     return sorted(tuple(r) for r in df.select(*COLUMNS).collect())
 
 
-@pytest.mark.parametrize("sizes", [{}, {"parts": 40, "min_rows": 5}], ids=["whole", "cut"])
+@pytest.mark.parametrize("sizes", [{}, {"limit": 5}], ids=["whole", "cut"])
 @pytest.mark.parametrize("seed", [4, 5, 6])
 def test_changelog_matches_model(spark, seed, sizes):
     rows = logs.random_log(seed, 900)
@@ -53,7 +53,7 @@ def test_restart_from_cache_continues(spark):
         [], "id long, symbol_pair string, delta_percent decimal(9,6), config_event_at long"
     )
     restored = fold.restore_seed(cache, configs)
-    got = emitted(fold.fold_changelog(later, seed=restored, parts=40, min_rows=5))
+    got = emitted(fold.fold_changelog(later, seed=restored, limit=5))
     assert got == sorted(model.fold(rows[400:], seed)[0])
 
 

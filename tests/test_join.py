@@ -8,7 +8,7 @@ from bandstream.operators.latest import latest_by, live_rows, merge_streams
 
 COLUMNS = ["op", "symbol_pair", "seq", "config_id", "price", "delta_percent"]
 WHOLE = {}
-CUT = {"parts": 40, "min_rows": 5}
+CUT = {"limit": 5}
 
 
 def emitted(df):
@@ -89,6 +89,6 @@ def test_one_exchange_for_the_changelog(spark):
     from bandstream.operators.runs import Cuts
 
     log = logs.frame(spark, logs.random_log(1, 10))
-    none = Cuts("symbol_pair", "seq", log.schema["symbol_pair"].dataType)
+    none = Cuts("symbol_pair")
     plan = join_changelog(log, cuts=none)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1

@@ -48,7 +48,7 @@ def random_requests(seed, size, ids=8, symbols=10):
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"parts": 20, "min_rows": 3}], ids=["whole", "cut"])
+@pytest.mark.parametrize("sizes", [{}, {"limit": 3}], ids=["whole", "cut"])
 @pytest.mark.parametrize("seed,size", [(1, 40), (2, 90)])
 def test_same_as_one_after_the_other(spark, seed, size, sizes):
     configs = {i: (f"S{i}", Decimal(i)) for i in range(1, 9)}

@@ -59,6 +59,6 @@ def test_pages(spark):
 def test_direction(spark):
     rows = [("A", 1, 5.0), ("A", 2, 5.0), ("A", 3, 6.0), ("A", 4, None), ("A", 5, 1.0), ("A", 6, 0.5)]
     df = spark.createDataFrame(rows, "symbol_pair string, seq long, price double")
-    for sizes in ({}, {"parts": 20, "min_rows": 1}):
+    for sizes in ({}, {"limit": 1}):
         got = [r["direction"] for r in tick_direction(df, **sizes).orderBy("seq").collect()]
         assert got == [None, None, "up", None, None, "down"]

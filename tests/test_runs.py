@@ -13,34 +13,43 @@ def skewed(spark, size=20_000):
 
 
 def test_cold_tables_are_left_alone(spark):
-    cuts = hot_cuts(skewed(spark), "key", "seq")
-    assert cuts.bounds == {}
+    cuts = hot_cuts(skewed(spark), "key")
+    assert cuts.hot is None
     assert not timeline(skewed(spark), "key", "seq", cuts).cut
 
 
 def test_hot_key_is_cut_into_even_pieces(spark):
     df = skewed(spark)
-    cuts = hot_cuts(df, "key", "seq", parts=60, min_rows=100)
-    assert set(cuts.bounds) == {"HOT"}
+    cuts = hot_cuts(df, "key", limit=330)
+    assert [r["key"] for r in cuts.hot.collect()] == ["HOT"]
     pieces = timeline(df, "key", "seq", cuts).df.where(F.col(SEGMENT) > 0)
     sizes = [r["count"] for r in pieces.groupBy(SEGMENT).count().collect()]
     assert sum(sizes) == df.where("key = 'HOT'").count()
-    assert 19 <= len(sizes) <= 22 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert 18 <= len(sizes) <= 22 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_the_limit_does_not_depend_on_the_table(spark):
+    """A key far below any share of the table is cut once it is above the limit."""
+    key = F.when(F.col("id") < 50, F.lit("small")).otherwise(F.col("id").cast("string"))
+    df = spark.range(200_000).select(key.alias("key"), F.col("id").alias("seq"))
+    line = timeline(df, "key", "seq", limit=20)
+    segments = line.df.where(F.col(SEGMENT) > 0).select("key", SEGMENT).distinct().collect()
+    assert {r["key"] for r in segments} == {"small"} and len(segments) >= 2
+    got = line.prior(m=F.col("seq")).rows().where("key = 'small' AND m != seq - 1")
+    assert got.isEmpty()
 
 
 def test_running_maximum_is_the_same_with_and_without_cuts(spark):
     df = skewed(spark, 5000).withColumn("v", F.xxhash64("seq"))
     whole = timeline(df, "key", "seq").prior(m=F.col("v")).rows()
-    cuts = hot_cuts(df, "key", "seq", parts=300, min_rows=10)
-    cut = timeline(df, "key", "seq", cuts).prior(m=F.col("v")).rows().select(*whole.columns)
-    assert len(cuts.bounds) >= 1
+    cut = timeline(df, "key", "seq", limit=15).prior(m=F.col("v")).rows().select(*whole.columns)
     assert whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty()
 
 
 def test_rows_are_numbered_in_order_across_pieces(spark):
     values = random.Random(1).sample(range(1 << 50), 3000)
     df = spark.createDataFrame([(v,) for v in values], "seq long")
-    got = {r["seq"]: r["position"] for r in number_rows(df, parts=50, min_rows=10).collect()}
+    got = {r["seq"]: r["position"] for r in number_rows(df, parts=50).collect()}
     assert got == {v: i for i, v in enumerate(sorted(values))}
     small = {r["seq"]: r["position"] for r in number_rows(df).collect()}
     assert small == got
@@ -48,6 +57,20 @@ def test_rows_are_numbered_in_order_across_pieces(spark):
 
 def test_numbering_uses_many_tasks(spark):
     df = spark.range(5000).withColumnRenamed("id", "seq")
-    numbered = number_rows(df, parts=50, min_rows=10)
-    assert "Window" in numbered._jdf.queryExecution().optimizedPlan().toString()
+    numbered = number_rows(df, parts=50)
     assert numbered.where("position <> seq").isEmpty()
+
+
+def test_numbering_evaluates_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(4000).withColumnRenamed("id", "seq").repartition(3)
+    numbered = number_rows(df.mapInArrow(look, df.schema), parts=8)
+    assert numbered.count() == 4000
+    # once for the rows, once for the sample that sets the borders of the ranges
+    assert seen.value <= 8000

@@ -48,7 +48,7 @@ def test_batches_replay_compaction_and_history(spark, store):
     assert store.compact() == 2
     store.vacuum()
     assert table(store) == {"B": 7, "C": 4}
-    assert store.commits().isEmpty()
+    assert store.commits() == []
 
 
 def test_uncommitted_batches_are_invisible(spark, store):

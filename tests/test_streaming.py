@@ -2,6 +2,7 @@ import logs
 import model
 import pytest
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bandstream.operators import fold, joins, projection
@@ -10,7 +11,7 @@ from bandstream.schemas import CHANGELOG, FOLD_CHANGELOG, TAGGED_LOG
 from bandstream.session import scratch_path
 from bandstream.sources import records
 from bandstream.sources.store import CompactedChangelog
-from bandstream.streaming import processors, sinks
+from bandstream.streaming import changelogs, sinks
 
 
 def replay(spark, rows, pieces, build, schema, sink=sinks.append_into):
@@ -38,16 +39,67 @@ def test_update_mode_join_ends_like_the_batch(spark, pieces):
     assert same(store.read().drop("seq"), want)
 
 
+def replay_events(spark, batches, into, schema, state_schema, seed=None, upkeep=2):
+    """Feed batches of rows through a per-event sink, one query run each."""
+    source, progress = scratch_path(spark, "in"), scratch_path(spark, "ck")
+    changes = CompactedChangelog(spark, scratch_path(spark, "out"), schema)
+    state = CompactedChangelog(spark, scratch_path(spark, "state"), state_schema)
+    if seed is not None:
+        state.start_from(seed.withColumn("seq", F.lit(0).cast("long")))
+    for rows in batches:
+        logs.frame(spark, rows).write.mode("append").parquet(source)
+        stream = records.file_stream(spark, source, TAGGED_LOG)
+        sink = into(changes, state, upkeep)
+        sinks.start(stream, sink, progress, "append", available_now=True).awaitTermination()
+    return changes, state
+
+
+def chunks(rows, n):
+    step = -(-len(rows) // n)
+    return [rows[i : i + step] for i in range(0, len(rows), step)]
+
+
 def test_per_event_join_changelog(spark):
     rows = logs.random_log(12, 300, tombstones=True)
-    store = replay(spark, rows, 3, processors.stream_join_changelog, CHANGELOG)
-    assert same(store.changes().drop("batch_id"), joins.join_changelog(logs.frame(spark, rows)))
+    changes, _ = replay_events(
+        spark, chunks(rows, 5), changelogs.join_into, CHANGELOG, changelogs.JOIN_STATE
+    )
+    assert len(changes.commits()) == 5
+    assert same(changes.changes().drop("batch_id"), joins.join_changelog(logs.frame(spark, rows)))
 
 
 def test_per_event_fold_changelog(spark):
     rows = logs.random_log(13, 300)
-    store = replay(spark, rows, 3, processors.stream_fold, FOLD_CHANGELOG)
-    assert same(store.changes().drop("batch_id"), fold.fold_changelog(logs.frame(spark, rows)))
+    changes, _ = replay_events(
+        spark, chunks(rows, 5), changelogs.fold_into, FOLD_CHANGELOG, changelogs.FOLD_STATE
+    )
+    assert same(changes.changes().drop("batch_id"), fold.fold_changelog(logs.frame(spark, rows)))
+
+
+def test_late_rows_do_not_replace_newer_ones(spark):
+    """Batches out of order: the kept state ends as that of the ordered log."""
+    rows = logs.random_log(16, 240, tombstones=True)
+    a, b, c, d = chunks(rows, 4)
+    _, state = replay_events(
+        spark, [a, c, b, d], changelogs.join_into, CHANGELOG, changelogs.JOIN_STATE
+    )
+    want = joins.join_changelog(logs.frame(spark, rows))
+    held = state.read().where("NOT config.deleted AND NOT coalesce(price.deleted, false)")
+    got = held.select("symbol_pair", "config.id", "config.delta_percent", "price.price")
+    table = live_rows(want).select("symbol_pair", "config_id", "delta_percent", "price")
+    assert same(got.toDF(*table.columns), table)
+
+
+def test_a_repeated_batch_changes_nothing(spark):
+    first, second = chunks(logs.random_log(17, 120), 2)
+    changes = CompactedChangelog(spark, scratch_path(spark, "out"), FOLD_CHANGELOG)
+    state = CompactedChangelog(spark, scratch_path(spark, "state"), changelogs.FOLD_STATE)
+    write = changelogs.fold_into(changes, state)
+    write(logs.frame(spark, first), 0)
+    write(logs.frame(spark, second), 1)
+    before = sorted(map(str, changes.changes().collect()))
+    write(logs.frame(spark, second), 1)
+    assert sorted(map(str, changes.changes().collect())) == before
 
 
 def test_streaming_fold_starts_from_restored_entries(spark):
@@ -56,18 +108,18 @@ def test_streaming_fold_starts_from_restored_entries(spark):
     seed = cache.select("symbol_pair", "config_id", "price", "delta_percent", "config_event_at")
     seed = spark.createDataFrame(seed.collect(), seed.schema)
     later = rows[150:]
-    store = replay(
-        spark, later, 1, lambda s: processors.stream_fold(s, seed), FOLD_CHANGELOG
+    changes, _ = replay_events(
+        spark, chunks(later, 2), changelogs.fold_into, FOLD_CHANGELOG, changelogs.FOLD_STATE, seed
     )
     want = fold.fold_changelog(logs.frame(spark, later), seed=seed)
-    assert same(store.changes().drop("batch_id"), want)
+    assert same(changes.changes().drop("batch_id"), want)
     entries = {
         r["symbol_pair"]: dict(
             id=r["config_id"], price=r["price"], delta=r["delta_percent"], at=r["config_event_at"]
         )
         for r in seed.collect()
     }
-    assert store.changes().count() == len(model.fold(later, entries)[0])
+    assert changes.changes().count() == len(model.fold(later, entries)[0])
 
 
 def test_metrics_and_expiry_of_a_projected_stream(spark):
