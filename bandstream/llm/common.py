@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bandstream.session import configure, scratch_path
+from bandstream.session import configure, stored
+
+__all__ = ["doc_key", "fields", "fresh", "prepare", "stored", "table", "text_bytes"]
 
 #: Rows and bytes handed to a Python worker at once; bounds its memory, not the result.
 BATCH_ROWS = 1000
@@ -25,17 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
-
-    For results that are read more than once: cuts the lineage, survives lost
-    executors and gives the optimizer true sizes.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

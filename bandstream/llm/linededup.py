@@ -100,11 +100,16 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` without repeated chunks, and n_lines and n_removed."""
-    names = docs.columns
-    held = F.struct(*names)
     gone = stored(removals(docs), "removals").withColumnsRenamed({"k1": "r1", "k2": "r2"})
-    rows = chunked(docs.select("doc_id", "text", held.alias("held")))
-    joined = rows.join(gone, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left")
+    rest = F.struct(*[c for c in docs.columns if c != "text"])
+    k1, k2 = doc_key("doc_id", "text")
+    rows = docs.select("doc_id", "text", rest.alias("held"), k1.alias("j1"), k2.alias("j2"))
+    # the texts cross the shuffle once, and are cut into lines behind it; the hint
+    # keeps the plan the same at every size
+    found = rows.join(
+        gone.hint("merge"), (F.col("j1") == F.col("r1")) & (F.col("j2") == F.col("r2")), "left"
+    )
+    joined = chunked(found.select("doc_id", "text", "held", "removed"))
     keep = F.filter("chunks", lambda c: ~F.array_contains("removed", c["n"]))
     kept = F.flatten(
         F.transform(keep, lambda c: F.slice(F.col("lines"), c["first"] + 1, c["size"]))
