@@ -685,6 +685,9 @@ def oracle() -> dict[str, str]:
         "page": f"""{LINE_SNAPSHOT}
             SELECT {SHOW_FULL} FROM (SELECT * FROM full_table
               ORDER BY price DESC NULLS LAST, symbol_pair OFFSET 40 LIMIT 20)""",
+        "page_after": f"""{LINE_SNAPSHOT}
+            SELECT {SHOW_FULL} FROM (SELECT * FROM full_table
+              ORDER BY price DESC NULLS LAST, symbol_pair OFFSET 40 LIMIT 20)""",
         "page_meta": f"""{LINE_SNAPSHOT}
             SELECT 2 AS page, 20 AS size, count(*) AS total_elements,
                    CAST(ceil(count(*) / 20.0) AS INTEGER) AS total_pages,

@@ -19,7 +19,7 @@ from bandstream.schemas import (
     FOLD_CHANGELOG,
     TAGGED_LOG,
 )
-from bandstream.session import configure, scratch_path
+from bandstream.session import configure, scratch_path, stored
 from bandstream.sources import cdc, fixtures, records, tables
 from bandstream.sources.store import CompactedChangelog
 from bandstream.streaming import changelogs, sinks
@@ -427,6 +427,20 @@ def page(spark, sf_dir):
     return projection.page(table, number=2, size=20, sort="price", desc=True)
 
 
+@query
+def page_after(spark, sf_dir):
+    """The page after the last row of the first 40, from a stored table."""
+    table = stored(
+        joins.full_config(
+            fixtures.part_configs(spark, sf_dir), fixtures.line_ticks(spark, sf_dir)
+        ),
+        "projection",
+    )
+    last = projection.page(table, number=39, size=1, sort="price", desc=True).first()
+    after = (last["price"], last["symbol_pair"]) if last else None
+    return projection.page_after(table, after, size=20, sort="price", desc=True)
+
+
 @query
 def page_meta(spark, sf_dir):
     table = joins.full_config(

@@ -25,6 +25,7 @@ def project_into(
     transport: Callable | None = None,
     ttl_ms: int | None = None,
     clock: Callable[[], float] = time.time,
+    upkeep: int | None = None,
 ):
     """A ``foreachBatch`` function: collapse the batch, store it, push it.
 
@@ -32,6 +33,9 @@ def project_into(
     there fails the batch so that it is delivered again.  Pushes hold as many
     records as a listener polls; a failed push is logged and dropped.
 
+    With ``upkeep`` the store is compacted, and what the new base replaces deleted,
+    after every that many batches, so its folders and its tail stay bounded.
+
     With ``ttl_ms`` every row is stored with the ``expires_at`` its write gives
     it; the store's schema then has that column.
     """
@@ -42,6 +46,9 @@ def project_into(
             now = F.lit(int(clock() * 1000)).cast("long")
             rows = with_ttl(rows, now, ttl_ms=ttl_ms)
         store.append(rows, batch_id)
+        if upkeep and batch_id % upkeep == upkeep - 1:
+            store.compact()
+            store.vacuum()
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if transport is None:

@@ -51,6 +51,14 @@ def test_pages(spark):
             seen += [tuple(r) for r in projection.page(df, number, 7, "v", desc).collect()]
         order = sorted(rows, key=lambda r: (r[1] is None, (-(r[1] or 0) if desc else r[1] or 0), r[0]))
         assert seen == order
+        walked, after = [], None
+        while True:
+            got = [tuple(r) for r in projection.page_after(df, after, 7, "v", desc).collect()]
+            if not got:
+                break
+            walked += got
+            after = (got[-1][1], got[-1][0])
+        assert walked == order
     assert projection.page(df, 9, 7).isEmpty()
     assert tuple(projection.page_meta(df, 3, 7).first()) == (3, 7, 23, 4, False, True)
     assert tuple(projection.page_meta(df.limit(0), 0, 7).first()) == (0, 7, 0, 0, True, True)

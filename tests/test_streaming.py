@@ -31,6 +31,15 @@ def same(left, right):
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
+def test_upkeep_keeps_the_store_small(spark):
+    rows = logs.random_log(18, 200, tombstones=True)
+    sink = lambda store: sinks.project_into(store, upkeep=2)
+    store = replay(spark, rows, 5, joins.join_state, CHANGELOG, sink)
+    want = live_rows(joins.join_changelog(logs.frame(spark, rows))).drop("seq")
+    assert same(store.read().drop("seq"), want)
+    assert store.commits() == [4]
+
+
 @pytest.mark.parametrize("pieces", [1, 4])
 def test_update_mode_join_ends_like_the_batch(spark, pieces):
     rows = logs.random_log(11, 300, tombstones=True)
