@@ -65,15 +65,15 @@ lines AS (
 
 
 def low(price="price", delta="delta_percent"):
-    return f"CAST(round({price} - {price} * {delta} * 0.01, 8) AS DOUBLE)"
+    return f"CAST(round({price} - {price} * {delta} * 0.01, 8) AS DECIMAL(38,8))::VARCHAR"
 
 
 def high(price="price", delta="delta_percent"):
-    return f"CAST(round({price} + {price} * {delta} * 0.01, 8) AS DOUBLE)"
+    return f"CAST(round({price} + {price} * {delta} * 0.01, 8) AS DECIMAL(38,8))::VARCHAR"
 
 
 def dbl(*names: str) -> str:
-    return ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in names)
+    return ", ".join(f"CAST({n} AS DECIMAL(38,8))::VARCHAR AS {n}" for n in names)
 
 
 def exact_band(price="price", delta="delta_percent") -> str:
@@ -303,7 +303,7 @@ parsed AS (
 
 CDC_CTES = f"WITH {EVENTS}, {CDC}, {PARSED}"
 
-CONFIG_SHOW = "id, symbol_pair, CAST(delta_percent AS DOUBLE) AS delta_percent, config_event_at, deleted, seq"
+CONFIG_SHOW = "id, symbol_pair, CAST(delta_percent AS DECIMAL(38,8))::VARCHAR AS delta_percent, config_event_at, deleted, seq"
 
 
 def _newest(source: str, order: str, key: str = "symbol_pair") -> str:
@@ -518,20 +518,20 @@ def oracle() -> dict[str, str]:
                    CASE rule WHEN 'header' THEN 1 WHEN 'twice' THEN 3 ELSE 2 END AS headers
             FROM msg""",
         "snapshot_scan": f"""WITH {CONFIG_TABLE}
-            SELECT id, symbol_pair, CAST(delta_percent AS DOUBLE) AS delta_percent,
+            SELECT id, symbol_pair, CAST(delta_percent AS DECIMAL(38,8))::VARCHAR AS delta_percent,
                    touched AS config_event_at, false AS deleted, CAST(-1 AS BIGINT) AS seq FROM cfg""",
         "price_table": f"""WITH {ORDER_TICKS}
-            SELECT symbol_pair, CAST(price AS DOUBLE) AS price, price_at, seq
+            SELECT symbol_pair, CAST(price AS DECIMAL(38,8))::VARCHAR AS price, price_at, seq
             FROM {_newest('ticks', 'seq DESC')}""",
         "changelog_scan": changes,
         "global_scan": f"""{CHANGES}, {LAST_CHANGE}
             SELECT {SHOW_FULL} FROM last_change WHERE op = 'U' ORDER BY symbol_pair""",
         "config_list": f"""WITH {CONFIG_TABLE}
-            SELECT id, symbol_pair, CAST(delta_percent AS DOUBLE) AS delta_percent,
+            SELECT id, symbol_pair, CAST(delta_percent AS DECIMAL(38,8))::VARCHAR AS delta_percent,
                    touched AS updated_at FROM cfg""",
         "config_lookup": f"""WITH {CONFIG_TABLE},
             keys AS (SELECT DISTINCT 'S' || (o_custkey * 2) AS symbol_pair FROM orders)
-            SELECT keys.symbol_pair, id, CAST(delta_percent AS DOUBLE) AS delta_percent,
+            SELECT keys.symbol_pair, id, CAST(delta_percent AS DECIMAL(38,8))::VARCHAR AS delta_percent,
                    id IS NOT NULL AS found
             FROM keys LEFT JOIN cfg ON keys.symbol_pair = cfg.symbol_pair""",
         "outbox_incremental": f"""WITH {EVENTS}, {CDC}
@@ -599,7 +599,7 @@ def oracle() -> dict[str, str]:
             SELECT seq AS "offset",
               CASE WHEN rule NOT IN ('null', 'text') THEN user_id END AS id,
               CASE WHEN rule NOT IN ('null', 'text', 'symbol') THEN symbol_pair END AS symbol_pair,
-              CASE WHEN rule NOT IN ('null', 'text') THEN CAST(k * 0.125 AS DOUBLE) END
+              CASE WHEN rule NOT IN ('null', 'text') THEN CAST(k * 0.125 AS DECIMAL(38,8))::VARCHAR END
                 AS delta_percent,
               CASE WHEN rule NOT IN ('null', 'text') THEN {REVISION} ELSE 0 END AS config_event_at
             FROM msg""",
@@ -620,7 +620,7 @@ def oracle() -> dict[str, str]:
             FROM {_newest("(SELECT * FROM log WHERE side = 'C')", 'config_event_at DESC, seq DESC')}
             WHERE NOT deleted""",
         "latest_price": f"""WITH {LINE_TICKS}
-            SELECT symbol_pair, CAST(price AS DOUBLE) AS price, price_at, seq
+            SELECT symbol_pair, CAST(price AS DECIMAL(38,8))::VARCHAR AS price, price_at, seq
             FROM {_newest('lines', 'l_shipdate DESC, l_orderkey DESC, l_linenumber DESC')}""",
         "merge_config_streams": f"""{CDC_CTES}, {CONFIG_TABLE},
             merged AS (
@@ -637,17 +637,17 @@ def oracle() -> dict[str, str]:
         "full_config_snapshot": f"{LINE_SNAPSHOT} SELECT {SHOW_FULL} FROM full_table",
         "full_config_changelog": changes,
         "full_config_line_changelog": f"""WITH {LINE_TICKS}
-            SELECT l.symbol_pair, p.p_partkey AS config_id, CAST(price AS DOUBLE) AS price,
-                   CAST(p.p_size AS DOUBLE) AS delta_percent,
+            SELECT l.symbol_pair, p.p_partkey AS config_id, CAST(price AS DECIMAL(38,8))::VARCHAR AS price,
+                   CAST(p.p_size AS DECIMAL(38,8))::VARCHAR AS delta_percent,
                    {low('price', 'CAST(p.p_size AS DECIMAL(9,6))')} AS low_price,
                    {high('price', 'CAST(p.p_size AS DECIMAL(9,6))')} AS high_price,
                    price_at, CAST(0 AS BIGINT) AS config_event_at, 'U' AS op, seq
             FROM lines l JOIN part p ON l.symbol_pair = 'P' || p.p_partkey""",
         "enrich_with_full_config": f"""{CHANGES}, {LAST_CHANGE}, {ORDER_TICKS}
-            SELECT t.symbol_pair, CAST(t.price AS DOUBLE) AS price, t.price_at, t.seq,
-                   c.config_id, CAST(c.price AS DOUBLE) AS last_price,
-                   CAST(c.low_price AS DOUBLE) AS low_price,
-                   CAST(c.high_price AS DOUBLE) AS high_price
+            SELECT t.symbol_pair, CAST(t.price AS DECIMAL(38,8))::VARCHAR AS price, t.price_at, t.seq,
+                   c.config_id, CAST(c.price AS DECIMAL(38,8))::VARCHAR AS last_price,
+                   CAST(c.low_price AS DECIMAL(38,8))::VARCHAR AS low_price,
+                   CAST(c.high_price AS DECIMAL(38,8))::VARCHAR AS high_price
             FROM ticks t LEFT JOIN last_change c
               ON t.symbol_pair = c.symbol_pair AND c.op = 'U'""",
         "fold_accept": f"{FOLD} SELECT symbol_pair, seq, event, accepted FROM folded",
@@ -679,7 +679,7 @@ def oracle() -> dict[str, str]:
         "tick_direction": f"""WITH {ORDER_TICKS},
             steps AS (SELECT *, price - lag(price) OVER (PARTITION BY symbol_pair ORDER BY seq)
                       AS move FROM ticks)
-            SELECT symbol_pair, CAST(price AS DOUBLE) AS price, price_at, seq,
+            SELECT symbol_pair, CAST(price AS DECIMAL(38,8))::VARCHAR AS price, price_at, seq,
                    CASE sign(move) WHEN 1 THEN 'up' WHEN -1 THEN 'down' END AS direction
             FROM steps""",
         "page": f"""{LINE_SNAPSHOT}
@@ -695,10 +695,10 @@ def oracle() -> dict[str, str]:
         "projection_ttl": _ttl(f"written + {2 * DAY}", MID_JANUARY + 14 * DAY),
         "projection_ttl_renewed": _ttl(_renewed(), MID_JANUARY + 10 * DAY),
         "scale_values": """SELECT l_orderkey, l_partkey, l_linenumber,
-            CAST(CAST(round(l_extendedprice * (1 - l_discount) / 7, 4) AS DECIMAL(24,8)) AS DOUBLE)
+            CAST(CAST(round(l_extendedprice * (1 - l_discount) / 7, 4) AS DECIMAL(24,8)) AS DECIMAL(38,8))::VARCHAR
               AS price,
             CASE WHEN l_partkey / 4.0 < 1000 THEN
-              CAST(CAST(l_partkey / 4.0 AS DECIMAL(20,6)) AS DOUBLE) END AS delta_percent
+              CAST(CAST(l_partkey / 4.0 AS DECIMAL(20,6)) AS DECIMAL(38,8))::VARCHAR END AS delta_percent
             FROM lineitem""",
         "band": _band_sql(),
         "format_price": f"""WITH v AS (
@@ -732,11 +732,11 @@ def oracle() -> dict[str, str]:
               WHEN 404 THEN 'PRICE_CONFIG_NOT_FOUND' WHEN 409 THEN 'DUPLICATE_SYMBOL_PAIR'
               END AS error_code FROM outcome""",
         "mutation_table": f"""{MUTATIONS}
-            SELECT id, symbol_pair, CAST(delta_percent AS DOUBLE) AS delta_percent,
+            SELECT id, symbol_pair, CAST(delta_percent AS DECIMAL(38,8))::VARCHAR AS delta_percent,
                    touched AS updated_at
             FROM {_newest('accepted', 'seq DESC', 'id')} WHERE op <> 'delete'
             UNION ALL
-            SELECT id, symbol_pair, CAST(delta_percent AS DOUBLE), touched FROM cfg
+            SELECT id, symbol_pair, CAST(delta_percent AS DECIMAL(38,8))::VARCHAR, touched FROM cfg
             WHERE id NOT IN (SELECT id FROM accepted)""",
         "outbox_rows": f"""{MUTATIONS}
             SELECT row_number() OVER (ORDER BY seq) AS id, 'e-' || seq AS event_id,
@@ -758,8 +758,8 @@ def oracle() -> dict[str, str]:
         "stream_cdc_to_table": f"""{CDC_CTES}, {ORDER_TICKS},
             c AS {_newest('parsed', 'config_event_at DESC, seq DESC')},
             p AS {_newest('ticks', 'seq DESC')}
-            SELECT c.symbol_pair, c.id AS config_id, CAST(p.price AS DOUBLE) AS price,
-                   CAST(c.delta_percent AS DOUBLE) AS delta_percent,
+            SELECT c.symbol_pair, c.id AS config_id, CAST(p.price AS DECIMAL(38,8))::VARCHAR AS price,
+                   CAST(c.delta_percent AS DECIMAL(38,8))::VARCHAR AS delta_percent,
                    {low('p.price', 'c.delta_percent')} AS low_price,
                    {high('p.price', 'c.delta_percent')} AS high_price,
                    p.price_at, c.config_event_at
@@ -775,8 +775,8 @@ def oracle() -> dict[str, str]:
               SELECT symbol_pair, price, price_at, seq - 1099511627776 FROM ticks),
             c AS {_newest('configs', 'config_event_at DESC, seq DESC')},
             p AS {_newest('prices', 'seq DESC')}
-            SELECT c.symbol_pair, c.id AS config_id, CAST(p.price AS DOUBLE) AS price,
-                   CAST(c.delta_percent AS DOUBLE) AS delta_percent,
+            SELECT c.symbol_pair, c.id AS config_id, CAST(p.price AS DECIMAL(38,8))::VARCHAR AS price,
+                   CAST(c.delta_percent AS DECIMAL(38,8))::VARCHAR AS delta_percent,
                    {low()} AS low_price, {high()} AS high_price, p.price_at, c.config_event_at
             FROM c JOIN p ON c.symbol_pair = p.symbol_pair WHERE NOT c.deleted""",
     }
@@ -799,8 +799,8 @@ def _band_sql() -> str:
     b AS (SELECT *, CASE WHEN abs(raw) < 1 THEN CAST(raw AS DECIMAL(34,16)) {cases} END AS amount
           FROM a)
     SELECT l_orderkey, l_partkey, l_linenumber, {dbl('price', 'delta_percent')},
-      CAST(round(CAST(price AS DECIMAL(20,8)) - CAST(amount AS DECIMAL(30,16)), 8) AS DOUBLE)
+      CAST(round(CAST(price AS DECIMAL(20,8)) - CAST(amount AS DECIMAL(30,16)), 8) AS DECIMAL(38,8))::VARCHAR
         AS low_price,
-      CAST(round(CAST(price AS DECIMAL(20,8)) + CAST(amount AS DECIMAL(30,16)), 8) AS DOUBLE)
+      CAST(round(CAST(price AS DECIMAL(20,8)) + CAST(amount AS DECIMAL(30,16)), 8) AS DECIMAL(38,8))::VARCHAR
         AS high_price
     FROM b"""

@@ -34,10 +34,10 @@ SPLIT_ROWS = 60
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, so that both engines report the same value type."""
+    """Decimals as text with eight decimals, so that both engines show every digit."""
     return df.select(
         *[
-            F.col(f.name).cast("double").alias(f.name)
+            F.col(f.name).cast("decimal(38,8)").cast("string").alias(f.name)
             if isinstance(f.dataType, T.DecimalType)
             else F.col(f.name)
             for f in df.schema
