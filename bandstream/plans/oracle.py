@@ -58,7 +58,7 @@ LINE_TICKS = """
 lines AS (
   SELECT 'P' || l_partkey AS symbol_pair, CAST(l_extendedprice AS DECIMAL(24,8)) AS price,
          epoch_ms(l_shipdate) AS price_at, l_shipdate, l_orderkey, l_linenumber,
-         ((l_shipdate::DATE - DATE '1970-01-01')::BIGINT * 68719476736 + l_orderkey) * 8
+         ((l_shipdate::DATE - DATE '1970-01-01')::BIGINT * 35184372088832 + l_orderkey) * 8
            + l_linenumber AS seq
   FROM lineitem
 )"""

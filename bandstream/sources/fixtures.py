@@ -160,10 +160,11 @@ def line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks of every part.
 
     ``seq`` packs (ship day, order, line) into one long: same order as sorting
-    by these columns, unique per part, and no window needed.
+    by these columns, unique per part, and no window needed.  45 bits of order
+    key and 14 of day leave the sign alone.
     """
     day = F.unix_date(F.col("l_shipdate").cast("date")).cast("long")
-    packed = (day * F.lit(1 << 36) + F.col("l_orderkey")) * 8 + F.col("l_linenumber")
+    packed = (day * F.lit(1 << 45) + F.col("l_orderkey")) * 8 + F.col("l_linenumber")
     return read(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("P"), F.col("l_partkey")).alias("symbol_pair"),
         F.col("l_extendedprice").cast(PRICE).alias("price"),
