@@ -90,7 +90,9 @@ def removals(docs: DataFrame) -> DataFrame:
     firsts = members.groupBy("hash", "body").agg(
         F.min(place).alias("first"), F.count("*").alias("times")
     )
-    later = members.join(firsts.where("times > 1"), ["hash", "body"]).where(
+    # stored, so that the join has two plain shuffles and a hot chunk can be split
+    firsts = stored(firsts.where("times > 1"), "firsts").hint("merge")
+    later = members.join(firsts, ["hash", "body"]).where(
         (F.col("k1") != F.col("first.k1"))
         | (F.col("k2") != F.col("first.k2"))
         | (F.col("n") != F.col("first.n"))
