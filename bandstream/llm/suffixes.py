@@ -199,7 +199,8 @@ def neighbour_links(suffixes: DataFrame) -> DataFrame:
         )
     )
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "pos")
-    firsts = members.groupBy("h").agg(F.min(place).alias("first"))
+    # stored, so that the join has two plain shuffles and a hot prefix can be split
+    firsts = stored(members.groupBy("h").agg(F.min(place).alias("first")), "firsts").hint("merge")
     to_first = members.join(firsts, "h").select(
         "doc_id",
         "k",
@@ -333,7 +334,9 @@ def repeated_passages(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").where("text IS NOT NULL")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = stored(runs(neighbour_links(suffix_rows(docs))), "runs")
+    # stored, because range partitioning reads its input twice
+    suffixes = stored(suffix_rows(docs), "suffixes")
+    found = stored(runs(neighbour_links(suffixes)), "runs")
     around = stored(contexts(docs, found), "contexts")
 
     def seen(suffix, doc, k, start, end):
