@@ -125,3 +125,28 @@ def test_cells_keep_their_size(n):
     bits = simhash.cell_bits(n)
     rows = n * len(simhash.flips(bits, 2)) / 2**bits
     assert rows <= simhash.CELL_ROWS or bits == 32
+
+
+def kept_of(spark, folder, texts):
+    docs = folder.docs([(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    docs = docs.spark.read.parquet(f"{folder.path}/documents.parquet")
+    return {r["doc_id"] for r in simhash.stage(spark, docs, folder.path).collect()}
+
+
+def five_words(parts):
+    return {tuple(parts[i : i + 5]) for i in range(len(parts) - 4)}
+
+
+def test_stage_finds_cut_and_appended_copies(spark, folder):
+    """Block edits at a five-word Jaccard just above 0.8 are found like scattered ones."""
+    texts, copies = [], set()
+    for g in range(30):
+        base = words(2000 + g, 150 + 20 * g)
+        short = base[: int(0.82 * len(base))]
+        added = base + words(7000 + g, int(0.18 * len(base)))
+        for parts in (base, short, added)[:: 1 if g % 2 else 2]:
+            both = five_words(base) | five_words(parts), five_words(base) & five_words(parts)
+            assert len(both[1]) >= 0.8 * len(both[0])
+            copies |= {len(texts)} if parts is not base else set()
+            texts.append(" ".join(parts))
+    assert kept_of(spark, folder, texts) == set(range(len(texts))) - copies
