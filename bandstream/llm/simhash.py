@@ -343,15 +343,49 @@ def meetings(same: DataFrame) -> DataFrame:
     return rows.join(shared, "key").join(same.select("node", *sketch), "node")
 
 
+def shingle_sets(docs: DataFrame, same: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles): the whole shingle sets of ``nodes``."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            values = np.concatenate([np.empty(0, np.int64), *sets])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+                ["node", "shingles"],
+            )
+
+    k1, k2 = doc_key("doc_id", "text")
+    first = same.join(nodes, "node", "left_semi").select("node", "first.k1", "first.k2")
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), text_bytes().alias("raw"))
+    found = texts.join(first, ["k1", "k2"]).select("node", "raw")
+    return found.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose five-word Jaccard similarity is 0.8 or more, exactly.
+
+    common / (a + b - common) >= 4 / 5 in whole numbers.
+    """
+    for side in "uv":
+        pairs = pairs.join(
+            sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}")), side
+        )
+    common = F.size(F.array_intersect("of_u", "of_v"))
+    return pairs.where(9 * common >= 4 * (F.size("of_u") + F.size("of_v"))).select("u", "v")
+
+
 def linked(docs: DataFrame, same: DataFrame) -> DataFrame:
-    """Links (u, v) between shingle sets whose sketches are close enough."""
+    """Links (u, v) between shingle sets at a Jaccard similarity of 0.8 or more."""
     meeting = stored(meetings(same), "meeting")
+    sets = stored(shingle_sets(docs, same, meeting.select("node").distinct()), "shingles")
     sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
     heads = meeting.groupBy("key").agg(F.min(F.struct("node", *sketch)).alias("h"))
     heads = heads.select("key", F.col("h.node").alias("v"), *[F.col(f"h.{s}").alias(f"v{s}") for s in sketch])
     near = different_bits("s", "vs") <= SKETCH_BITS
     pairs = meeting.join(heads, "key").where(near & (F.col("node") != F.col("v")))
-    return pairs.select(F.col("node").alias("u"), "v").distinct()
+    return alike(pairs.select(F.col("node").alias("u"), "v").distinct(), sets)
 
 
 def keepers(docs: DataFrame) -> DataFrame:

@@ -150,3 +150,18 @@ def test_stage_finds_cut_and_appended_copies(spark, folder):
             copies |= {len(texts)} if parts is not base else set()
             texts.append(" ".join(parts))
     assert kept_of(spark, folder, texts) == set(range(len(texts))) - copies
+
+
+def test_stage_keeps_what_is_below_the_limit(spark, folder):
+    """Pairs at a five-word Jaccard just below 0.8 are not near duplicates."""
+    texts = []
+    for g in range(40):
+        base = words(4000 + g, 200)
+        copy = list(base)
+        for e in range(4 + g % 6):
+            copy[10 + 15 * e] = f"edit{g}x{e}"
+        a, b = five_words(base), five_words(copy)
+        if len(a & b) < 0.8 * len(a | b):
+            texts += [" ".join(base), " ".join(copy)]
+    assert len(texts) >= 40
+    assert kept_of(spark, folder, texts) == set(range(len(texts)))
