@@ -253,6 +253,8 @@ SKETCH_WORDS = 4
 #: Most different bits of two sketches: at Jaccard 0.8 the mean is 39 (48 for texts of
 #: five shingles) and the deviation 6; pairs beyond this limit cannot reach 0.8.
 SKETCH_BITS = 74
+#: Rounds against a head, and shingles of a block when all sets of a key are compared.
+TURNS, BLOCK = 2, 500_000
 
 
 def stirred(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -376,16 +378,104 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(9 * common >= 4 * (F.size("of_u") + F.size("of_v"))).select("u", "v")
 
 
+def star_pairs(meeting: DataFrame, turn: int) -> DataFrame:
+    """(u, v): each set with the closest of the heads of its keys.
+
+    Every turn draws other heads; only heads of another component count.
+    """
+    sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "root", *sketch)
+    heads = meeting.groupBy("key").agg(F.min(drawn).alias("h"))
+    heads = heads.select(
+        "key",
+        F.col("h.node").alias("v"),
+        F.col("h.root").alias("of"),
+        *[F.col(f"h.{s}").alias(f"v{s}") for s in sketch],
+    )
+    bits = different_bits("s", "vs")
+    close = meeting.join(heads, "key").where((F.col("root") != F.col("of")) & (bits <= SKETCH_BITS))
+    best = close.groupBy("node").agg(F.min(F.struct(bits.alias("bits"), "v")).alias("best"))
+    return best.select(F.col("node").alias("u"), F.col("best.v").alias("v"))
+
+
+def forest_of_sets(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]) -> list:
+    """Links (u, v) at 0.8 or more that join different components, as few as needed."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    _, places = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(places, kind="stable")]
+    counts = np.bincount(places)
+    starts = np.cumsum(counts) - counts
+    label, found = np.unique(roots, return_inverse=True)[1], []
+    for i in range(len(sets)):
+        mine = places[ends[i] - sizes[i] : ends[i]]
+        many = counts[mine]
+        offsets = np.repeat(starts[mine] - (np.cumsum(many) - many), many)
+        common = np.bincount(holders[offsets + np.arange(len(offsets))], minlength=len(sets))
+        alike = 9 * common >= 4 * (sizes + sizes[i])
+        while len(other := np.flatnonzero(alike & (label != label[i]))):
+            found.append((int(nodes[i]), int(nodes[other[0]])))
+            label[label == label[other[0]]] = label[i]
+    return found
+
+
+def all_links(meeting: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links (u, v) after comparing all sets that share a key, whatever their number.
+
+    Keys that the same sets have are one.  The sets of a key are compared inside
+    squares of blocks of about ``block`` shingles, so that every task is bounded;
+    only links that hold and are needed leave a square.
+    """
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("m")]
+    sized = meeting.join(sets, "node").withColumn("size", F.size("shingles"))
+    keys = sized.groupBy("key").agg(*same, F.ceil(F.sum("size") / block).cast("long").alias("parts"))
+    keys = keys.groupBy("n", "x", "m").agg(F.min(F.struct("key", "parts")).alias("k")).select("k.*")
+    rows = sized.join(keys, "key").select(
+        "key",
+        F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).alias("own"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)) - 1)).alias("x"),
+        "node",
+        "root",
+        "shingles",
+    )
+    squares = rows.withColumns({"a": F.least("own", "x"), "b": F.greatest("own", "x")})
+
+    def solve(group: pa.Table) -> pa.Table:
+        nodes, roots = (group[c].to_numpy() for c in ("node", "root"))
+        sets = [s.values.to_numpy(zero_copy_only=False) for s in group["shingles"]]
+        found = np.array(forest_of_sets(nodes, roots, sets), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"u": found[:, 0].copy(), "v": found[:, 1].copy()})
+
+    return squares.groupBy("key", "a", "b").applyInArrow(solve, "u long, v long").distinct()
+
+
 def linked(docs: DataFrame, same: DataFrame) -> DataFrame:
-    """Links (u, v) between shingle sets at a Jaccard similarity of 0.8 or more."""
+    """Links (u, v) that give the components of all pairs at 0.8 or more.
+
+    A pair is left out only when verified links already connect its two sides:
+    ``TURNS`` cheap rounds against a head join what is alike, and the last round
+    compares all that share a key with a member of another component.
+    """
     meeting = stored(meetings(same), "meeting")
     sets = stored(shingle_sets(docs, same, meeting.select("node").distinct()), "shingles")
-    sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
-    heads = meeting.groupBy("key").agg(F.min(F.struct("node", *sketch)).alias("h"))
-    heads = heads.select("key", F.col("h.node").alias("v"), *[F.col(f"h.{s}").alias(f"v{s}") for s in sketch])
-    near = different_bits("s", "vs") <= SKETCH_BITS
-    pairs = meeting.join(heads, "key").where(near & (F.col("node") != F.col("v")))
-    return alike(pairs.select(F.col("node").alias("u"), "v").distinct(), sets)
+    left = meeting.withColumn("root", F.col("node"))
+    links = None
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
+            found = alike(star_pairs(left, turn), sets)
+        else:
+            found = all_links(left, sets, BLOCK)
+        found = stored(found, "links")
+        links = found if links is None else links.unionByName(found)
+        if turn == TURNS:
+            break
+        rooted = meeting.join(components(links), "node", "left")
+        rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+        ends = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+        left = stored(rooted.join(ends.where("a != b").select("key"), "key"), "meeting")
+        if left.isEmpty():
+            break
+    return links
 
 
 def keepers(docs: DataFrame) -> DataFrame:

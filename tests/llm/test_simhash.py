@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -165,3 +166,48 @@ def test_stage_keeps_what_is_below_the_limit(spark, folder):
             texts += [" ".join(base), " ".join(copy)]
     assert len(texts) >= 40
     assert kept_of(spark, folder, texts) == set(range(len(texts)))
+
+
+def bounded_links(spark, sets, block, turns, monkeypatch):
+    """The stage's links between shingle sets that all meet at one key."""
+    names = [f"s{k}" for k in range(simhash.SKETCH_WORDS)]
+    profile = [[7] * len(names)] * len(sets)
+    meeting = spark.createDataFrame(
+        [(1, n, *s) for n, s in zip(sets, profile)], "key long, node long, " + ", ".join(f"{n} long" for n in names)
+    )
+    shingles = spark.createDataFrame(
+        [(n, list(s)) for n, s in sets.items()], "node long, shingles array<long>"
+    )
+    monkeypatch.setattr(simhash, "meetings", lambda same: meeting)
+    monkeypatch.setattr(simhash, "shingle_sets", lambda *a: shingles)
+    monkeypatch.setattr(simhash, "TURNS", turns, raising=False)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    return [(r["u"], r["v"]) for r in simhash.linked(None, None).collect()]
+
+
+@pytest.mark.parametrize("block,turns", [(500_000, 2), (100, 0), (100, 1)])
+def test_links_do_not_depend_on_the_head_of_a_key(spark, monkeypatch, block, turns):
+    """Sets that meet at a key are linked although other sets there are unlike them."""
+    sets = {}
+    for g in range(8):
+        for c in range(3):
+            sets[10 * g + c] = [1000 * g + i for i in range(40)] + [1000 * g + 500 + c]
+    sets |= {500 + k: [90_000 + k] for k in range(6)}
+    found = bounded_links(spark, sets, block, turns, monkeypatch)
+    true = [(10 * g + c, 10 * g) for g in range(8) for c in (1, 2)]
+    assert plain_components(found, sets) == plain_components(true, sets)
+
+
+def test_stage_compares_copies_whatever_else_has_their_words(spark, folder):
+    """Texts of the same words in other orders do not hide two copies from each other."""
+    texts, copies = [], set()
+    for g in range(6):
+        base = words(6000 + g, 200)
+        texts.append(" ".join(base))
+        copies.add(len(texts))
+        texts.append(" ".join(base[150:] + base[:150]))
+        for k in range(6):
+            other = list(base)
+            random.Random(10 * g + k).shuffle(other)
+            texts.append(" ".join(other))
+    assert kept_of(spark, folder, texts) == set(range(len(texts))) - copies
