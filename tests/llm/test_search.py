@@ -267,3 +267,16 @@ def test_no_findings_to_learn_from():
 @pytest.mark.parametrize("text", ["", "a", "é" * 300])
 def test_windows_of_any_text(text):
     assert secrets.window(text, 0, len(text)).shape == (secrets.WIDTH,)
+
+
+def test_threshold_keeps_the_recall_where_classes_overlap():
+    net = secrets.Network.start()
+    draw = np.random.default_rng(1)
+    y = (draw.random(2000) < 0.3).astype(float)
+    logits = draw.normal(0, 1, 2000) + y
+    net.logits = lambda x: logits[x[:, 0]]
+    x = np.arange(2000)[:, None]
+    net.calibrate(x, y)
+    found = net.probability(x) >= net.threshold
+    assert found[y > 0].mean() >= secrets.RECALL
+    assert net.precision == y[found].mean()
