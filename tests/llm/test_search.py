@@ -280,3 +280,30 @@ def test_threshold_keeps_the_recall_where_classes_overlap():
     found = net.probability(x) >= net.threshold
     assert found[y > 0].mean() >= secrets.RECALL
     assert net.precision == y[found].mean()
+
+
+def test_candidates_without_digits_short_or_dotted():
+    text = "a hQkzPwTbXvRmLc b xK4q2Z c eyJhbGci.eyJzdWIi.SflKxw d plain Words, here. e " + "x1" * 300
+    want = ["hQkzPwTbXvRmLc", "xK4q2Z", "eyJhbGci.eyJzdWIi.SflKxw", "x1" * 300]
+    assert [text[a:b] for a, b in secrets.candidates(text)] == want
+
+
+@pytest.mark.parametrize("n", [6, 48, 49, 72, 73, 200, 1001])
+def test_windows_cover_a_candidate(n):
+    spans = secrets.pieces(10, 10 + n)
+    assert {i for a, b in spans for i in range(a, b)} == set(range(10, 10 + n))
+    assert all(b - a <= secrets.SPAN for a, b in spans)
+
+
+def test_secret_behind_harmless_characters_is_read(spark, folder):
+    net = secrets.train([r[1] for r in secret_texts(400, 100)])
+    value = random.Random(4).randbytes(20).hex().upper()
+    text = "see " + "plain/path/" * 9 + value + " there"
+    (start, end), = secrets.candidates(text)
+    seen = [secrets.window(text, a, b) for a, b in secrets.pieces(start, end)]
+    codes = secrets.CLASS_OF[[ord(c) for c in value[-20:]]]
+    assert any((w[secrets.BEFORE + secrets.SPAN - 20 : secrets.BEFORE + secrets.SPAN] == codes).all() for w in seen)
+    folder.docs([(1, text, None, None, None)])
+    found = secrets.scan(spark.read.parquet(f"{folder.path}/documents.parquet"), net).collect()
+    best = net.probability(np.array(seen)).max()
+    assert (found[0]["spans"] != "") == (best >= net.threshold)
