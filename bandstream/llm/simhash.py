@@ -250,8 +250,9 @@ STAGE_WORDS = 5
 #: probability 1 - (1 - J**ROWS)**BANDS: 0.9998 at 0.8, 0.9992 at 0.78.
 BANDS, ROWS = 16, 4
 SKETCH_WORDS = 4
-#: Most different bits of two sketches: at Jaccard 0.8 the mean is 39 (48 for texts of
-#: five shingles) and the deviation 6; pairs beyond this limit cannot reach 0.8.
+#: Most different bits of two sketches in the rounds against heads: at Jaccard 0.8 the
+#: mean is 39 (48 for texts of five shingles) and the deviation 6.  The last round does
+#: without sketches.
 SKETCH_BITS = 74
 #: Rounds against a head, and shingles of a block when all sets of a key are compared.
 TURNS, BLOCK = 2, 500_000
