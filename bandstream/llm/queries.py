@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from bandstream.llm import (
+    alignment,
     bpe,
     decontaminate,
     language,
     linededup,
+    merkle,
     neighbours,
+    packing,
     quality,
     secrets,
     simhash,
@@ -29,6 +32,9 @@ QUERIES = {
         suffixes.op8_repeated_passages,
         bpe.op9_bpe,
         secrets.op10_secrets,
+        alignment.op11_alignment,
+        merkle.op12_merkle,
+        packing.op13_packing,
     )
 }
 

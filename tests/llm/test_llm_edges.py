@@ -22,7 +22,9 @@ def test_empty_pipeline(spark, empty):
 @pytest.mark.parametrize("name", DOCUMENT_QUERIES)
 def test_odd_documents(spark, odd, name):
     rows = queries.QUERIES[name](spark, odd.path).collect()
-    if name not in ("op1_decontaminate", "op8_repeated_passages"):
+    if name == "op13_packing":
+        assert sum(r["piece"] == 0 for r in rows) == 12 < len(rows)
+    elif name not in ("op1_decontaminate", "op8_repeated_passages"):
         assert len(rows) == 12
 
 
@@ -56,6 +58,14 @@ def test_odd_results(spark, odd):
     quality = by("op7_quality")
     assert quality[901]["log_weight"] == 0.0
     assert by("op10_secrets")[901]["spans"] == ""
+    aligned = by("op11_alignment")
+    assert aligned[900]["groups_sha256"] == aligned[901]["groups_sha256"] == ""
+    assert aligned[903]["n_a"] > 0 and aligned[901]["n_links"] == 0
+    leaves = by("op12_merkle")
+    assert len({r["root"] for r in leaves.values()}) == 1
+    assert leaves[901]["verified"] and leaves[901]["subroot"] == leaves[900]["subroot"]
+    packed = by("op13_packing")
+    assert packed[900]["length"] == packed[901]["length"] == packed[902]["length"] == 1
 
 
 def test_near_dedup_keeps_one_of_equal_rows(spark, odd):
