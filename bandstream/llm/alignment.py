@@ -34,35 +34,37 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandstream.llm.bpe import byte_alphabet
-from bandstream.llm.common import fields, fresh, stored, table, text_bytes
+from bandstream.llm.common import Generations, fields, fresh, stored, table, text_bytes
 
-BLOCK_BYTES = 8 << 20
-#: Units remembered per generation (two are kept per Python worker), and the longest.
-CACHE_UNITS = 120_000
-CACHE_CHARS = 40
+BLOCK_BYTES = 4 << 20
+#: Units remembered per generation.
+CACHE_UNITS = 200_000
 #: Units handed to the tokenizers at once.
 ENCODE_UNITS = 2000
 #: Links of a group above which repeated ids are counted before they are paired.
 MANY_LINKS = 64
 
-NOTHING = ("", (0, 0, 0, 0), (), None)
+NOTHING = ("", bytes(40))
 UNITS = re.compile(r" +[^ ]+(?: +\Z)?| +\Z").findall
 
 
-#: An aligned unit: its groups as text, the numbers of A tokens, B tokens, groups and
-#: links, its distinct packed id pairs, and how often it links each (None: once).
-Unit = tuple[str, tuple[int, int, int, int], tuple[int, ...], tuple[int, ...] | None]
+#: An aligned unit: its groups as text; 64-bit integers: the numbers of A tokens, B tokens,
+#: groups, links and distinct id pairs, the packed pairs, and how often each is linked
+#: (left out if once).
+Unit = tuple[str, bytes]
 
 
 class Aligner:
@@ -88,9 +90,7 @@ class Aligner:
             for i, piece in enumerate(map(self.b.id_to_piece, range(self.size_b)))
         ]
         self.shows = [str(i) for i in range(max(self.size_a, self.size_b))]
-        # units met since the last change of generation, and those of the one before
-        self.known: dict[str, Unit | None] = {}
-        self.elder: dict[str, Unit | None] = {}
+        self.known = Generations(CACHE_UNITS)
 
     def spans(self, texts: list[str]):
         """Per text with its leading space: ids and spans of A (characters) and B (bytes)."""
@@ -187,30 +187,22 @@ class Aligner:
                         for b in right:
                             links[a * size_b + b] = links.get(a * size_b + b, 0) + 1
             i, j = a_to, b_to
-        sizes = (len(a_ids), len(b_ids), len(cuts), n_links)
-        times = None if len(links) == n_links else tuple(links.values())
-        return ";".join(shown), sizes, tuple(links), times
+        numbers = array("q", [len(a_ids), len(b_ids), len(cuts), n_links, len(links), *links])
+        if len(links) != n_links:
+            numbers.extend(links.values())
+        return ";".join(shown), numbers.tobytes()
 
     def units(self, texts: list[str]) -> list[Unit | None]:
         """The aligned units of distinct ``texts``, each with its leading space."""
-        found, missing = {}, []
-        for t in texts:
-            if t in self.known:
-                continue
-            if t in self.elder:
-                self.known[t] = self.elder[t]
-            else:
-                missing.append(t)
-        for at in range(0, len(missing), ENCODE_UNITS):
-            for row in self.spans(missing[at : at + ENCODE_UNITS]):
+        known = self.known.get(texts, self._learn)
+        return [known[t] for t in texts]
+
+    def _learn(self, texts: list[str]) -> dict[str, Unit | None]:
+        found = {}
+        for at in range(0, len(texts), ENCODE_UNITS):
+            for row in self.spans(texts[at : at + ENCODE_UNITS]):
                 found[row[0]] = self.unit(*row)
-        out = [found[t] if t in found else self.known[t] for t in texts]
-        for t, unit in found.items():
-            if len(t) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_UNITS:
-                    self.elder, self.known = self.known, {}
-                self.known[t] = unit
-        return out
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -298,33 +290,60 @@ BLOCK = """
 """
 
 
+def _split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct units, the unit at each place of the texts, and the places per text."""
+    odd = [not t or "  " in t or t[0] == " " or t[-1] == " " for t in texts]
+    plain = pa.array([t for t, o in zip(texts, odd) if not o], pa.string())
+    split = pc.split_pattern(plain, " ")
+    places = iter(pc.list_value_length(split).to_pylist())
+    # a unit without its first space stands for it
+    rest = [[u[1:] for u in UNITS(" " + t)] if t else [] for t, o in zip(texts, odd) if o]
+    more = pa.array([u for units in rest for u in units], pa.string())
+    coded = pa.chunked_array([split.flatten(), more]).combine_chunks().dictionary_encode()
+    at = coded.indices.to_numpy()
+    others = iter(map(len, rest))
+    sizes = np.array([next(others) if o else next(places) for o in odd], dtype=np.int64)
+    # plain texts first, odd ones behind them: back to the order of the texts
+    odd = np.array(odd, dtype=bool)
+    order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+    first = np.empty(len(texts), dtype=np.int64)
+    first[order] = np.cumsum(sizes[order]) - sizes[order]
+    return [" " + u for u in coded.dictionary.to_pylist()], at[_expand(first, sizes)], sizes
+
+
 def _block(tool: Aligner, number: int, ids: list, texts: list[str]) -> dict:
     """One row for a block of documents."""
-    index: dict[str, int] = {}
-    place = index.setdefault
-    split = [[place(u, len(index)) for u in UNITS(" " + t)] if t else [] for t in texts]
-    units = tool.units(list(index))
-    for k, found in enumerate(split):
-        if any(units[u] is None for u in found):
-            (whole,) = tool.units([" " + texts[k]])
-            split[k] = [] if whole is None else [len(units)]
-            if whole is not None:
-                units.append(whole)
+    names, flat, sizes = _split(texts)
+    flat, ends = flat.astype(np.int64), np.cumsum(sizes)
+    units = tool.units(names)
+    broken = np.array([u is None for u in units], dtype=bool)
+    if broken.any():
+        split = [flat[e - s : e] for e, s in zip(ends, sizes)]
+        for k, found in enumerate(split):
+            if broken[found].any():
+                (whole,) = tool.units([" " + texts[k]])
+                split[k] = np.array([] if whole is None else [len(units)], dtype=np.int64)
+                if whole is not None:
+                    units.append(whole)
+        sizes = np.array([len(s) for s in split], dtype=np.int64)
+        flat, ends = np.concatenate(split), np.cumsum(sizes)
     units = [u or NOTHING for u in units]
     shown = [u[0] for u in units]
-    sums = np.array([u[1] for u in units], dtype=np.int64).reshape(-1, 4)
-    pair_sizes = np.array([len(u[2]) for u in units], dtype=np.int64)
-    codes = np.array([p for u in units for p in u[2]], dtype=np.int64)
-    times = np.ones(len(codes), dtype=np.int64)
-    repeated = [k for k, u in enumerate(units) if u[3]]
+    lengths = np.array([len(u[1]) >> 3 for u in units], dtype=np.int64)
+    numbers = np.frombuffer(b"".join([u[1] for u in units]), dtype="<i8")
+    begin = np.cumsum(lengths) - lengths
+    sums = numbers[begin[:, None] + np.arange(4)]
+    pair_sizes = numbers[begin + 4]
     starts = np.cumsum(pair_sizes) - pair_sizes
-    for k in repeated:
-        times[starts[k] : starts[k] + pair_sizes[k]] = units[k][3]
+    codes = numbers[_expand(begin + 5, pair_sizes)]
+    times = np.ones(len(codes), dtype=np.int64)
+    again = lengths > 5 + pair_sizes
+    times[_expand(starts[again], pair_sizes[again])] = numbers[
+        _expand((begin + 5 + pair_sizes)[again], pair_sizes[again])
+    ]
     pairs, pair_at = np.unique(codes, return_inverse=True)
 
-    sizes = np.array([len(s) for s in split], dtype=np.int64)
-    flat = np.array([u for s in split for u in s], dtype=np.int64)
-    docs = np.repeat(np.arange(len(split)), sizes)
+    docs = np.repeat(np.arange(len(texts)), sizes)
     width = max(len(units), 1)
     entries, entry_times = np.unique(docs * width + flat, return_counts=True)
     entry_doc, entry_unit = entries // width, entries % width
@@ -332,15 +351,17 @@ def _block(tool: Aligner, number: int, ids: list, texts: list[str]) -> dict:
     held_at = _expand(starts[entry_unit], pair_sizes[entry_unit])
     wide = max(len(pairs), 1)
     held = np.unique(np.repeat(entry_doc, pair_sizes[entry_unit]) * wide + pair_at[held_at])
-    out = dict(zip(("n_a", "n_b", "n_groups", "n_links"), np.zeros((4, len(split)), np.int64)))
+    out = dict(zip(("n_a", "n_b", "n_groups", "n_links"), np.zeros((4, len(texts)), np.int64)))
     for k, name in enumerate(out):
         out[name] = _sums(sums[flat, k], sizes).tolist()
     digest = lambda s: hashlib.sha256(";".join([shown[u] for u in s]).encode()).hexdigest()
     return out | {
         "block": number,
         "doc_id": ids,
-        "groups_sha256": [digest(s) if s else "" for s in split],
-        "doc_units": _pack(np.bincount(entry_doc, minlength=len(split)), "<i4"),
+        "groups_sha256": [
+            digest(flat[e - n : e].tolist()) if n else "" for e, n in zip(ends, sizes)
+        ],
+        "doc_units": _pack(np.bincount(entry_doc, minlength=len(texts)), "<i4"),
         "unit_at": _pack(np.diff(entry_unit, prepend=0), "<i4"),
         "unit_times": _pack(entry_times, "<i4"),
         "unit_pairs": _pack(pair_sizes, "<i4"),

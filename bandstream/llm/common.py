@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from bandstream.session import configure, stored
 
-__all__ = ["doc_key", "fields", "fresh", "prepare", "stored", "table", "text_bytes"]
+__all__ = ["Generations", "doc_key", "fields", "fresh", "prepare", "stored", "table", "text_bytes"]
 
 #: Rows and bytes handed to a Python worker at once; bounds its memory, not the result.
 BATCH_ROWS = 1000
@@ -60,3 +60,30 @@ def doc_key(*columns: str) -> list[Column]:
 
 def fields(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
+
+
+class Generations:
+    """A bounded cache: what two generations in a row did not ask for is forgotten.
+
+    Keys above ``chars`` characters are forgotten with the next call.
+    """
+
+    def __init__(self, size: int, chars: int = 40):
+        self.size, self.chars = size, chars
+        self.now: dict = {}
+        self.before: dict = {}
+        self.long: list[str] = []
+
+    def get(self, keys: list[str], learn) -> dict:
+        """A dict that has all ``keys``; ``learn`` gives those that are not known."""
+        for key in self.long:
+            self.now.pop(key, None)
+        if len(self.now) > self.size:
+            self.before, self.now = self.now, {}
+        missing = set(keys).difference(self.now)
+        back = missing.intersection(self.before)
+        self.now.update({k: self.before[k] for k in back})
+        new = learn(list(missing - back))
+        self.now.update(new)
+        self.long = [k for k in new if len(k) > self.chars]
+        return self.now

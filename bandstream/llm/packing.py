@@ -24,15 +24,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandstream.llm.common import fields, stored, table, text_bytes
+from bandstream.llm.common import Generations, fields, stored, table, text_bytes
 
 SIZE = 4096
 END = 1
@@ -40,12 +42,15 @@ END = 1
 OPEN_BINS = 1024
 #: Pieces dealt to a packer.
 TASK_PIECES = 100_000
-#: Words remembered per generation (two are kept per Python worker), and the longest.
-CACHE_WORDS = 200_000
-CACHE_CHARS = 40
+#: Words remembered per generation.
+CACHE_WORDS = 350_000
 
-#: ASCII white space alone; what else counts as white space is left to the library.
-WORDS = re.compile(r"[^ \t-\r]+").findall
+#: Words of ASCII and Latin-1 letters, where lower case and composition are plain, in the
+#: parts that the tokenizer cuts them into; special tokens start with ``<|``.
+SIMPLE = re.compile(r"(?:(?!<\|)[\x00-\x7fÀ-ÖØ-öø-ÿ])+").fullmatch
+PARTS = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+"
+).findall
 
 
 class Words:
@@ -57,29 +62,40 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.elder: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Token ids per text as little-endian unsigned 32-bit integers."""
-        split = [WORDS(t) for t in texts]
-        found: dict[str, bytes] = {}
-        for word in dict.fromkeys(w for words in split for w in words):
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self.elder.get(word)
-                if ids is not None:
-                    self.known[word] = ids
-            found[word] = ids
-        missing = [w for w, ids in found.items() if ids is None]
-        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        for word, row in zip(missing, encoded):
-            found[word] = ids = np.array(row.ids, dtype="<u4").tobytes()
-            if len(word) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_WORDS:
-                    self.elder, self.known = self.known, {}
-                self.known[word] = ids
-        return [b"".join([found[w] for w in words]) for words in split]
+        self.words, self.parts = Generations(CACHE_WORDS), Generations(CACHE_WORDS)
+
+    def _library(self, texts: list[str]) -> dict[str, bytes]:
+        rows = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {t: array("I", row.ids).tobytes() for t, row in zip(texts, rows)}
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Encode words; those that differ in case and marks share their parts."""
+        cut = {w: PARTS(w.lower()) for w in missing if SIMPLE(w)}
+        parts = self.parts.get(list(set().union(*cut.values())), self._library)
+        found = self._library([w for w in missing if w not in cut])
+        part = parts.__getitem__
+        return found | {word: b"".join(map(part, found)) for word, found in cut.items()}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts in one array, and how many each text has.
+
+        Texts are cut at ASCII white space; what else counts as white space is
+        left to the library.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = self.words.get(words, self._learn)
+        packed = [found[w] for w in words]
+        sizes = np.array([len(p) >> 2 for p in packed], dtype=np.int64)
+        ids, at = np.frombuffer(b"".join(packed), dtype="<u4"), coded.indices.to_numpy()
+        taken = sizes[at]
+        ends = np.cumsum(taken)
+        total = int(ends[-1]) if len(ends) else 0
+        shift = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - taken), taken)
+        stops = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        per_text = np.diff(np.concatenate([[0], ends])[stops], prepend=0)
+        return ids[np.arange(total) + shift], per_text
 
 
 @lru_cache(maxsize=2)
@@ -110,13 +126,14 @@ def pieces(
 
     def run(batches):
         for batch in batches:
-            texts = [t.decode() for t in batch.column(1).to_pylist()]
-            rows = []
-            for doc_id, packed in zip(batch.column(0).to_pylist(), words(path).encode(texts)):
-                packed += end
-                for k, at in enumerate(range(0, len(packed), 4 * size)):
-                    part = packed[at : at + 4 * size]
-                    row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
+            ids_, sizes = words(path).encode(batch.column(1).cast(pa.string()))
+            rows, at = [], 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), sizes.tolist()):
+                packed = ids_[at : at + n].tobytes() + end
+                at += n
+                for k, first in enumerate(range(0, n + 1, size)):
+                    part = packed[4 * first : 4 * (first + size)]
+                    row = (doc_id, k, first, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, part) if ids else row)
             columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays(

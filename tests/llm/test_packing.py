@@ -3,6 +3,7 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,8 +24,9 @@ def ids_of(tokenizer, text):
 
 def same(both, text):
     ours, theirs = both
-    (packed,) = ours.encode([text])
-    assert np.frombuffer(packed, dtype="<u4").tolist() == ids_of(theirs, text)
+    ids, sizes = ours.encode(pa.array([text, "", text]))
+    want = ids_of(theirs, text)
+    assert ids.tolist() == want * 2 and sizes.tolist() == [len(want), 0, len(want)]
 
 
 @given(st.text(max_size=60))
@@ -48,6 +50,16 @@ def test_chosen_texts(both, text):
     same(both, text)
 
 
+def test_small_cache(both, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 2)
+    ours, theirs = packing.Words(packing.default_path()), both[1]
+    texts = ["One two, THREE four's five", "ÉTÉ été. Straße x" * 9, "one " + "y" * 90 + " two"]
+    for _ in range(3):
+        ids, sizes = ours.encode(pa.array(texts))
+        want = [ids_of(theirs, t) for t in texts]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
 def slow(lengths, size, limit):
     """The same rule over a sorted list of (free, number)."""
     bins, out, number = [], [], 0
