@@ -23,6 +23,7 @@ from bandstream.session import configure, scratch_path, stored
 from bandstream.sources import cdc, fixtures, records, tables
 from bandstream.sources.store import CompactedChangelog
 from bandstream.streaming import changelogs, sinks
+from bandstream.streaming.keyed import KeyedState
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -610,7 +611,8 @@ def _run_per_event(spark, sf_dir, into, schema, state_schema) -> DataFrame:
     """Stream both halves, each cut along time into three micro-batches of the log."""
     source, progress = scratch_path(spark, "arrivals"), scratch_path(spark, "progress")
     changes = CompactedChangelog(spark, scratch_path(spark, "changes"), schema)
-    state = CompactedChangelog(spark, scratch_path(spark, "state"), state_schema)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state = KeyedState(spark, scratch_path(spark, "state"), state_schema, buckets=buckets)
     for half in _halves(spark, sf_dir):
         rows = half.select(*TAGGED_LOG.names)
         # ranges of seq become files that arrive one after the other

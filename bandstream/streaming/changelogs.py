@@ -4,8 +4,9 @@ The update-mode aggregate in ``operators.joins.join_state`` gives one row per
 touched symbol and batch.  Where every single event has to appear, each
 micro-batch runs ``join_changelog`` or ``fold_changelog`` on its rows with the
 kept state of the symbols it touches as seed, and stores the changes and the new
-state under the batch id.  A repeated batch reads the state before it and leaves
-the same rows.
+state under the batch id.  State is kept in buckets (``streaming.keyed``): a batch
+reads and rewrites those of its symbols.  A repeated batch reads the state before
+it and leaves the same rows, at any time.
 
 Rows that arrive in a later batch than their ``seq`` belongs to: the join keeps
 the newest of each side by its own ordering, so a late row emits the state in
@@ -23,16 +24,14 @@ from pyspark.sql import types as T
 from bandstream.operators.fold import fold_changelog, fold_state
 from bandstream.operators.joins import join_changelog
 from bandstream.operators.latest import latest_by, merge_streams
+from bandstream.operators.runs import TASK_ROWS, Cuts
 from bandstream.schemas import DELTA, PRICE, TAGGED_LOG
 from bandstream.sources.store import CompactedChangelog
-
-#: Batches between two compactions of the kept state.
-UPKEEP = 20
+from bandstream.streaming.keyed import KeyedState
 
 
 def _state(*fields: tuple[str, T.DataType]) -> T.StructType:
-    ends = (("op", T.StringType()), ("seq", T.LongType()))
-    return T.StructType([T.StructField(n, k) for n, k in (*fields, *ends)])
+    return T.StructType([T.StructField(n, k) for n, k in fields])
 
 
 _SIDE = T.StructType([f for f in TAGGED_LOG if f.name != "symbol_pair"])
@@ -46,29 +45,21 @@ FOLD_STATE = _state(
 )
 
 
-def kept_state(state: CompactedChangelog, batch: DataFrame, batch_id: int) -> DataFrame:
-    """What ``state`` held before the batch for the symbols of the batch."""
-    touched = batch.select("symbol_pair").distinct()
-    if not state.commits() and not state._versions():
-        return batch.sparkSession.createDataFrame(
-            [], T.StructType([f for f in state.schema if f.name != "op"])
-        )
-    return state.read(as_of=batch_id - 1).join(touched, "symbol_pair", "left_semi")
-
-
-def _each_batch(changes, state, upkeep, step: Callable):
+def _each_batch(changes: CompactedChangelog, state: KeyedState, step: Callable):
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.where(F.col("symbol_pair").isNotNull()).persist()
         try:
-            before = kept_state(state, rows, batch_id)
-            emitted, after = step(rows, before)
+            # a batch that one task can hold has no key to cut: no search for one
+            cuts = Cuts("symbol_pair") if rows.count() <= TASK_ROWS else None
+            kept = state.open(rows, batch_id)
+            touched = rows.select("symbol_pair").distinct()
+            held = kept.rows()
+            emitted, after = step(rows, held.join(touched, "symbol_pair", "left_semi"), cuts)
             changes.append(emitted, batch_id)
-            state.append(after, batch_id)
+            others = held.join(touched, "symbol_pair", "left_anti")
+            kept.replace(others.unionByName(after))
         finally:
             rows.unpersist()
-        if upkeep and batch_id % upkeep == upkeep - 1:
-            state.compact()
-            state.vacuum()
 
     return write
 
@@ -78,10 +69,12 @@ def _side_rows(state: DataFrame, side: str) -> DataFrame:
     return held.select("symbol_pair", f"{side}.*")
 
 
-def join_step(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+def join_step(
+    rows: DataFrame, before: DataFrame, cuts: Cuts | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Changes of a batch, and the latest config and price of its symbols."""
     seed = merge_streams(_side_rows(before, "config"), _side_rows(before, "price"))
-    emitted = join_changelog(rows, seed=seed)
+    emitted = join_changelog(rows, cuts, seed=seed)
     known = merge_streams(rows.select(*TAGGED_LOG.names), seed)
     last = {
         "config": (known.where("side = 'C'"), ["config_event_at", "seq"]),
@@ -93,30 +86,25 @@ def join_step(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]
         )
         for name, (part, order) in last.items()
     ]
-    after = sides[0].join(sides[1], "symbol_pair", "full")
-    seq = F.greatest("config.seq", "price.seq")
-    return emitted, after.select("*", F.lit("U").alias("op"), seq.alias("seq"))
+    return emitted, sides[0].join(sides[1], "symbol_pair", "full")
 
 
-def fold_step(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Changes of a batch, and the entries of its symbols; a dropped one is a delete."""
-    emitted = fold_changelog(rows, seed=before)
-    now = fold_state(rows, seed=before)
-    touched = rows.groupBy("symbol_pair").agg(F.max("seq").alias("seq"))
-    after = touched.join(now, "symbol_pair", "left").withColumn(
-        "op", F.when(F.col("deleted").isNull(), "D").otherwise("U")
-    )
-    return emitted, after.select(*FOLD_STATE.names)
+def fold_step(
+    rows: DataFrame, before: DataFrame, cuts: Cuts | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Changes of a batch, and the entries of its symbols; a dropped one is not kept."""
+    emitted = fold_changelog(rows, seed=before, cuts=cuts)
+    return emitted, fold_state(rows, seed=before).select(*FOLD_STATE.names)
 
 
-def join_into(changes: CompactedChangelog, state: CompactedChangelog, upkeep: int = UPKEEP):
+def join_into(changes: CompactedChangelog, state: KeyedState):
     """A ``foreachBatch`` function: the join changelog of a tagged log."""
-    return _each_batch(changes, state, upkeep, join_step)
+    return _each_batch(changes, state, join_step)
 
 
-def fold_into(changes: CompactedChangelog, state: CompactedChangelog, upkeep: int = UPKEEP):
+def fold_into(changes: CompactedChangelog, state: KeyedState):
     """A ``foreachBatch`` function: the fold changelog of a tagged log.
 
     To start from restored entries, give them to ``state.start_from`` first.
     """
-    return _each_batch(changes, state, upkeep, fold_step)
+    return _each_batch(changes, state, fold_step)

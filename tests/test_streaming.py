@@ -2,7 +2,6 @@ import logs
 import model
 import pytest
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bandstream.operators import fold, joins, projection
@@ -11,7 +10,7 @@ from bandstream.schemas import CHANGELOG, FOLD_CHANGELOG, TAGGED_LOG
 from bandstream.session import scratch_path
 from bandstream.sources import records
 from bandstream.sources.store import CompactedChangelog
-from bandstream.streaming import changelogs, sinks
+from bandstream.streaming import changelogs, keyed, sinks
 
 
 def replay(spark, rows, pieces, build, schema, sink=sinks.append_into):
@@ -48,17 +47,17 @@ def test_update_mode_join_ends_like_the_batch(spark, pieces):
     assert same(store.read().drop("seq"), want)
 
 
-def replay_events(spark, batches, into, schema, state_schema, seed=None, upkeep=2):
+def replay_events(spark, batches, into, schema, state_schema, seed=None):
     """Feed batches of rows through a per-event sink, one query run each."""
     source, progress = scratch_path(spark, "in"), scratch_path(spark, "ck")
     changes = CompactedChangelog(spark, scratch_path(spark, "out"), schema)
-    state = CompactedChangelog(spark, scratch_path(spark, "state"), state_schema)
+    state = keyed.KeyedState(spark, scratch_path(spark, "state"), state_schema, buckets=3)
     if seed is not None:
-        state.start_from(seed.withColumn("seq", F.lit(0).cast("long")))
+        state.start_from(seed)
     for rows in batches:
         logs.frame(spark, rows).write.mode("append").parquet(source)
         stream = records.file_stream(spark, source, TAGGED_LOG)
-        sink = into(changes, state, upkeep)
+        sink = into(changes, state)
         sinks.start(stream, sink, progress, "append", available_now=True).awaitTermination()
     return changes, state
 
@@ -99,16 +98,63 @@ def test_late_rows_do_not_replace_newer_ones(spark):
     assert same(got.toDF(*table.columns), table)
 
 
-def test_a_repeated_batch_changes_nothing(spark):
-    first, second = chunks(logs.random_log(17, 120), 2)
+STEPS = [
+    (changelogs.fold_into, FOLD_CHANGELOG, changelogs.FOLD_STATE),
+    (changelogs.join_into, CHANGELOG, changelogs.JOIN_STATE),
+]
+
+
+@pytest.mark.parametrize("into,schema,state_schema", STEPS)
+def test_a_repeated_batch_changes_nothing(spark, into, schema, state_schema):
+    """Also after upkeep of the changelog, and when the state was written only in part."""
+    pieces = chunks(logs.random_log(17, 240), 4)
+    changes = CompactedChangelog(spark, scratch_path(spark, "out"), schema)
+    state = keyed.KeyedState(spark, scratch_path(spark, "state"), state_schema, buckets=2)
+    write = into(changes, state)
+    text = lambda df: sorted(map(str, df.collect()))
+    for batch_id, rows in enumerate(pieces):
+        write(logs.frame(spark, rows), batch_id)
+        before = text(changes.read()), text(state.read())
+        if batch_id == 2:
+            changes.compact()
+            changes.vacuum()
+        if batch_id == 3:  # a crash after the first bucket
+            opened = state.open(logs.frame(spark, rows), batch_id)
+            opened.buckets = opened.buckets[:1]
+            opened.replace(opened.rows().limit(0))
+        write(logs.frame(spark, rows), batch_id)
+        assert (text(changes.read()), text(state.read())) == before
+
+
+def test_a_batch_of_one_symbol_reads_one_bucket(spark):
     changes = CompactedChangelog(spark, scratch_path(spark, "out"), FOLD_CHANGELOG)
-    state = CompactedChangelog(spark, scratch_path(spark, "state"), changelogs.FOLD_STATE)
+    state = keyed.KeyedState(spark, scratch_path(spark, "state"), changelogs.FOLD_STATE, buckets=8)
     write = changelogs.fold_into(changes, state)
-    write(logs.frame(spark, first), 0)
-    write(logs.frame(spark, second), 1)
-    before = sorted(map(str, changes.changes().collect()))
-    write(logs.frame(spark, second), 1)
-    assert sorted(map(str, changes.changes().collect())) == before
+    rows = logs.random_log(19, 400)
+    write(logs.frame(spark, rows), 0)
+    assert len(state._versions(None, None)) > 1
+    one = logs.frame(spark, [r for r in rows if r["symbol_pair"] == rows[0]["symbol_pair"]])
+    opened = state.open(one, 1)
+    assert len(opened.versions) == 1
+    plan = opened.rows()._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1]
+    assert "bucket" in filters.split("]")[0] and "slot" in filters.split("]")[0]
+    stamps = lambda: {b: v for b, v in state._versions(None, None).items()}
+    before = stamps()
+    write(one, 1)
+    changed = [b for b, v in stamps().items() if before.get(b) != v]
+    assert len(changed) == 1 and stamps()[changed[0]][0] == 1
+
+
+def test_state_without_keys_left(spark):
+    shape = T.StructType([T.StructField("symbol_pair", T.StringType())])
+    state = keyed.KeyedState(spark, scratch_path(spark, "state"), shape, buckets=1)
+    keys = spark.createDataFrame([("A",), ("B",)], shape)
+    assert state.read().count() == 0
+    state.open(keys, 0).replace(keys)
+    state.open(keys, 1).replace(keys.limit(0))
+    assert state.read().count() == 0
+    assert state.open(keys, 1).rows().count() == 2
 
 
 def test_streaming_fold_starts_from_restored_entries(spark):
