@@ -8,6 +8,7 @@ from __future__ import annotations
 
 DAY = 86_400_000
 MID_JANUARY = 1_705_276_800_000
+YEAR_1995 = 788_918_400_000
 
 CONFIG_KINDS = "('signup', 'click', 'error')"
 
@@ -303,6 +304,14 @@ parsed AS (
 
 CDC_CTES = f"WITH {EVENTS}, {CDC}, {PARSED}"
 
+REJECTS = """SELECT 'PRICE_CONFIG.events' AS topic, 0 AS partition, seq AS "offset",
+       CAST(seq AS VARCHAR) AS key, message AS value,
+       CASE WHEN rule = 'null' THEN 'tombstone'
+         WHEN rule = 'header' THEN 'no event type'
+         WHEN header_type = 'PriceConfigRenamed' THEN 'unknown event type'
+         WHEN rule = 'text' THEN 'not json' ELSE 'no symbol' END AS reason
+FROM msg WHERE rule NOT IN ('wrap', 'twice', 'fine')"""
+
 CONFIG_SHOW = "id, symbol_pair, CAST(delta_percent AS DECIMAL(38,8))::VARCHAR AS delta_percent, config_event_at, deleted, seq"
 
 
@@ -508,6 +517,15 @@ def _renewed() -> str:
     )
 
 
+def enriched(ticks: str, table: str) -> str:
+    return f"""SELECT t.symbol_pair, CAST(t.price AS DECIMAL(38,8))::VARCHAR AS price, t.price_at, t.seq,
+                   c.config_id, CAST(c.price AS DECIMAL(38,8))::VARCHAR AS last_price,
+                   CAST(c.low_price AS DECIMAL(38,8))::VARCHAR AS low_price,
+                   CAST(c.high_price AS DECIMAL(38,8))::VARCHAR AS high_price
+            FROM {ticks} t LEFT JOIN {table} c
+              ON t.symbol_pair = c.symbol_pair AND c.op = 'U'"""
+
+
 def oracle() -> dict[str, str]:
     changes = f"{CHANGES} SELECT {SHOW_CHANGES} FROM changes"
     fold = f"{FOLD} SELECT {SHOW_FOLD} FROM emitted"
@@ -603,14 +621,7 @@ def oracle() -> dict[str, str]:
                 AS delta_percent,
               CASE WHEN rule NOT IN ('null', 'text') THEN {REVISION} ELSE 0 END AS config_event_at
             FROM msg""",
-        "cdc_rejects": f"""{CDC_CTES}
-            SELECT 'PRICE_CONFIG.events' AS topic, 0 AS partition, seq AS "offset",
-                   CAST(seq AS VARCHAR) AS key, message AS value,
-                   CASE WHEN rule = 'null' THEN 'tombstone'
-                     WHEN rule = 'header' THEN 'no event type'
-                     WHEN header_type = 'PriceConfigRenamed' THEN 'unknown event type'
-                     WHEN rule = 'text' THEN 'not json' ELSE 'no symbol' END AS reason
-            FROM msg WHERE rule NOT IN ('wrap', 'twice', 'fine')""",
+        "cdc_rejects": f"{CDC_CTES} {REJECTS}",
         "rekey": f"{CDC_CTES} SELECT symbol_pair AS key, id, seq FROM parsed",
         "latest_config": f"""WITH {EVENTS}, {LOG}
             SELECT {CONFIG_SHOW}
@@ -644,12 +655,7 @@ def oracle() -> dict[str, str]:
                    price_at, CAST(0 AS BIGINT) AS config_event_at, 'U' AS op, seq
             FROM lines l JOIN part p ON l.symbol_pair = 'P' || p.p_partkey""",
         "enrich_with_full_config": f"""{CHANGES}, {LAST_CHANGE}, {ORDER_TICKS}
-            SELECT t.symbol_pair, CAST(t.price AS DECIMAL(38,8))::VARCHAR AS price, t.price_at, t.seq,
-                   c.config_id, CAST(c.price AS DECIMAL(38,8))::VARCHAR AS last_price,
-                   CAST(c.low_price AS DECIMAL(38,8))::VARCHAR AS low_price,
-                   CAST(c.high_price AS DECIMAL(38,8))::VARCHAR AS high_price
-            FROM ticks t LEFT JOIN last_change c
-              ON t.symbol_pair = c.symbol_pair AND c.op = 'U'""",
+            {enriched('ticks', 'last_change')}""",
         "fold_accept": f"{FOLD} SELECT symbol_pair, seq, event, accepted FROM folded",
         "fold_changes": f"""{FOLD}
             SELECT symbol_pair, seq, event, {dbl('old_price', 'old_delta', 'new_price', 'new_delta')}
@@ -765,6 +771,17 @@ def oracle() -> dict[str, str]:
                    p.price_at, c.config_event_at
             FROM c JOIN p ON c.symbol_pair = p.symbol_pair WHERE NOT c.deleted""",
         "stream_fold_changelog": fold,
+        "stream_cdc_quarantine": f"""{CDC_CTES}
+            SELECT {CONFIG_SHOW}, NULL AS topic, NULL AS partition, NULL AS "offset", NULL AS key,
+                   NULL AS value, NULL AS reason FROM parsed
+            UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, * FROM ({REJECTS})""",
+        "stream_enrich": f"""{CHANGES}, {LAST_CHANGE}, {ORDER_TICKS},
+            {log_of('early', f"(epoch_us(ts) // 1000) < {MID_JANUARY}")},
+            {changelog_of('early', 'a_')},
+            a_last AS {_newest('a_changes', 'seq DESC')}
+            {enriched(f"(SELECT * FROM ticks WHERE price_at < {YEAR_1995})", 'a_last')}
+            UNION ALL
+            {enriched(f"(SELECT * FROM ticks WHERE price_at >= {YEAR_1995})", 'last_change')}""",
         "bootstrap_equivalence": f"""WITH {EVENTS}, {LOG}, {CONFIG_TABLE}, {ORDER_TICKS},
             configs AS (
               SELECT id, symbol_pair, delta_percent, config_event_at, deleted, seq FROM log

@@ -30,6 +30,7 @@ REGISTRY: dict[str, Query] = {}
 
 DAY = fixtures.DAY_MS
 MID_JANUARY = 1_705_276_800_000  # 2024-01-15 00:00 UTC
+YEAR_1995 = 788_918_400_000
 PUBLISHED_AT = 1_704_067_200_000
 SPLIT_ROWS = 60
 
@@ -342,13 +343,16 @@ def full_config_line_changelog(spark, sf_dir):
     return joins.join_changelog(_line_log(spark, sf_dir))
 
 
+def _shown(table: DataFrame) -> DataFrame:
+    return table.select(
+        "symbol_pair", "config_id", F.col("price").alias("last_price"), "low_price", "high_price"
+    )
+
+
 @query
 def enrich_with_full_config(spark, sf_dir):
     table = joins.join_state(fixtures.log(spark, sf_dir)).where(F.col("op") == "U")
-    table = table.select(
-        "symbol_pair", "config_id", F.col("price").alias("last_price"), "low_price", "high_price"
-    )
-    return joins.enrich(fixtures.order_ticks(spark, sf_dir), table)
+    return joins.enrich(fixtures.order_ticks(spark, sf_dir), _shown(table))
 
 
 # --- the fold ----------------------------------------------------------------
@@ -661,6 +665,50 @@ def stream_cdc_to_table(spark, sf_dir):
     return store.read().drop("seq")
 
 
+@query
+def stream_cdc_quarantine(spark, sf_dir):
+    """Captured messages in micro-batches of two files; both outputs, ``reason`` tells them apart."""
+    source, progress = scratch_path(spark, "cdc"), scratch_path(spark, "progress")
+    raw = fixtures.cdc_log(spark, sf_dir)
+    raw.repartition(8, "offset").write.parquet(source)
+    events = CompactedChangelog(spark, scratch_path(spark, "events"), cdc.parse_cdc(raw).schema)
+    rejects = CompactedChangelog(
+        spark, scratch_path(spark, "rejects"), cdc.cdc_rejects(raw).schema
+    )
+    stream = records.file_stream(spark, source, raw.schema, max_files=2)
+    each = sinks.quarantine_into(events, rejects)
+    sinks.start(stream, each, progress, "append", available_now=True).awaitTermination()
+    both = events.changes().unionByName(rejects.changes(), allowMissingColumns=True)
+    return both.drop("batch_id")
+
+
+@query
+def stream_enrich(spark, sf_dir):
+    """Ticks up to 1994 meet the table of the first half of the log, later ones the whole."""
+    log, ticks = scratch_path(spark, "log"), scratch_path(spark, "ticks")
+    progress = [scratch_path(spark, "progress") for _ in range(2)]
+    table = CompactedChangelog(spark, scratch_path(spark, "table"), CHANGELOG)
+    arrivals = fixtures.order_ticks(spark, sf_dir)
+    shape = joins.enrich(arrivals, _shown(table.spark.createDataFrame([], CHANGELOG))).schema
+    store = CompactedChangelog(spark, scratch_path(spark, "enriched"), shape)
+    early = F.col("price_at") < YEAR_1995
+    for half, due in zip(_halves(spark, sf_dir), (early, ~early)):
+        half.select(*TAGGED_LOG.names).write.mode("append").parquet(log)
+        changes = joins.join_state(records.file_stream(spark, log, TAGGED_LOG))
+        sinks.start(
+            changes, sinks.append_into(table), progress[0], available_now=True
+        ).awaitTermination()
+        arrivals.where(due).write.mode("append").parquet(ticks)
+        sinks.start(
+            records.file_stream(spark, ticks, arrivals.schema),
+            sinks.enrich_into(store, lambda: _shown(table.read())),
+            progress[1],
+            "append",
+            available_now=True,
+        ).awaitTermination()
+    return store.changes().drop("batch_id")
+
+
 @query
 def full_config_changelog_split(spark, sf_dir):
     """With a task limit so low that the busiest symbols are cut into segments."""

@@ -102,22 +102,28 @@ def classify(raw: DataFrame) -> DataFrame:
     return rows.withColumns({"reason": reason, "seq": arrival()})
 
 
+def accepted(classified: DataFrame) -> DataFrame:
+    """The config events among classified records."""
+    return classified.where(F.col("reason").isNull()).select(
+        "id", "symbol_pair", "delta_percent", "config_event_at", "deleted", "seq"
+    )
+
+
+def rejected(classified: DataFrame) -> DataFrame:
+    """The other ones, as they came, with the reason."""
+    return classified.where(F.col("reason").isNotNull()).select(
+        "topic", "partition", "offset", "key", "value", "reason"
+    )
+
+
 def parse_cdc(raw: DataFrame) -> DataFrame:
     """Outbox messages to config events; records that cannot be used are dropped."""
-    return (
-        classify(raw)
-        .where(F.col("reason").isNull())
-        .select("id", "symbol_pair", "delta_percent", "config_event_at", "deleted", "seq")
-    )
+    return accepted(classify(raw))
 
 
 def cdc_rejects(raw: DataFrame) -> DataFrame:
     """The records ``parse_cdc`` drops, with the reason."""
-    return (
-        classify(raw)
-        .where(F.col("reason").isNotNull())
-        .select("topic", "partition", "offset", "key", "value", "reason")
-    )
+    return rejected(classify(raw))
 
 
 def route_outbox(outbox: DataFrame) -> DataFrame:

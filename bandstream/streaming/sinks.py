@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from bandstream.operators.joins import enrich
 from bandstream.operators.latest import collapse
 from bandstream.operators.projection import with_ttl
 from bandstream.operators.push import poll_batches, push, push_payload
+from bandstream.sources.cdc import accepted, classify, rejected
 from bandstream.sources.store import CompactedChangelog
 
 log = logging.getLogger(__name__)
@@ -76,6 +78,38 @@ def append_into(store: CompactedChangelog):
     return write
 
 
+def quarantine_into(events: CompactedChangelog, rejects: CompactedChangelog):
+    """A ``foreachBatch`` function: captured messages to config events and to rejects.
+
+    A batch is parsed once.  Both outputs are stored under its id, the rejects
+    first: a batch that ``events`` has is in ``rejects`` too, and a batch that is
+    delivered again leaves both as they were.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        judged = classify(batch).persist()
+        try:
+            rejects.append(rejected(judged), batch_id)
+            events.append(accepted(judged), batch_id)
+        finally:
+            judged.unpersist()
+
+    return write
+
+
+def enrich_into(store: CompactedChangelog, table: Callable[[], DataFrame]):
+    """A ``foreachBatch`` function: rows with what ``table()`` has for their symbol.
+
+    ``table`` is called for every micro-batch, so a batch sees what the table held
+    when it began, and changes of the table show from the next batch on.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.append(enrich(batch, table()), batch_id)
+
+    return write
+
+
 def start(
     stream: DataFrame,
     each_batch: Callable[[DataFrame, int], None],
