@@ -51,7 +51,7 @@ from bandstream.llm.common import Generations, fields, fresh, stored, table, tex
 
 BLOCK_BYTES = 4 << 20
 #: Units remembered per generation.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 150_000
 #: Units handed to the tokenizers at once.
 ENCODE_UNITS = 2000
 #: Links of a group above which repeated ids are counted before they are paired.
