@@ -43,7 +43,7 @@ OPEN_BINS = 1024
 #: Pieces dealt to a packer.
 TASK_PIECES = 100_000
 #: Words remembered per generation.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 600_000
 
 #: Words of ASCII and Latin-1 letters, where lower case and composition are plain, in the
 #: parts that the tokenizer cuts them into; special tokens start with ``<|``.
