@@ -22,6 +22,7 @@ an empty table gives no sequence.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -43,7 +44,7 @@ OPEN_BINS = 1024
 #: Pieces dealt to a packer.
 TASK_PIECES = 100_000
 #: Words remembered per generation.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 
 #: Words of ASCII and Latin-1 letters, where lower case and composition are plain, in the
 #: parts that the tokenizer cuts them into; special tokens start with ``<|``.
@@ -125,6 +126,7 @@ def pieces(
     end = END.to_bytes(4, "little")
 
     def run(batches):
+        gc.disable()  # a batch makes many short-lived lists and no cycles
         for batch in batches:
             ids_, sizes = words(path).encode(batch.column(1).cast(pa.string()))
             rows, at = [], 0
@@ -139,6 +141,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, kind) for c, kind in zip(columns, kinds)], names
             )
+        gc.enable()
 
     source = docs.select(F.col("doc_id").cast("long"), text_bytes("text").alias("raw"))
     return source.mapInArrow(run, fields(PIECE + ", ids binary" * ids))
