@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from bandstream.session import configure, stored
 
-__all__ = ["Generations", "doc_key", "fields", "fresh", "prepare", "stored", "table", "text_bytes"]
+__all__ = ["Generations", "discard", "doc_key", "fields", "fresh", "prepare", "stored", "table", "text_bytes"]
 
 #: Rows and bytes handed to a Python worker at once; bounds its memory, not the result.
 BATCH_ROWS = 1000
@@ -27,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder that ``stored`` wrote, once nothing reads ``df`` any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

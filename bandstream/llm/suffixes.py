@@ -10,9 +10,9 @@ neighbour is matched with it and with the first of its run.  A passage of
 (``WINDOW - 1 + PREFIX <= SHORTEST``).
 
 Anchors of two documents on one diagonal join to runs.  A run is verified by a
-128-bit digest of its words and extended left and right word by word, up to
-``REACH`` words, which is more than ``SHORTEST``: longer matches have more
-anchors.
+128-bit digest of its words and extended left and right word by word to where the
+two texts differ: ``REACH`` words at first, and those that agree so far read on in
+steps four times as long.
 
 The array is range partitioned by prefix, document and place: a passage that a
 third of all documents has is spread over many tasks.  Where a range border cuts
@@ -27,13 +27,15 @@ doc_id and text are one document.  Null and short texts have no passages.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bandstream.llm.common import fields, stored, table, text_bytes
+from bandstream.llm.common import discard, fields, stored, table, text_bytes
 
 GRAM = 5
 WINDOW = 16
@@ -41,12 +43,28 @@ PREFIX = 32
 SHORTEST = 50
 #: Words per block of the order beyond the prefix.
 BLOCK = 5
+#: Words read on each side of a run at first.
 REACH = 64
+BASE = 0x9E3779B97F4A7C15
+#: Hashes of words remembered by a worker, and the longest word among them.
+WORDS_KNOWN, LONGEST_KNOWN = 200_000, 64
+#: Bytes of context handed on at once.
+CONTEXT_BYTES = 16 << 20
+
+
+class WordHashes(dict):
+    """Hash of a word, worked out once while it is remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_KNOWN:
+            self[word] = h
+        return h
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(w) for w in words], dtype=np.uint64)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > WORDS_KNOWN:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -54,54 +72,70 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def run_hashes(hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the runs of ``size`` words, at all places or some."""
-    powers = np.array(
-        [pow(0x9E3779B97F4A7C15, size - i, 1 << 64) for i in range(size)], dtype=np.uint64
-    )
-    runs = np.lib.stride_tricks.sliding_window_view(hashes, size)
-    out = np.zeros(len(runs) if at is None else len(at), dtype=np.uint64)
-    for i in range(size):
-        column = runs[:, i] if at is None else hashes[at + i]
-        out += mixed(column) * powers[i]
-    return mixed(out)
+class Powers:
+    """Powers of an odd number modulo 2**64, as many as the longest text asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.known = base, np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.known) <= n:
+            steps = np.full(n + n // 4 + 1, self.base, dtype=np.uint64)
+            steps[0] = 1
+            self.known = np.cumprod(steps)
+        return self.known[: n + 1]
+
+
+UP, DOWN = Powers(BASE), Powers(pow(BASE, -1, 1 << 64))
+
+
+class RunHashes:
+    """Hashes of runs of words, each from the difference of two prefix sums."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.n = len(hashes)
+        terms = mixed(hashes) * DOWN.upto(self.n)[: self.n]
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(terms)])
+
+    def at(self, places: np.ndarray, size: int) -> np.ndarray:
+        """Runs of ``size`` words from ``places`` on; what is beyond the text counts as nothing."""
+        ends = places + size
+        inside = self.sums[np.minimum(ends, self.n)] - self.sums[np.minimum(places, self.n)]
+        return mixed(inside * UP.upto(self.n + PREFIX + 4 * BLOCK)[ends])
 
 
-def following(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+def following(runs: RunHashes, places: np.ndarray) -> np.ndarray:
     """Sort key of what comes after the prefixes: 16 bits for each of four blocks."""
     out = np.zeros(len(places), dtype=np.uint64)
-    padded = np.concatenate([hashes, np.zeros(PREFIX, dtype=np.uint64)])
     for block in range(4):
-        key = np.zeros(len(places), dtype=np.uint64)
-        for i in range(BLOCK):
-            key = mixed(key ^ padded[places + PREFIX + block * BLOCK + i])
+        key = runs.at(places + PREFIX + block * BLOCK, BLOCK)
         out = (out << np.uint64(16)) | (key >> np.uint64(48))
     return out
 
 
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the kept suffixes and the hashes of their prefixes."""
-    if len(hashes) < PREFIX:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    grams = run_hashes(hashes, GRAM)
+def anchors(runs: RunHashes) -> np.ndarray:
+    """Places of the kept suffixes."""
+    if runs.n < PREFIX:
+        return np.empty(0, dtype=np.int64)
+    grams = runs.at(np.arange(runs.n - GRAM + 1), GRAM)
     windows = np.lib.stride_tricks.sliding_window_view(grams, min(WINDOW, len(grams)))
     places = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    places = places[places + PREFIX <= len(hashes)]
-    return places, run_hashes(hashes, PREFIX, places)
+    return places[places + PREFIX <= runs.n]
 
 
 def suffix_rows(docs: DataFrame) -> DataFrame:
     """h, e, doc_id, k, pos of every kept suffix; e orders equal prefixes."""
 
     def run(batches):
+        known = WordHashes()
         for batch in batches:
             ids, keys, texts = (batch.column(i) for i in range(3))
             rows, hashes, order, places = [], [], [], []
             for n, text in enumerate(texts.to_pylist()):
-                own = word_hashes(text.lower().split())
-                at, h = anchors(own)
+                own = RunHashes(known.of(text.lower().split()))
+                at = anchors(own)
                 rows.append(np.full(len(at), n))
-                hashes.append(h)
+                hashes.append(own.at(at, PREFIX))
                 order.append(following(own, at))
                 places.append(at)
             take = pa.array(np.concatenate(rows))
@@ -186,13 +220,12 @@ def neighbour_pairs(suffixes: DataFrame) -> DataFrame:
     return compared.where("NOT border").drop("border", "e").unionByName(across)
 
 
-def neighbour_links(suffixes: DataFrame) -> DataFrame:
+def neighbour_links(pairs: DataFrame) -> DataFrame:
     """doc_id, k, pos, to_id, to_k, to_pos: a repeated suffix and an earlier one.
 
     Each is linked to the first document of its run (with equal prefixes) and to
     its neighbour in the array, which may agree further.
     """
-    pairs = neighbour_pairs(suffixes)
     members = pairs.select("h", "doc_id", "k", "pos").unionByName(
         pairs.where("opens").select(
             "h", F.col("to_id").alias("doc_id"), F.col("to_k").alias("k"), F.col("to_pos").alias("pos")
@@ -232,6 +265,9 @@ def same_document():
     return F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("k") == F.col("to_k"))
 
 
+RUN = ["doc_id", "k", "start", "end", "to_id", "to_k", "to_start", "to_end"]
+
+
 def runs(links: DataFrame) -> DataFrame:
     """Anchors on one diagonal of two documents joined to runs of certain words."""
     pair = ["doc_id", "k", "to_id", "to_k", "diagonal"]
@@ -256,8 +292,8 @@ def runs(links: DataFrame) -> DataFrame:
     )
 
 
-def contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """For both sides of every run: digest of its words, hashes of the words around."""
+def contexts(docs: DataFrame, found: DataFrame, reach: int = REACH) -> DataFrame:
+    """For both sides of every run: digest of its words, hashes of ``reach`` words around."""
     asked = (
         found.select("doc_id", "k", "start", "end")
         .unionByName(
@@ -280,35 +316,34 @@ def contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("k") == F.col("asked_k")),
     ).select("doc_id", "k", "raw", "spans")
 
+    types = (None, pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3)
+    names = ["c_id", "c_k", "c_start", "c_end", "digest", "left", "right"]
+
     def run(batches):
+        known = WordHashes()
         for batch in batches:
-            out = []
+
+            def packed(out):
+                kinds = [t or batch.schema.field(0).type for t in types]
+                columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            out, size = [], 0
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for doc_id, k, text, spans in zip(*columns):
                 words = text.lower().split()
-                short = word_hashes(words).astype("<u4")  # the low 32 bits
+                short = known.of(words).astype("<u4")  # the low 32 bits
                 for span in spans:
                     a, b = span["start"], span["end"]
-                    out.append(
-                        (
-                            doc_id,
-                            k,
-                            a,
-                            b,
-                            xxhash.xxh3_128_digest(b" ".join(words[a:b])),
-                            short[max(0, a - REACH) : a][::-1].tobytes(),
-                            short[b : b + REACH].tobytes(),
-                        )
-                    )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[i] for r in out], batch.schema.field(0).type if i == 0 else t)
-                    for i, t in enumerate(
-                        (None, pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3)
-                    )
-                ],
-                ["c_id", "c_k", "c_start", "c_end", "digest", "left", "right"],
-            )
+                    digest = xxhash.xxh3_128_digest(b" ".join(words[a:b]))
+                    left = short[max(0, a - reach) : a][::-1].tobytes()
+                    right = short[b : b + reach].tobytes()
+                    out.append((doc_id, k, a, b, digest, left, right))
+                    size += len(left) + len(right)
+                    if size > CONTEXT_BYTES:
+                        yield packed(out)
+                        out, size = [], 0
+            yield packed(out)
 
     return rows.mapInArrow(
         run,
@@ -327,17 +362,13 @@ def common_words(a: bytes, b: bytes) -> int:
     return int(different[0]) if len(different) else n
 
 
-def repeated_passages(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """doc_id, start, n_words, of_doc_id, of_start: passages that an earlier document has.
+def extended(docs: DataFrame, found: DataFrame, reach: int) -> DataFrame:
+    """Runs whose words are equal, grown by up to ``reach`` words on each side.
 
-    ``shortest`` must be at least SHORTEST.
+    ``open``: both sides agree as far as they were read.
     """
-    docs = docs.select("doc_id", "text").where("text IS NOT NULL")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # stored, because range partitioning reads its input twice
-    suffixes = stored(suffix_rows(docs), "suffixes")
-    found = stored(runs(neighbour_links(suffixes)), "runs")
-    around = stored(contexts(docs, found), "contexts")
+    around = stored(contexts(docs, found, reach), "contexts")
 
     def seen(suffix, doc, k, start, end):
         names = {c: f"{c}{suffix}" for c in around.columns}
@@ -353,39 +384,73 @@ def repeated_passages(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     both = found.join(*seen("_a", "doc_id", "k", "start", "end"))
     both = both.join(*seen("_b", "to_id", "to_k", "to_start", "to_end"))
     both = both.where("digest_a = digest_b").select(
-        "doc_id", "k", "start", "end", "to_id", "to_k", "to_start",
-        "left_a", "left_b", "right_a", "right_b",
-    )
+        *RUN, "left_a", "left_b", "right_a", "right_b"
+    )
 
     def extend(batches):
         for batch in batches:
-            sides = [batch.column(i).to_pylist() for i in range(7, 11)]
+            sides = [batch.column(i).to_pylist() for i in range(8, 12)]
             before = np.array([common_words(a, b) for a, b in zip(*sides[:2])], dtype=np.int32)
             after = np.array([common_words(a, b) for a, b in zip(*sides[2:])], dtype=np.int32)
-            start, end, to_start = (
-                batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 6)
+            start, end, to_start, to_end = (
+                batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 6, 7)
             )
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(i) for i in (0, 1, 4, 5)],
+                    *[batch.column(i) for i in (0, 1)],
                     pa.array(start - before),
-                    pa.array(end - start + before + after),
+                    pa.array(end + after),
+                    *[batch.column(i) for i in (4, 5)],
                     pa.array(to_start - before),
+                    pa.array(to_end + after),
+                    pa.array((before == reach) | (after == reach)),
                 ],
-                ["doc_id", "k", "of_doc_id", "of_k", "start", "n_words", "of_start"],
+                [*RUN, "open"],
             )
 
-    grown = both.mapInArrow(
-        extend,
-        fields(
-            f"doc_id {kind}, k long, of_doc_id {kind}, of_k long, "
-            "start int, n_words int, of_start int"
-        ),
-    )
+    shape = f"doc_id {kind}, k long, start int, end int, to_id {kind}, to_k long, to_start int"
+    grown = both.mapInArrow(extend, fields(f"{shape}, to_end int, open boolean")).distinct()
+    grown = stored(grown, "extended")
+    discard(around)
+    return grown
+
+
+def repeated_passages(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """doc_id, start, n_words, of_doc_id, of_start: passages that an earlier document has.
+
+    ``shortest`` must be at least SHORTEST.  Scratch tables are deleted as soon as
+    what was built from them is stored.
+    """
+    docs = docs.select("doc_id", "text").where("text IS NOT NULL")
+    # stored, because range partitioning reads its input twice
+    suffixes = stored(suffix_rows(docs), "suffixes")
+    pairs = neighbour_pairs(suffixes)
+    found = stored(runs(neighbour_links(pairs)), "runs")
+    discard(suffixes)
+    closed, reach = [], REACH
+    while True:
+        grown = extended(docs, found, reach)
+        discard(found)
+        closed.append(grown.where("NOT open").drop("open"))
+        found = grown.where("open").drop("open")
+        if found.isEmpty():
+            break
+        found, reach = stored(found, "open"), 4 * reach
+    length = F.col("end") - F.col("start")
     return (
-        grown.where(F.col("n_words") >= shortest)
+        reduce(DataFrame.unionByName, closed)
+        .where(length >= shortest)
+        .select(
+            "doc_id",
+            "start",
+            length.alias("n_words"),
+            F.col("to_id").alias("of_doc_id"),
+            F.col("to_start").alias("of_start"),
+            "k",
+            "to_k",
+        )
         .distinct()
-        .select("doc_id", "start", "n_words", "of_doc_id", "of_start")
+        .drop("k", "to_k")
     )
 
 

@@ -199,6 +199,31 @@ def test_passages_against_all_pairs(spark, folder):
                 assert len(set(range(at, at + 50)) - covered.get(i, set())) <= 2, (i, at)
 
 
+def test_run_hashes_depend_on_the_words_alone():
+    known = suffixes.WordHashes()
+    text = [w.encode() for w in words(11, 400)]
+    own = suffixes.RunHashes(known.of(text))
+    for at in (0, 7, 368):
+        piece = suffixes.RunHashes(known.of(text[at : at + 32]))
+        places = np.array([at])
+        assert own.at(places, 32) == piece.at(np.array([0]), 32)
+    short = suffixes.RunHashes(known.of(text[:40]))
+    same = suffixes.following(short, np.array([0]))
+    assert same == suffixes.following(suffixes.RunHashes(known.of(text[:40])), np.array([0]))
+    assert same != suffixes.following(own, np.array([0]))
+    assert len(suffixes.anchors(suffixes.RunHashes(known.of(text[:31])))) == 0
+
+
+def test_passages_are_extended_to_their_ends(spark, folder):
+    hot, left, right = words(21, 300), words(22, 900), words(23, 700)
+    docs = [words(30 + i, 20) + hot + words(60 + i, 20) for i in range(20)]
+    docs += [words(90 + i, 5) + left + hot + right + words(95 + i, 5) for i in range(2)]
+    folder.docs([(i, " ".join(d), None, None, None) for i, d in enumerate(docs)])
+    got = [tuple(r) for r in suffixes.op8_repeated_passages(spark, folder.path).collect()]
+    assert (21, 5, 1900, 20, 5) in got
+    assert {r[0] for r in got} == set(range(1, 22))
+
+
 # --- secrets ------------------------------------------------------------------
 
 
