@@ -227,6 +227,20 @@ def test_passages_are_extended_to_their_ends(spark, folder):
 # --- secrets ------------------------------------------------------------------
 
 
+def test_every_run_but_plain_words_is_a_candidate():
+    draw = random.Random(31)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz234567", "0123456789abcdef", "ABCDEFGHJKMNPQRS0123456789"):
+        for size in (6, 8, 12, 24, 64):
+            for _ in range(200):
+                value = "".join(draw.choices(alphabet, k=size))
+                if not value.isalpha() or size > 20:
+                    assert secrets.candidates(f"see {value} here") == [(4, 4 + size)], value
+    for value in ("1234567890abcdef", "48210573qwertyuiop", "q" * 21, "XK" * 11):
+        assert secrets.candidates(value) == [(0, len(value))]
+    for word in ("already", "Berlin.", "LONDON", "under_"):
+        assert secrets.candidates(word) == []
+
+
 def plain_base(text):
     kinds = [
         (r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
