@@ -309,6 +309,8 @@ def contexts(docs: DataFrame, found: DataFrame, reach: int = REACH) -> DataFrame
         .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         .withColumnsRenamed({"doc_id": "asked_id", "k": "asked_k"})
     )
+    # stored, so that its size is known: the few runs that read on need no shuffle of all texts
+    asked = stored(asked, "asked")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("k"), text_bytes().alias("raw"))
     rows = texts.join(
