@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bandstream.operators.latest import collapse
+from bandstream.operators.runs import number_rows
 
 # 30 minutes to live, renewed every 5; 20 rows per page.
 TTL_MS = 1_800_000
 RENEW_MS = 300_000
 PAGE_SIZE = 20
+#: Rows per folder of a stored page index.
+BLOCK_ROWS = 100_000
 PHANTOM_SUFFIX = ":phantom"
 
 
@@ -78,11 +82,53 @@ def page(
 
     Nulls come last and the symbol breaks ties, so pages do not overlap.
     """
+    return df.orderBy(*page_order(sort, desc)).offset(number * size).limit(size)
+
+
+def page_order(sort: str = "symbol_pair", desc: bool = False) -> list[Column]:
     column = F.col(sort)
     order = [column.desc_nulls_last() if desc else column.asc_nulls_last()]
     if sort != "symbol_pair":
         order.append(F.col("symbol_pair").asc_nulls_last())
-    return df.orderBy(*order).offset(number * size).limit(size)
+    return order
+
+
+class PageIndex:
+    """A projection stored in sort order, so that every page costs the same.
+
+    Rows carry their rank and lie in folders of ``block_rows`` ranks each; a page
+    reads the folders its ranks are in, mostly one, and sorts ``size`` rows.
+    The order is that of ``page``.  ``schema`` is that of the projection.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, block_rows: int = BLOCK_ROWS):
+        self.spark, self.path, self.schema = spark, path, schema
+        self.block_rows = block_rows
+
+    def write(self, df: DataFrame, sort: str = "symbol_pair", desc: bool = False) -> None:
+        """Replace the contents; range partitioned, no task sorts them all."""
+        rows = number_rows(df.select(*self.schema.names), page_order(sort, desc), "rank")
+        block = F.floor(F.col("rank") / self.block_rows).cast("long")
+        (
+            rows.withColumn("block", block)
+            .sortWithinPartitions("block", "rank")
+            .write.mode("overwrite")
+            .partitionBy("block")
+            .parquet(self.path)
+        )
+
+    def rows(self) -> DataFrame:
+        """All rows with ``rank`` and ``block``."""
+        ranks = [T.StructField("rank", T.LongType()), T.StructField("block", T.LongType())]
+        shape = T.StructType([*self.schema.fields, *ranks])
+        return self.spark.read.schema(shape).parquet(self.path)
+
+    def page(self, number: int = 0, size: int = PAGE_SIZE) -> DataFrame:
+        """Page ``number`` of ``size`` rows; empty past the end."""
+        first, last = number * size, (number + 1) * size - 1
+        blocks = F.col("block").between(first // self.block_rows, last // self.block_rows)
+        rows = self.rows().where(blocks & F.col("rank").between(first, last))
+        return rows.orderBy("rank").select(*self.schema.names)
 
 
 def page_after(

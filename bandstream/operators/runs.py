@@ -126,17 +126,23 @@ def timeline(
 
 
 def number_rows(
-    df: DataFrame, seq: str = "seq", name: str = "position", parts: int | None = None
+    df: DataFrame,
+    seq: str | list[Column] = "seq",
+    name: str = "position",
+    parts: int | None = None,
 ) -> DataFrame:
     """Number all rows 0, 1, 2, … by ``seq`` without one task sorting them all.
 
+    ``seq`` may be a list of orders (``F.col(…).desc_nulls_last()``, …).
+
     The rows are range partitioned, sorted and numbered inside each partition,
     stored once, and shifted by the sizes of the earlier partitions.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the id counts rows in its lower 33 bits and has the partition above them
-    dealt = df.repartitionByRange(parts, seq).sortWithinPartitions(seq)
+    order = [seq] if isinstance(seq, str) else seq
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt = stored(dealt.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     piece = F.shiftright("_id", 33)
     sizes = dealt.groupBy(piece.alias("_piece")).agg(F.count("*").alias("_size"))

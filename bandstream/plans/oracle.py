@@ -694,6 +694,12 @@ def oracle() -> dict[str, str]:
         "page_after": f"""{LINE_SNAPSHOT}
             SELECT {SHOW_FULL} FROM (SELECT * FROM full_table
               ORDER BY price DESC NULLS LAST, symbol_pair OFFSET 40 LIMIT 20)""",
+        "page_indexed": f"""{LINE_SNAPSHOT},
+            ranked AS (SELECT *, CAST((row_number() OVER (
+                ORDER BY price DESC NULLS LAST, symbol_pair) - 1) // 20 AS INTEGER) AS number,
+              CAST((count(*) OVER () - 1) // 20 AS INTEGER) AS last_number FROM full_table)
+            SELECT {SHOW_FULL}, number FROM ranked
+            WHERE number IN (2, last_number // 2, last_number)""",
         "page_meta": f"""{LINE_SNAPSHOT}
             SELECT 2 AS page, 20 AS size, count(*) AS total_elements,
                    CAST(ceil(count(*) / 20.0) AS INTEGER) AS total_pages,

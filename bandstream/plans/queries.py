@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ MID_JANUARY = 1_705_276_800_000  # 2024-01-15 00:00 UTC
 YEAR_1995 = 788_918_400_000
 PUBLISHED_AT = 1_704_067_200_000
 SPLIT_ROWS = 60
+INDEX_ROWS = 1000
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -446,6 +448,22 @@ def page_after(spark, sf_dir):
     return projection.page_after(table, after, size=20, sort="price", desc=True)
 
 
+@query
+def page_indexed(spark, sf_dir):
+    """The third, the middle and the last page of a stored index, with their ``number``."""
+    table = joins.full_config(
+        fixtures.part_configs(spark, sf_dir), fixtures.line_ticks(spark, sf_dir)
+    )
+    index = projection.PageIndex(
+        spark, scratch_path(spark, "pages"), table.schema, block_rows=INDEX_ROWS
+    )
+    index.write(table, sort="price", desc=True)
+    last = projection.page_meta(index.rows()).first()["total_pages"] - 1
+    numbers = sorted({2, last // 2, last})
+    pages = [index.page(n).withColumn("number", F.lit(n)) for n in numbers if n >= 0]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query
 def page_meta(spark, sf_dir):
     table = joins.full_config(

@@ -64,6 +64,28 @@ def test_pages(spark):
     assert tuple(projection.page_meta(df.limit(0), 0, 7).first()) == (0, 7, 0, 0, True, True)
 
 
+def test_page_index(spark, tmp_path):
+    rows = [(f"S{i:02}", i % 4 if i % 5 else None) for i in range(23)]
+    df = spark.createDataFrame(rows, "symbol_pair string, v int")
+    for desc in (False, True):
+        index = projection.PageIndex(spark, str(tmp_path / f"{desc}"), df.schema, block_rows=5)
+        index.write(df, "v", desc)
+        for number in range(5):
+            want = projection.page(df, number, 7, "v", desc).collect()
+            assert index.page(number, 7).collect() == want
+        one = index.page(2, 4)  # ranks 8 to 11
+        assert len({f.split("block=")[1].split("/")[0] for f in one.inputFiles()}) == 5
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(block" in plan and "Limit" not in plan
+        scanned = index.rows().where("block BETWEEN 1 AND 2")
+        assert scanned.count() == 10
+    empty = projection.PageIndex(spark, str(tmp_path / "empty"), df.schema)
+    empty.write(df.limit(0))
+    assert empty.page().isEmpty()
+    index.write(df.limit(3))
+    assert index.rows().count() == 3
+
+
 def test_direction(spark):
     rows = [("A", 1, 5.0), ("A", 2, 5.0), ("A", 3, 6.0), ("A", 4, None), ("A", 5, 1.0), ("A", 6, 0.5)]
     df = spark.createDataFrame(rows, "symbol_pair string, seq long, price double")
