@@ -2,19 +2,25 @@
 
 The requests of a log take effect one after the other in ``seq`` order, and
 whether one succeeds depends on the ones before it.  The job does not replay
-them.  It guesses every outcome, derives from the guesses who owned each symbol
-when each request came, which gives new outcomes, and repeats until none
-changes:
-
-* outcome ``n`` depends on earlier outcomes only, so each round settles at least
-  the first request that was still wrong, and everything before it stays;
-* a log without changes left is therefore the sequential result.
-
-A round is two running-state passes (per id, per symbol) however many requests
-share a key.  The number of rounds is the longest chain of requests in which
-each one flips the next, not the number of requests per key.
-
-One limit: a request cannot name an id that the same log creates.
+them.  It guesses every outcome, derives the outcomes that follow, and repeats
+until none changes.  Outcome ``n`` depends on earlier outcomes only, so each round
+settles at least the first request that was still wrong, and a log without changes
+left is the sequential result.
+
+**Within a symbol** a round is exact, however long the chain.  A request that takes
+a free symbol holds it until its row leaves; who gets it next is the first request
+to ask for it after that, which needs no knowledge of what came before.  These
+pointers form chains; the one that begins at the first holder is followed with
+pointers of doubled length, so a chain of n holders needs log n steps, and pointers
+that pass its end leave the loop.  Only a rename, which changes two symbols at once,
+carries a guess from one symbol to another.
+
+**Ids made by the log itself** are guessed as well: the last id of the table plus
+the running count of creates that are guessed to succeed.  A request that names such
+an id belongs to the create which has it in the round at hand.
+
+A round reads again only what the last one can have changed: requests of the symbols
+that a row with a changed guess names anywhere.
 """
 
 from __future__ import annotations
@@ -24,11 +30,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandstream.functions.staging import compute_once
 from bandstream.operators.latest import latest_by
 from bandstream.operators.runs import TASK_ROWS, Cuts, hot_cuts, number_rows, timeline
 from bandstream.schemas import DELTA
-from bandstream.session import scratch_path
+from bandstream.session import scratch_path, stored
 
 # Limits, messages, statuses, error codes, event types.
 MAX_SYMBOL = 32
@@ -48,7 +53,10 @@ EVENT = {
 }
 AGGREGATE_TYPE = "PRICE_CONFIG"
 
-ROUNDS_PER_JOB = 4
+#: Before every request; ``seq`` lies above it.
+BEGIN = -(1 << 62)
+#: Pointers that one step of the doubling follows in a row.
+HOPS = 4
 
 
 def field_errors() -> dict[str, Column]:
@@ -83,20 +91,30 @@ class Applied:
     configs: DataFrame
     results: DataFrame
     outbox: DataFrame
-    rounds: int
+    #: Requests judged in each round.
+    work: tuple[int, ...]
+    #: Steps of pointer doubling, over all rounds.
+    steps: int
 
+    @property
+    def rounds(self) -> int:
+        return len(self.work)
 
-def _staged(configs: DataFrame, requests: DataFrame) -> DataFrame:
+
+def _staged(configs: DataFrame, requests: DataFrame, last_id: int) -> DataFrame:
     """Requests with what is known up front: validity, target row, first owner.
 
-    A row can be deleted once and never comes back, so whether an id is alive
-    at a request needs no rounds.
+    A row can be deleted once and never comes back, so whether an id of the table
+    is alive at a request needs no rounds.  ``fresh`` marks requests whose id can
+    only come from the log.
     """
     errors = field_errors()
     invalid = errors["symbolPair"].isNotNull() | errors["deltaPercent"].isNotNull()
-    requests = requests.withColumn("invalid", invalid)
-    gone = (
-        requests.where(F.col("op") == "delete").groupBy("id").agg(F.min("seq").alias("_gone"))
+    fresh = (F.col("op") != "create") & (F.col("id") > last_id)
+    requests = requests.withColumns({"invalid": invalid, "fresh": F.coalesce(fresh, F.lit(False))})
+    by_id = requests.where(F.col("id").isNotNull() & (F.col("op") != "create") & ~F.col("fresh"))
+    named = by_id.groupBy("id").agg(
+        F.min(F.when(F.col("op") == "delete", F.col("seq"))).alias("_gone")
     )
     homes = configs.select(
         "id",
@@ -105,17 +123,17 @@ def _staged(configs: DataFrame, requests: DataFrame) -> DataFrame:
         F.col("updated_at").alias("home_at"),
     )
     owners = configs.select(F.col("symbol_pair"), F.col("id").alias("owner0"))
-    by_id = requests.where(F.col("id").isNotNull() & (F.col("op") != "create"))
-    # one join of the log per key, so that a hot id can be split at run time
-    targeted = by_id.join(homes.join(gone, "id", "left"), "id", "left")
+    # stored: the log then meets a plain table, and a hot id can be split at run time
+    targets = stored(named.join(homes, "id"), "targets")
+    targeted = by_id.join(targets, "id", "left")
     targeted = targeted.withColumn(
         "alive",
         F.col("home").isNotNull()
         & (F.col("_gone").isNull() | (F.col("seq") <= F.col("_gone"))),
     ).drop("_gone")
-    rest = requests.where(F.col("id").isNull() | (F.col("op") == "create"))
+    rest = requests.where(F.col("id").isNull() | (F.col("op") == "create") | F.col("fresh"))
     staged = targeted.unionByName(
-        rest.withColumn("alive", F.lit(False)), allowMissingColumns=True
+        rest.withColumn("alive", F.col("op") == "create"), allowMissingColumns=True
     )
     # deletes name no symbol: kept out of the join, where they would all meet
     named = F.col("symbol_pair").isNotNull() & (F.col("op") != "delete")
@@ -135,62 +153,134 @@ def _guess() -> Column:
     )
 
 
-def _entity_before(live: DataFrame, cuts: Cuts) -> DataFrame:
-    """Add ``was``: the last successful update of the same row before each request."""
-    update = F.when(
-        F.col("ok") & (F.col("op") == "update"),
-        F.struct("seq", "symbol_pair", "delta_percent", "at"),
-    )
-    return timeline(live, "entity", "seq", cuts).prior(was=update).rows().drop("was_own")
+def _entity_before(live: DataFrame, cuts: Cuts | None, limit: int) -> DataFrame:
+    """Add ``was``: the last create or update of the same row that succeeds before.
+
+    ``tried`` is the last one whether it succeeds or not.
+    """
+    names = F.col("op") != "delete"
+    done = F.when(F.col("ok") & names, F.struct("seq", "symbol_pair", "delta_percent", "at"))
+    asked = F.when(names, F.struct("seq", "symbol_pair"))
+    rows = timeline(live, "entity", "seq", cuts, limit).prior(was=done, tried=asked).rows()
+    return rows.drop("was_own", "tried_own")
 
 
-def _round(live: DataFrame, by_entity: Cuts, by_symbol: Cuts) -> DataFrame:
-    """One pass: outcomes implied by the guesses in ``ok``.
+def _moves(before: DataFrame) -> DataFrame:
+    """What requests ask of symbols: (symbol, entity, seq, take).
 
-    The event rows of a request are what it does to symbols if its guess holds:
-    it takes the one it names, and leaves the one its row had.  The row marked
-    ``main`` stands for the request itself.
+    Every create and update takes the symbol it names.  A delete, and an update that
+    is guessed to succeed, leaves the symbol its row is guessed to have, and the one it
+    tried last: to leave a symbol that one does not hold changes nothing, and with
+    both the guess about the last attempt need not be right.
     """
-    before = compute_once(
-        _entity_before(live, by_entity), {"_from": F.coalesce("was.symbol_pair", "home")}
+    names, gone = F.col("op") != "delete", F.col("op") == "delete"
+    left = F.array_distinct(
+        F.array(F.coalesce("was.symbol_pair", "home"), F.coalesce("tried.symbol_pair", "home"))
+    )
+    left = F.filter(left, lambda s: s.isNotNull() & (gone | (s != F.col("symbol_pair"))))
+    leaves = F.when(gone | ((F.col("op") == "update") & F.col("ok")), left)
+    takes = before.where(names).select(
+        F.col("symbol_pair").alias("symbol"), "entity", "seq", F.lit(True).alias("take")
+    )
+    leaves = before.select(
+        F.explode(leaves).alias("symbol"), "entity", "seq", F.lit(False).alias("take")
     )
-    renames = (
-        (F.col("op") == "update") & F.col("ok") & (F.col("_from") != F.col("symbol_pair"))
+    return takes.unionByName(leaves)
+
+
+def _asked(moves: DataFrame, cuts: Cuts) -> DataFrame:
+    """Takes with ``next``: who gets the symbol if this one gets it, once its row leaves."""
+    back = moves.withColumn("back", -F.col("seq"))
+    exits = F.when(~F.col("take"), F.struct("back", "_following"))
+    rows = (
+        timeline(back, "symbol", "back", cuts)
+        .prior(_following=F.when(F.col("take"), F.col("back")))
+        .prior(within=("entity",), _exit=exits)
+        .rows()
+    )
+    return rows.where("take").select(
+        "symbol", "entity", "seq", (-F.col("_exit._following")).alias("next")
     )
-    removes = F.col("op") == "delete"
-    gone = F.lit(None).cast("long")
 
-    def event(owner: Column) -> Column:
-        return F.struct("seq", owner.alias("owner"))
 
-    take = F.when(
-        ~removes,
-        F.struct(
-            F.col("symbol_pair").alias("symbol"),
-            F.when(F.col("ok"), event(F.col("entity"))).alias("event"),
-            F.lit(True).alias("main"),
-        ),
-    )
-    leave = F.when(
-        renames | removes,
-        F.struct(F.col("_from").alias("symbol"), event(gone).alias("event"), removes.alias("main")),
+def _holders(asked: DataFrame, save) -> tuple[DataFrame, int]:
+    """The takes (symbol, seq) that find their symbol free, and the steps it took.
+
+    They are what can be reached from the first take of each symbol along ``next``.
+    """
+    pointers = asked.where(F.col("next").isNotNull()).select("symbol", "seq", "next")
+    reached = save(asked.groupBy("symbol").agg(F.min("seq").alias("seq")), "reached=0")
+    steps = 0
+    while True:
+        far = pointers.withColumnRenamed("next", "to1")
+        for hop in range(1, HOPS):
+            step = pointers.select(
+                "symbol", F.col("seq").alias(f"to{hop}"), F.col("next").alias(f"to{hop + 1}")
+            )
+            far = far.join(step, ["symbol", f"to{hop}"], "left")
+        steps += 1
+        far = save(far.select("symbol", "seq", *[f"to{h}" for h in range(1, HOPS + 1)]), f"far={steps}")
+        passed = F.array_compact(F.array(*[F.col(f"to{h}") for h in range(1, HOPS)]))
+        more = reached.join(far, ["symbol", "seq"]).select("symbol", F.explode(passed).alias("seq"))
+        reached = save(reached.unionByName(more), f"reached={steps}")
+        pointers = far.where(F.col(f"to{HOPS}").isNotNull()).select(
+            "symbol", "seq", F.col(f"to{HOPS}").alias("next")
+        )
+        if pointers.isEmpty():
+            return reached, steps
+
+
+def _judged(asked: DataFrame, holders: DataFrame, cuts: Cuts) -> DataFrame:
+    """(seq, outcome) per take: it finds its symbol free, or held by its own row.
+
+    A take that does not find it free finds it with the last one that did: between
+    that row's leaving and the next taking there is no other take.
+    """
+    marked = asked.join(holders.withColumn("free", F.lit(True)), ["symbol", "seq"], "left")
+    holder = F.when(F.col("free"), F.struct("seq", "entity"))
+    rows = timeline(marked, "symbol", "seq", cuts).prior(_holder=holder).rows()
+    own = F.coalesce(F.col("_holder.entity") == F.col("entity"), F.lit(False))
+    return rows.where(F.col("seq") > BEGIN).select(
+        "seq", (F.col("free").isNotNull() | own).alias("outcome")
     )
-    kept = live.columns
-    rows = before.select(*kept, F.inline(F.array_compact(F.array(take, leave))))
-    rows = timeline(rows, "symbol", "seq", by_symbol).prior(_last=F.col("event")).rows()
-    holder = F.when(F.col("_last").isNull(), F.col("owner0")).otherwise(F.col("_last.owner"))
-    free = holder.isNull()
-    outcome = (
-        F.when(removes, True)
-        .when(F.col("op") == "update", free | (holder == F.col("id")))
-        .otherwise(free)
+
+
+def _resolved(live: DataFrame, last_id: int, limit: int) -> DataFrame:
+    """Give requests with fresh ids the create that is guessed to have made their id."""
+    creates = live.where((F.col("op") == "create") & F.col("ok")).select("seq")
+    made = number_rows(creates).select(
+        (F.col("position") + F.lit(last_id + 1)).alias("id"), F.col("seq").alias("_born")
     )
-    judged = compute_once(rows.where("main"), {"_outcome": outcome})
-    return judged.select(
-        *[c for c in kept if c not in ("ok", "moved")],
-        F.col("_outcome").alias("ok"),
-        (F.col("_outcome") != F.col("ok")).alias("moved"),
+    fresh = live.where("fresh").join(stored(made, "made"), "id", "left")
+    born = F.when(F.col("_born") < F.col("seq"), -F.col("_born") - 1)
+    fresh = fresh.withColumns({"was_entity": F.col("entity"), "entity": born})
+    gone = F.when((F.col("op") == "delete") & F.col("entity").isNotNull(), F.lit(1))
+    fresh = timeline(fresh, "id", "seq", None, limit).prior(_gone=gone).rows()
+    fresh = fresh.withColumn("_lives", F.col("entity").isNotNull() & F.col("_gone").isNull())
+    # a request that has just found its row is guessed anew, one that lost it fails
+    guess = F.when(F.col("alive"), F.col("ok")).otherwise(_guess())
+    fresh = fresh.withColumns(
+        {
+            "ok": F.col("_lives") & guess,
+            "moved": F.col("moved")
+            | ~F.col("entity").eqNullSafe(F.col("was_entity"))
+            | (F.col("_lives") != F.col("alive")),
+            "alive": F.col("_lives"),
+        }
     )
+    return live.where(~F.col("fresh")).unionByName(fresh.select(*live.columns))
+
+
+def _reach(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols whose outcomes may change, and the rows that name one of them."""
+    moved = live.where("moved")
+    rows = moved.select(F.explode(F.array("entity", "was_entity")).alias("entity"))
+    rows = rows.where(F.col("entity").isNotNull()).distinct()
+    named = F.explode(F.array_compact(F.array("symbol_pair", "home"))).alias("symbol")
+    symbols = live.join(rows, "entity", "left_semi").select(named)
+    symbols = symbols.unionByName(moved.select(named)).distinct()
+    owned = live.where(F.col("entity").isNotNull()).select("entity", named)
+    return symbols, owned.join(symbols, "symbol", "left_semi").select("entity").distinct()
 
 
 def apply_requests(
@@ -209,37 +299,78 @@ def apply_requests(
     one; ``rename_tombstones`` adds a delete event for it.  Each
     round is written to the shared scratch folder, so lost executors cost a
     re-read and not a replay of the earlier rounds.
+
+    A request may name an id that an earlier request of the log creates.  Ids of
+    the table are not negative.
     """
     spark = configs.sparkSession
     folder = scratch_path(spark, "requests")
 
     def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    staged = saved(_staged(configs, requests.withColumn("at", at)), "staged")
-    contested = (F.col("op") == "create") | F.col("alive")
+    last_id = configs.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
+    staged = saved(_staged(configs, requests.withColumn("at", at), last_id), "staged")
     # a create makes a row of its own; table ids are not negative
-    entity = F.when(F.col("op") == "create", -F.col("seq") - 1).otherwise(F.col("id"))
-    live = staged.where(~F.col("invalid") & contested).withColumns(
-        {"ok": _guess(), "moved": F.lit(True), "entity": entity}
+    entity = F.when(F.col("op") == "create", -F.col("seq") - 1).when(
+        ~F.col("fresh"), F.col("id")
     )
-    by_entity = hot_cuts(live, "entity", limit)
+    live = staged.where(~F.col("invalid") & (F.col("alive") | F.col("fresh"))).withColumns(
+        {
+            "ok": _guess() & F.col("alive"),
+            "moved": F.lit(True),
+            "entity": entity,
+            "was_entity": F.lit(None).cast("long"),
+        }
+    )
+    grows = not live.where("fresh").isEmpty()
+    by_entity = None if grows else hot_cuts(live, "entity", limit)
     by_symbol = hot_cuts(live, "symbol_pair", limit)
+    # who holds a symbol first counts as a take before all requests
+    first = live.where(F.col("owner0").isNotNull()).select(
+        F.col("symbol_pair").alias("symbol"),
+        F.col("owner0").alias("entity"),
+        F.lit(BEGIN).alias("seq"),
+        F.lit(True).alias("take"),
+    )
+    first = saved(first.distinct(), "first")
 
-    # Rounds without cut keys are a chain of two shuffles each: run a few per job.
-    chained = 1 if by_entity.hot is not None or by_symbol.hot is not None else ROUNDS_PER_JOB
-    rounds = 0
+    work: list[int] = []
+    steps = 0
     while True:
-        for _ in range(chained):
-            live = _round(live, by_entity, by_symbol)
-        rounds += chained
-        live = saved(live, f"round={rounds}")
-        if live.where("moved").isEmpty():
-            break
-
-    final = saved(_entity_before(live, by_entity), "final")
-    last_id = configs.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
+        name = f"round={len(work)}"
+        if grows:
+            live = saved(_resolved(live, last_id, limit), f"{name}/resolved")
+        known = F.col("entity").isNotNull() & F.col("alive")
+        active, symbols = live.where(known), None
+        if work:
+            if live.where("moved").isEmpty():
+                break
+            symbols, rows = _reach(live)
+            symbols, rows = saved(symbols, f"{name}/symbols"), saved(rows, f"{name}/rows")
+            active = active.join(rows, "entity", "left_semi")
+        moves = _moves(_entity_before(active, by_entity, limit)).unionByName(first)
+        if symbols is not None:
+            moves = moves.join(symbols, "symbol", "left_semi")
+        asked = saved(_asked(moves, by_symbol), f"{name}/asked")
+        holders, more = _holders(asked, lambda df, part: saved(df, f"{name}/{part}"))
+        steps += more
+        judged = saved(_judged(asked, holders, by_symbol), f"{name}/judged")
+        work.append(judged.count())
+        settled = live.join(judged, "seq", "left")
+        outcome = F.coalesce(F.col("outcome"), F.col("ok"))
+        # a create changes no other symbol; what it means for ids shows in the ids
+        flips = (outcome != F.col("ok")) & (F.col("op") == "update")
+        live = saved(
+            settled.withColumns({"moved": flips, "ok": outcome, "was_entity": F.lit(None).cast("long")})
+            .drop("outcome"),
+            f"{name}/live",
+        )
+
+    owned, lost = F.col("entity").isNotNull(), F.col("entity").isNull()
+    final = _entity_before(live.where(owned), by_entity, limit).drop("tried")
+    final = saved(final.unionByName(live.where(lost), allowMissingColumns=True), "final")
     created = number_rows(
         final.where((F.col("op") == "create") & F.col("ok"))
     ).withColumn("row_id", F.col("position") + F.lit(last_id + 1)).drop("position")
@@ -256,21 +387,24 @@ def apply_requests(
     outbox = outbox.withColumn("id", F.col("position") + F.lit(first_outbox_id)).select(
         "id", "event_id", "aggregatetype", "aggregateid", "type", "payload"
     )
-    return Applied(_new_table(configs, accepted), results, outbox, rounds)
+    return Applied(_new_table(configs, accepted), results, outbox, tuple(work), steps)
 
 
 def _results(staged: DataFrame, decided: DataFrame) -> DataFrame:
     status = F.lit(None).cast("int")
     for op, code in OK_STATUS.items():
         status = F.when(F.col("op") == op, code).otherwise(status)
+    missing = F.col("fresh") & ~F.col("alive")
     done = decided.select(
         "seq",
         "op",
         F.col("row_id").alias("id"),
-        F.when(F.col("ok"), status).otherwise(409).alias("status"),
-        F.when(~F.col("ok"), "DUPLICATE_SYMBOL_PAIR").alias("error_code"),
+        F.when(F.col("ok"), status).when(missing, 404).otherwise(409).alias("status"),
+        F.when(missing, "PRICE_CONFIG_NOT_FOUND")
+        .when(~F.col("ok"), "DUPLICATE_SYMBOL_PAIR")
+        .alias("error_code"),
     )
-    refused = staged.where(F.col("invalid") | ((F.col("op") != "create") & ~F.col("alive")))
+    refused = staged.where(F.col("invalid") | ~(F.col("alive") | F.col("fresh")))
     refused = refused.select(
         "seq",
         "op",

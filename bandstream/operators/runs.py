@@ -66,15 +66,19 @@ class Timeline:
     def rows(self) -> DataFrame:
         return self.df.drop(SEGMENT)
 
-    def prior(self, **values: Column) -> "Timeline":
+    def prior(self, within: tuple[str, ...] = (), **values: Column) -> "Timeline":
         """Add, per name, the maximum of the value over all earlier rows of the key.
 
+        ``within`` narrows that to the earlier rows with the same values in these
+        columns, without another shuffle; they must not be null.
+
         Nulls do not count; the result is null where no earlier row has a value.
         The row's own value is added too, as ``{name}_own``: it has to cross the
         shuffle anyway, so reading it there spares the columns it is made of.
         """
         df = self.df.withColumns({f"{name}_own": value for name, value in values.items()})
-        groups = [self.key, SEGMENT] if self.cut else [self.key]
+        key = [self.key, *within]
+        groups = [*key, SEGMENT] if self.cut else key
         before = (
             Window.partitionBy(*groups)
             .orderBy(self.seq)
@@ -84,18 +88,18 @@ class Timeline:
         if self.cut:
             ends = (
                 df.where(F.col(SEGMENT) > 0)
-                .groupBy(self.key, SEGMENT)
+                .groupBy(*key, SEGMENT)
                 .agg(*[F.max(f"{n}_own").alias(f"{n}_in") for n in values])
             )
             earlier = (
-                Window.partitionBy(self.key)
+                Window.partitionBy(*key)
                 .orderBy(SEGMENT)
                 .rowsBetween(Window.unboundedPreceding, -1)
             )
             carried = ends.withColumns(
                 {f"{n}_in": F.max(f"{n}_in").over(earlier) for n in values}
             )
-            out = out.join(carried, [self.key, SEGMENT], "left")
+            out = out.join(carried, [*key, SEGMENT], "left")
             out = out.withColumns({n: F.greatest(n, f"{n}_in") for n in values})
             out = out.drop(*[f"{n}_in" for n in values])
         return Timeline(out, self.key, self.seq, self.cut)

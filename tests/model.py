@@ -99,7 +99,7 @@ def apply_requests(configs, requests):
             table[fresh] = (r["symbol_pair"], r["delta_percent"])
             owner[r["symbol_pair"]] = fresh
             status[r["seq"]] = (201, fresh)
-        elif r["id"] not in configs or r["id"] not in table:
+        elif r["id"] not in table:
             status[r["seq"]] = (404, r["id"])
         elif r["op"] == "delete":
             del owner[table.pop(r["id"])[0]]

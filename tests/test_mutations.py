@@ -49,10 +49,10 @@ def random_requests(seed, size, ids=8, symbols=10):
 
 
 @pytest.mark.parametrize("sizes", [{}, {"limit": 3}], ids=["whole", "cut"])
-@pytest.mark.parametrize("seed,size", [(1, 40), (2, 90)])
-def test_same_as_one_after_the_other(spark, seed, size, sizes):
+@pytest.mark.parametrize("seed,size,ids", [(1, 40, 8), (2, 90, 8), (3, 90, 20)])
+def test_same_as_one_after_the_other(spark, seed, size, ids, sizes):
     configs = {i: (f"S{i}", Decimal(i)) for i in range(1, 9)}
-    rows = random_requests(seed, size)
+    rows = random_requests(seed, size, ids, symbols=14)
     want, end = model.apply_requests(configs, rows)
     done = apply(spark, configs, rows, **sizes)
     got = {r["seq"]: (r["status"], r["id"] if r["status"] != 409 or r["op"] != "create" else None) for r in done.results.collect()}
@@ -64,6 +64,69 @@ def test_same_as_one_after_the_other(spark, seed, size, sizes):
     assert [r["id"] for r in events] == list(range(1, len(accepted) + 1))
 
 
+def request(seq, op, row_id, symbol=None):
+    delta = None if op == "delete" else Decimal(seq % 9)
+    return {"seq": seq, "op": op, "id": row_id, "symbol_pair": symbol, "delta_percent": delta}
+
+
+def test_rows_created_in_the_same_log_can_be_updated_and_deleted(spark):
+    rows = [
+        request(1, "update", 2, "B"),  # not yet there
+        request(2, "create", None, "A"),  # taken
+        request(3, "create", None, "B"),  # 2
+        request(4, "update", 2, "C"),
+        request(5, "create", None, "B"),  # 3, free again
+        request(6, "update", 3, "C"),  # taken
+        request(7, "delete", 2),
+        request(8, "update", 3, "C"),
+        request(9, "delete", 2),  # gone
+        request(10, "update", 4, "D"),  # never there
+        request(11, "delete", 3),
+        request(12, "create", None, "C"),  # 4
+    ]
+    done = apply(spark, {1: ("A", Decimal(1))}, rows)
+    assert {r["seq"]: r["status"] for r in done.results.collect()} == {
+        1: 404, 2: 409, 3: 201, 4: 200, 5: 201, 6: 409, 7: 204, 8: 200, 9: 404, 10: 404, 11: 204, 12: 201,
+    }
+    assert {r["id"]: r["symbol_pair"] for r in done.configs.collect()} == {1: "A", 4: "C"}
+    removed = [r["payload"] for r in done.outbox.collect() if r["type"] == "PriceConfigDeleted"]
+    assert [p.split(",")[1] for p in sorted(removed)] == ['"symbolPair":"C"', '"symbolPair":"C"']
+
+
+def test_a_long_chain_on_one_symbol_takes_few_steps(spark):
+    """Each row takes the symbol and goes home again; every second try comes too early."""
+    count = 2500
+    configs = {i: (f"S{i}", Decimal(1)) for i in range(1, count + 1)}
+    rows = []
+    for i in range(1, count + 1):
+        rival = i % count + 1
+        rows += [
+            request(4 * i, "update", i, "HOT"),
+            request(4 * i + 1, "update", rival, "HOT"),
+            request(4 * i + 2, "update", i, f"S{i}"),
+            request(4 * i + 3, "update", rival, f"S{rival}"),
+        ]
+    want, end = model.apply_requests(configs, rows)
+    done = apply(spark, configs, rows, limit=3000)
+    assert {r["seq"]: (r["status"], r["id"]) for r in done.results.collect()} == want
+    assert {r["id"]: (r["symbol_pair"], r["delta_percent"]) for r in done.configs.collect()} == end
+    assert done.rounds + done.steps <= 20
+
+
+def test_rounds_read_less_and_less(spark):
+    configs = {i: (f"S{i}", Decimal(1)) for i in range(1, 61)}
+    # ten pairs: the second row moves to where the first one fails to leave
+    rows = []
+    for i in range(1, 21, 2):
+        rows += [request(10 * i, "update", i, "S60"), request(10 * i + 1, "update", i + 1, f"S{i}")]
+    rows += [request(1000 + i, "update", i, f"N{i}") for i in range(21, 60)]
+    want, _ = model.apply_requests(configs, rows)
+    done = apply(spark, configs, rows)
+    assert {r["seq"]: (r["status"], r["id"]) for r in done.results.collect()} == want
+    assert list(done.work) == sorted(done.work, reverse=True)
+    assert len(done.work) == 1 or done.work[-1] < done.work[0]
+
+
 def test_delete_carries_the_row_it_removed_and_updates_touch(spark):
     rows = [
         {"seq": 1, "op": "update", "id": 1, "symbol_pair": "B", "delta_percent": Decimal("2")},
