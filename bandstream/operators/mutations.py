@@ -245,7 +245,7 @@ def _judged(asked: DataFrame, holders: DataFrame, cuts: Cuts) -> DataFrame:
     )
 
 
-def _resolved(live: DataFrame, last_id: int, limit: int) -> DataFrame:
+def _resolved(live: DataFrame, last_id: int, by_id: Cuts) -> DataFrame:
     """Give requests with fresh ids the create that is guessed to have made their id."""
     creates = live.where((F.col("op") == "create") & F.col("ok")).select("seq")
     made = number_rows(creates).select(
@@ -255,7 +255,7 @@ def _resolved(live: DataFrame, last_id: int, limit: int) -> DataFrame:
     born = F.when(F.col("_born") < F.col("seq"), -F.col("_born") - 1)
     fresh = fresh.withColumns({"was_entity": F.col("entity"), "entity": born})
     gone = F.when((F.col("op") == "delete") & F.col("entity").isNotNull(), F.lit(1))
-    fresh = timeline(fresh, "id", "seq", None, limit).prior(_gone=gone).rows()
+    fresh = timeline(fresh, "id", "seq", by_id).prior(_gone=gone).rows()
     fresh = fresh.withColumn("_lives", F.col("entity").isNotNull() & F.col("_gone").isNull())
     # a request that has just found its row is guessed anew, one that lost it fails
     guess = F.when(F.col("alive"), F.col("ok")).otherwise(_guess())
@@ -325,7 +325,9 @@ def apply_requests(
         }
     )
     grows = not live.where("fresh").isEmpty()
-    by_entity = None if grows else hot_cuts(live, "entity", limit)
+    by_id = hot_cuts(live.where("fresh"), "id", limit) if grows else Cuts("id")
+    # rows made by the log differ per round: looked for anew if one of them is hot
+    by_entity = hot_cuts(live, "entity", limit) if by_id.hot is None else None
     by_symbol = hot_cuts(live, "symbol_pair", limit)
     # who holds a symbol first counts as a take before all requests
     first = live.where(F.col("owner0").isNotNull()).select(
@@ -341,7 +343,7 @@ def apply_requests(
     while True:
         name = f"round={len(work)}"
         if grows:
-            live = saved(_resolved(live, last_id, limit), f"{name}/resolved")
+            live = saved(_resolved(live, last_id, by_id), f"{name}/resolved")
         known = F.col("entity").isNotNull() & F.col("alive")
         active, symbols = live.where(known), None
         if work:

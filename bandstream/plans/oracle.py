@@ -423,10 +423,10 @@ script AS (
   SELECT [{{'seq': -1::BIGINT, 'op': '', 'id': 0::BIGINT, 'sym': '', 'bad': false,
            'owner': (SELECT map_from_entries(list((symbol_pair, id))) FROM named),
            'home': (SELECT map_from_entries(list((id, symbol_pair))) FROM named),
-           'done': []::INTEGER[]}}]
+           'last': (SELECT max(id) FROM cfg)::BIGINT, 'done': []::INTEGER[]}}]
     || list({{'seq': seq, 'op': op, 'id': id, 'sym': symbol_pair, 'bad': bad,
             'owner': MAP {{}}::MAP(VARCHAR, BIGINT), 'home': MAP {{}}::MAP(BIGINT, VARCHAR),
-            'done': []::INTEGER[]}} ORDER BY seq) AS steps
+            'last': 0::BIGINT, 'done': []::INTEGER[]}} ORDER BY seq) AS steps
   FROM checked
 ),
 played AS (
@@ -440,14 +440,16 @@ played AS (
         ELSE 409 END], lambda st: {{
       'seq': x.seq, 'op': x.op, 'id': x.id, 'sym': x.sym, 'bad': x.bad,
       'owner': CASE st
-        WHEN 201 THEN map_concat(acc.owner, MAP {{x.sym: 1000000000000 + x.seq}})
+        WHEN 201 THEN map_concat(acc.owner, MAP {{x.sym: acc.last + 1}})
         WHEN 200 THEN map_concat(acc.owner, MAP {{acc.home[x.id]: -1::BIGINT}}, MAP {{x.sym: x.id}})
         WHEN 204 THEN map_concat(acc.owner, MAP {{acc.home[x.id]: -1::BIGINT}})
         ELSE acc.owner END,
       'home': CASE st
+        WHEN 201 THEN map_concat(acc.home, MAP {{acc.last + 1: x.sym}})
         WHEN 200 THEN map_concat(acc.home, MAP {{x.id: x.sym}})
         WHEN 204 THEN map_concat(acc.home, MAP {{x.id: ''}})
         ELSE acc.home END,
+      'last': CASE st WHEN 201 THEN acc.last + 1 ELSE acc.last END,
       'done': list_append(acc.done, st::INTEGER)}})[1]).done AS done
   FROM script
 ),
@@ -465,13 +467,13 @@ outcome AS (
 accepted AS (
   SELECT o.seq, o.op, o.id,
     CASE WHEN op <> 'delete' THEN o.symbol_pair
-      ELSE coalesce(last_value(CASE WHEN op = 'update' THEN o.symbol_pair END IGNORE NULLS) OVER w,
+      ELSE coalesce(last_value(CASE WHEN op <> 'delete' THEN o.symbol_pair END IGNORE NULLS) OVER w,
                     cfg.symbol_pair) END AS symbol_pair,
     CASE WHEN op <> 'delete' THEN o.delta_percent
-      ELSE coalesce(last_value(CASE WHEN op = 'update' THEN o.delta_percent END IGNORE NULLS)
+      ELSE coalesce(last_value(CASE WHEN op <> 'delete' THEN o.delta_percent END IGNORE NULLS)
                     OVER w, cfg.delta_percent) END AS delta_percent,
     CASE WHEN op <> 'delete' THEN o.touched
-      ELSE coalesce(last_value(CASE WHEN op = 'update' THEN o.touched END IGNORE NULLS) OVER w,
+      ELSE coalesce(last_value(CASE WHEN op <> 'delete' THEN o.touched END IGNORE NULLS) OVER w,
                     cfg.touched) END AS touched
   FROM outcome o LEFT JOIN cfg ON o.id = cfg.id WHERE status < 300
   WINDOW w AS (PARTITION BY o.id ORDER BY seq)
@@ -479,6 +481,19 @@ accepted AS (
 
 MUTATIONS = f"WITH {EVENTS}, {REQUESTS}, {CONFIG_TABLE}, {SEQUENTIAL}"
 
+# The same log where creates take symbols of their own and ids above the table's are named.
+FRESH_REQUESTS = f"""
+{REQUESTS.replace("req AS", "plain_req AS")}, {CONFIG_TABLE.strip()},
+req AS (
+  SELECT seq, op, CASE WHEN op <> 'create' AND seq % 3 = 0
+                    THEN (SELECT max(id) FROM cfg) + 1 + seq // 16 ELSE id END AS id,
+    CASE WHEN op <> 'delete' AND length(symbol_pair) <= 32 AND seq % 2 = 0
+      THEN 'N' || (seq % (SELECT max(id) FROM cfg)) ELSE symbol_pair END AS symbol_pair,
+    delta_percent
+  FROM plain_req
+)"""
+FRESH_MUTATIONS = f"WITH {EVENTS}, {FRESH_REQUESTS}, {SEQUENTIAL}"
+
 
 def _ttl(expiry: str, as_of: int) -> str:
     return (
@@ -750,6 +765,17 @@ def oracle() -> dict[str, str]:
             UNION ALL
             SELECT id, symbol_pair, CAST(delta_percent AS DECIMAL(38,8))::VARCHAR, touched FROM cfg
             WHERE id NOT IN (SELECT id FROM accepted)""",
+        "mutation_fresh_results": f"""{FRESH_MUTATIONS}
+            SELECT seq, op, id, status, CASE status WHEN 400 THEN 'VALIDATION_FAILED'
+              WHEN 404 THEN 'PRICE_CONFIG_NOT_FOUND' WHEN 409 THEN 'DUPLICATE_SYMBOL_PAIR'
+              END AS error_code FROM outcome""",
+        "mutation_fresh_table": f"""{FRESH_MUTATIONS}
+            SELECT id, symbol_pair, CAST(delta_percent AS DECIMAL(38,8))::VARCHAR AS delta_percent,
+                   touched AS updated_at
+            FROM {_newest('accepted', 'seq DESC', 'id')} WHERE op <> 'delete'
+            UNION ALL
+            SELECT id, symbol_pair, CAST(delta_percent AS DECIMAL(38,8))::VARCHAR, touched FROM cfg
+            WHERE id NOT IN (SELECT id FROM accepted)""",
         "outbox_rows": f"""{MUTATIONS}
             SELECT row_number() OVER (ORDER BY seq) AS id, 'e-' || seq AS event_id,
                    'PRICE_CONFIG' AS aggregatetype, CAST(id AS VARCHAR) AS aggregateid,

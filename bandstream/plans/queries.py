@@ -573,10 +573,10 @@ def validation_errors(spark, sf_dir):
     return mutations.validation_errors(fixtures.requests(spark, sf_dir))
 
 
-def _applied(spark, sf_dir):
+def _applied(spark, sf_dir, log=fixtures.requests):
     return mutations.apply_requests(
         fixtures.config_table(spark, sf_dir),
-        fixtures.requests(spark, sf_dir),
+        log(spark, sf_dir),
         F.timestamp_millis(F.col("seq") * 1000 + MID_JANUARY),
         F.concat(F.lit("e-"), F.col("seq")),
     )
@@ -593,6 +593,17 @@ def mutation_table(spark, sf_dir):
     return table.withColumn("updated_at", text.epoch_millis(F.col("updated_at")))
 
 
+@query
+def mutation_fresh_results(spark, sf_dir):
+    return _applied(spark, sf_dir, fixtures.fresh_requests).results
+
+
+@query
+def mutation_fresh_table(spark, sf_dir):
+    table = _applied(spark, sf_dir, fixtures.fresh_requests).configs
+    return table.withColumn("updated_at", text.epoch_millis(F.col("updated_at")))
+
+
 @query
 def outbox_rows(spark, sf_dir):
     return _applied(spark, sf_dir).outbox

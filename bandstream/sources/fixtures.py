@@ -234,3 +234,24 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("symbol_pair"),
         F.when(bad, bad_delta).when(kind != "error", delta).cast("decimal(38,18)").alias("delta_percent"),
     )
+
+
+def fresh_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutation requests that also name ids which earlier ones of them create.
+
+    Creates take symbols of their own, and a third of the updates and deletes name
+    an id above those of the table, which may not be there yet, or not any more.
+    """
+    last = config_table(spark, sf_dir).agg(F.max("id")).first()[0]
+    own = F.concat(F.lit("N"), F.pmod("seq", F.lit(last)))
+    named = F.pmod("seq", F.lit(3)) == 0
+    later = F.lit(last + 1) + F.floor(F.col("seq") / 16)
+    return requests(spark, sf_dir).select(
+        "seq",
+        "op",
+        F.when((F.col("op") != "create") & named, later).otherwise(F.col("id")).alias("id"),
+        F.when((F.col("op") != "delete") & (F.length("symbol_pair") <= 32) & (F.pmod("seq", F.lit(2)) == 0), own)
+        .otherwise(F.col("symbol_pair"))
+        .alias("symbol_pair"),
+        "delta_percent",
+    )
