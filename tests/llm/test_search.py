@@ -303,6 +303,27 @@ def test_no_findings_to_learn_from():
     assert net.threshold > 1
 
 
+def test_network_learns_from_every_document(spark, folder, monkeypatch):
+    rows = secret_texts(300, 100)
+    # behind 20,000 characters, and many copies of one text
+    rows += [(400 + i, text_of(i, 4000) + " password: kX9" + "qW7z/" * (3 + i), None, None, None) for i in range(3)]
+    rows += [(500 + i, "see ticket-4821-open again", None, None, None) for i in range(400)]
+    folder.docs(rows)
+    docs = spark.read.parquet(f"{folder.path}/documents.parquet")
+    x, y, _ = secrets.labelled([r[1] for r in rows])
+    seen = secrets.training_windows(docs).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in seen} == {True: y.sum(), False: (y == 0).sum()}
+    monkeypatch.setattr(secrets, "SHARD_ROWS", 200)
+    net = secrets.learn(docs)
+    x, y = secrets.training_rows([r[1] for r in secret_texts(200, 90_000)])
+    found = net.probability(x) >= net.threshold
+    assert found[y > 0].mean() >= 0.9 and found[y == 0].mean() <= 0.05
+    # whatever the layout of the input
+    again = secrets.learn(docs.repartition(7))
+    assert np.array_equal(net.parameters(), again.parameters())
+    assert (net.threshold, net.precision) == (again.threshold, again.precision)
+
+
 @pytest.mark.parametrize("text", ["", "a", "é" * 300])
 def test_windows_of_any_text(text):
     assert secrets.window(text, 0, len(text)).shape == (secrets.WIDTH,)
