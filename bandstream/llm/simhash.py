@@ -240,8 +240,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the pipeline's stage ----------------------------------------------------
 #
-# Five-word shingles at a Jaccard similarity of 0.8 differ in about 10 of 64 bits,
-# which no ball of radius 2 can bridge.  The stage therefore finds candidates by
+# The first candidates are operator 6's: shingle sets whose 64-bit SimHashes meet in a
+# ball.  Five-word shingles at a Jaccard similarity of 0.8 differ in about 10 of 64
+# bits, which no ball of radius 2 can bridge.  What the balls cannot reach is found by
 # min-wise selected shingles: whatever the edit is (scattered words, a cut end, an
 # added paragraph), a minimum is shared with probability equal to the similarity.
 
@@ -338,6 +339,29 @@ def different_bits(a: str, b: str):
     return sum(parts[1:], parts[0])
 
 
+def ball_pairs(same: DataFrame) -> DataFrame:
+    """(u, v): shingle sets whose SimHashes ``s0`` operator 6 links, still to be compared.
+
+    Sets of one fingerprint meet at the smallest; as in the operator, a cell gives as
+    few links as keep its components.  Of its links a set brings the one with the
+    fewest different bits, so that a large group costs no more than its rows; what is
+    left out shares keys and is compared in the later rounds.
+    """
+    first = stored(same.groupBy("s0").agg(F.min("node").alias("head")), "distinct")
+    only = first.select(F.lit(0).alias("kind"), F.col("s0").alias("fp"))
+    met = links(only, cell_bits(first.count()))
+    for side in "uv":
+        heads = first.select(F.col("s0").alias(side), F.col("head").alias(f"node_{side}"))
+        met = met.join(heads, side)
+    bits = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("bits")
+    met = met.select(F.col("node_u").alias("u"), F.struct(bits, F.col("node_v").alias("v")).alias("p"))
+    own = same.join(first, "s0").where("node != head").select(
+        F.col("node").alias("u"), F.struct(F.lit(0).alias("bits"), F.col("head").alias("v")).alias("p")
+    )
+    best = met.unionByName(own).groupBy("u").agg(F.min("p").alias("p"))
+    return best.select("u", F.col("p.v").alias("v"))
+
+
 def meetings(same: DataFrame) -> DataFrame:
     """(key, node, s0..) for the keys that several shingle sets have."""
     sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
@@ -450,19 +474,25 @@ def all_links(meeting: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return squares.groupBy("key", "a", "b").applyInArrow(solve, "u long, v long").distinct()
 
 
-def linked(docs: DataFrame, same: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, same: DataFrame, balls: DataFrame | None = None) -> DataFrame:
     """Links (u, v) that give the components of all pairs at 0.8 or more.
 
     A pair is left out only when verified links already connect its two sides:
-    ``TURNS`` cheap rounds against a head join what is alike, and the last round
-    compares all that share a key with a member of another component.
+    the pairs ``balls`` and ``TURNS`` cheap rounds against a head join what is alike,
+    and the last round compares all that share a key with a member of another
+    component.
     """
     meeting = stored(meetings(same), "meeting")
-    sets = stored(shingle_sets(docs, same, meeting.select("node").distinct()), "shingles")
+    nodes = meeting.select("node")
+    if balls is not None:
+        nodes = nodes.union(balls.select("u")).union(balls.select("v"))
+    sets = stored(shingle_sets(docs, same, nodes.distinct()), "shingles")
     left = meeting.withColumn("root", F.col("node"))
     links = None
-    for turn in range(TURNS + 1):
-        if turn < TURNS:
+    for turn in range(-1 if balls is not None else 0, TURNS + 1):
+        if turn < 0:
+            found = alike(balls, sets)
+        elif turn < TURNS:
             found = alike(star_pairs(left, turn), sets)
         else:
             found = all_links(left, sets, BLOCK)
@@ -494,7 +524,7 @@ def keepers(docs: DataFrame) -> DataFrame:
         ),
         "classes",
     )
-    roots = components(linked(docs, same))
+    roots = components(linked(docs, same, stored(ball_pairs(same), "balls")))
     grouped = same.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
     return (

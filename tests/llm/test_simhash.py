@@ -153,6 +153,26 @@ def test_stage_finds_cut_and_appended_copies(spark, folder):
     assert kept_of(spark, folder, texts) == set(range(len(texts))) - copies
 
 
+def test_stage_meets_in_the_balls_of_the_operator(spark, folder, monkeypatch):
+    """Copies whose fingerprints meet are found by the balls alone, whatever their keys."""
+    texts, copies = [], set()
+    for g in range(30):
+        base = words(3000 + g, 600)
+        copy = [*base[:300], f"edit{g}", *base[301:]]
+        a, b = (simhash.profile(" ".join(t).encode())[2][0] for t in (base, copy))
+        if (a ^ b).bit_count() <= 2 * simhash.RADIUS:
+            copies.add(len(texts) + 1)
+        texts += [" ".join(base), " ".join(copy)]
+    assert len(copies) >= 10
+    draw = np.random.default_rng(1)
+    monkeypatch.setattr(
+        simhash, "profile", lambda t, real=simhash.profile: (
+            real(t)[0], draw.integers(0, 2**63, simhash.BANDS, dtype=np.uint64), real(t)[2]
+        )
+    )
+    assert copies <= set(range(len(texts))) - kept_of(spark, folder, texts)
+
+
 def test_stage_keeps_what_is_below_the_limit(spark, folder):
     """Pairs at a five-word Jaccard just below 0.8 are not near duplicates."""
     texts = []
