@@ -39,6 +39,17 @@ def test_the_limit_does_not_depend_on_the_table(spark):
     assert got.isEmpty()
 
 
+def test_a_low_limit_makes_segments_and_not_tasks(spark):
+    df = skewed(spark)
+    cuts = hot_cuts(df, "key", limit=10)
+    assert cuts.pieces == 2
+    segments = timeline(df, "key", "seq", cuts).df.where(F.col(SEGMENT) > 0).groupBy("key", SEGMENT).count()
+    sizes = [r["count"] for r in segments.collect()]
+    assert max(sizes) <= 10 and len(sizes) >= sum(sizes) / 10
+    got = timeline(df, "key", "seq", cuts).prior(m=F.col("seq")).rows()
+    assert got.where("key = 'HOT' AND m >= seq").isEmpty() and got.where("key = 'HOT' AND m IS NULL").count() == 1
+
+
 def test_running_maximum_is_the_same_with_and_without_cuts(spark):
     df = skewed(spark, 5000).withColumn("v", F.xxhash64("seq"))
     whole = timeline(df, "key", "seq").prior(m=F.col("v")).rows()
