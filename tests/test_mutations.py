@@ -203,3 +203,19 @@ def test_lookups(spark):
     got = {r["symbol_pair"]: (r["found"], r["id"]) for r in lookup(configs, keys).collect()}
     assert got == {"B": (True, 2), "Z": (False, None)}
     assert find_by(configs, "id", 1).first()["symbol_pair"] == "A"
+
+
+def test_a_log_cut_into_slices_has_the_same_outcomes(spark):
+    """Ids that earlier slices made are known in later ones, deleted rows stay gone."""
+    configs = {i: (f"S{i}", Decimal(i)) for i in range(1, 9)}
+    rows = random_requests(4, 120, 40, symbols=30)
+    want, end = model.apply_requests(configs, rows)
+    done = apply(spark, configs, rows, first_slice=8)
+    # at first only the first slice is judged
+    assert done.work[0] <= 8 + len(configs)
+    got = {r["seq"]: (r["status"], r["id"] if r["status"] != 409 or r["op"] != "create" else None) for r in done.results.collect()}
+    assert got == want
+    assert {r["id"]: (r["symbol_pair"], r["delta_percent"]) for r in done.configs.collect()} == end
+    accepted = sorted(s for s, (code, _) in want.items() if code < 300)
+    events = done.outbox.orderBy("id").collect()
+    assert [int(r["event_id"]) for r in events] == accepted
