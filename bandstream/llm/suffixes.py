@@ -427,8 +427,9 @@ def repeated_passages(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     # stored, because range partitioning reads its input twice
     suffixes = stored(suffix_rows(docs), "suffixes")
     pairs = neighbour_pairs(suffixes)
+    discard(suffixes)  # the pairs are stored
     found = stored(runs(neighbour_links(pairs)), "runs")
-    discard(suffixes)
+    discard(pairs)
     closed, reach = [], REACH
     while True:
         grown = extended(docs, found, reach)

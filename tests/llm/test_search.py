@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from glob import glob
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bandstream.llm import decontaminate, neighbours, secrets, suffixes, urlfilter
+from bandstream.session import scratch_path
 
 from .conftest import text_of, words
 
@@ -170,6 +172,24 @@ def test_neighbours_against_brute_force(spark, folder):
 # --- repeated passages --------------------------------------------------------
 
 
+def test_suffixes_and_pairs_are_deleted_as_soon_as_they_are_used(spark, folder, monkeypatch):
+    base = scratch_path(spark, "x").removeprefix("file:").rsplit("/", 1)[0]
+    there = lambda: {n for kind in ("suffixes", "neighbours") for n in glob(f"{base}/{kind}-*")}
+    before, during, links = there(), [], suffixes.neighbour_links
+
+    def watched(pairs):
+        during.extend(there() - before)
+        return links(pairs)
+
+    monkeypatch.setattr(suffixes, "neighbour_links", watched)
+    shared = words(7000, 80)
+    docs = [(i, " ".join(words(8000 + i, 30) + shared), None, None, None) for i in range(3)]
+    folder.docs(docs)
+    assert suffixes.op8_repeated_passages(spark, folder.path).count() >= 2
+    assert [n.rsplit("/", 1)[1].split("-")[0] for n in during] == ["neighbours"]
+    assert there() == before
+
+
 def test_passages_against_all_pairs(spark, folder):
     shared = [words(7000 + i, n) for i, n in enumerate((50, 51, 64, 120, 400, 40, 30))]
     draw, docs = random.Random(9), []
