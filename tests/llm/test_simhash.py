@@ -7,7 +7,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from bandstream.llm import simhash
+from bandstream.llm import graph, simhash
+from bandstream.llm.common import stored
 from bandstream.llm.graph import components
 
 from .conftest import text_of, words
@@ -83,6 +84,30 @@ def near_copy(text, at):
     return " ".join(parts)
 
 
+def test_small_graphs_take_no_rounds(spark, monkeypatch):
+    """Each round is a plan with some eight exchanges, which the driver holds."""
+    made = []
+    monkeypatch.setattr(graph, "stored", lambda df, label: made.append(1) or stored(df, label))
+    links = [(k + 1, k) for k in range(40)] + [(100, 101), (102, 101)]
+    got = components(spark.createDataFrame(links, "u long, v long")).collect()
+    assert sorted(map(tuple, got)) == [(k, 0) for k in range(1, 41)] + [(101, 100), (102, 100)]
+    assert len(made) == 1
+
+
+def test_rounds_over_the_stars_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_AT_ONCE", 3)
+    draw = random.Random(8)
+    links = [(draw.randrange(-400, 400), draw.randrange(-400, 400)) for _ in range(450)]
+    links += [(k, k + 1) for k in range(1000, 1200)] + [(k, 2000) for k in range(1500, 1600)]
+    draw.shuffle(links)
+    edges = spark.createDataFrame(links, "u long, v long").repartition(7)
+    got = [tuple(r) for r in components(edges.sortWithinPartitions("v")).collect()]
+    nodes = {n for link in links for n in link}
+    want = plain_components(links, nodes)
+    assert len(got) == len(set(got))
+    assert dict(got) == {n: r for n, r in want.items() if n != r}
+
+
 def test_query_against_all_pairs(spark, folder):
     texts = [text_of(i, 60 + i) for i in range(30)]
     texts += texts[:5] + [texts[3].upper()] + [near_copy(text_of(50, 2000), 100 * k) for k in range(12)]
