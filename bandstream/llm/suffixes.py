@@ -151,7 +151,7 @@ def suffix_rows(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("k"), text_bytes().alias("raw"))
+    rows = docs.select("doc_id", "k", text_bytes().alias("raw"))
     return rows.mapInArrow(run, fields(f"h long, e long, doc_id {kind}, k long, pos int"))
 
 
@@ -293,33 +293,39 @@ def runs(links: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, found: DataFrame, reach: int = REACH) -> DataFrame:
-    """For both sides of every run: digest of its words, hashes of ``reach`` words around."""
+    """For both sides of every run: digest of its words, hashes of ``reach`` words around.
+
+    ``here``, ``there``: it is the later or the earlier side of some run, so that a join
+    shuffles the contexts of its side only.
+    """
     asked = (
-        found.select("doc_id", "k", "start", "end")
+        found.select("doc_id", "k", "start", "end", F.lit(True).alias("here"))
         .unionByName(
             found.select(
                 F.col("to_id").alias("doc_id"),
                 F.col("to_k").alias("k"),
                 F.col("to_start").alias("start"),
                 F.col("to_end").alias("end"),
+                F.lit(False).alias("here"),
             )
         )
-        .distinct()
+        .groupBy("doc_id", "k", "start", "end")
+        .agg(F.max("here").alias("here"), F.max(~F.col("here")).alias("there"))
         .groupBy("doc_id", "k")
-        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        .agg(F.collect_list(F.struct("start", "end", "here", "there")).alias("spans"))
         .withColumnsRenamed({"doc_id": "asked_id", "k": "asked_k"})
     )
     # stored, so that its size is known: the few runs that read on need no shuffle of all texts
     asked = stored(asked, "asked")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("k"), text_bytes().alias("raw"))
+    texts = docs.select("doc_id", "k", text_bytes().alias("raw"))
     rows = texts.join(
         asked,
         F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("k") == F.col("asked_k")),
     ).select("doc_id", "k", "raw", "spans")
 
-    types = (None, pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3)
-    names = ["c_id", "c_k", "c_start", "c_end", "digest", "left", "right"]
+    types = (None, pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3, *[pa.bool_()] * 2)
+    names = ["c_id", "c_k", "c_start", "c_end", "digest", "left", "right", "here", "there"]
 
     def run(batches):
         known = WordHashes()
@@ -340,7 +346,8 @@ def contexts(docs: DataFrame, found: DataFrame, reach: int = REACH) -> DataFrame
                     digest = xxhash.xxh3_128_digest(b" ".join(words[a:b]))
                     left = short[max(0, a - reach) : a][::-1].tobytes()
                     right = short[b : b + reach].tobytes()
-                    out.append((doc_id, k, a, b, digest, left, right))
+                    sides = span["here"], span["there"]
+                    out.append((doc_id, k, a, b, digest, left, right, *sides))
                     size += len(left) + len(right)
                     if size > CONTEXT_BYTES:
                         yield packed(out)
@@ -351,9 +358,9 @@ def contexts(docs: DataFrame, found: DataFrame, reach: int = REACH) -> DataFrame
         run,
         fields(
             f"c_id {kind}, c_k long, c_start int, c_end int, "
-            "digest binary, left binary, right binary"
+            "digest binary, left binary, right binary, here boolean, there boolean"
         ),
-    ).distinct()
+    )
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -372,9 +379,10 @@ def extended(docs: DataFrame, found: DataFrame, reach: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     around = stored(contexts(docs, found, reach), "contexts")
 
-    def seen(suffix, doc, k, start, end):
-        names = {c: f"{c}{suffix}" for c in around.columns}
-        mine = around.withColumnsRenamed(names)
+    def seen(suffix, side, doc, k, start, end):
+        mine = around.where(side).drop("here", "there")
+        names = {c: f"{c}{suffix}" for c in mine.columns}
+        mine = mine.withColumnsRenamed(names)
         on = (
             F.col(doc).eqNullSafe(F.col(names["c_id"]))
             & (F.col(k) == F.col(names["c_k"]))
@@ -383,8 +391,8 @@ def extended(docs: DataFrame, found: DataFrame, reach: int) -> DataFrame:
         )
         return mine, on
 
-    both = found.join(*seen("_a", "doc_id", "k", "start", "end"))
-    both = both.join(*seen("_b", "to_id", "to_k", "to_start", "to_end"))
+    both = found.join(*seen("_a", "here", "doc_id", "k", "start", "end"))
+    both = both.join(*seen("_b", "there", "to_id", "to_k", "to_start", "to_end"))
     both = both.where("digest_a = digest_b").select(
         *RUN, "left_a", "left_b", "right_a", "right_b"
     )
@@ -417,13 +425,29 @@ def extended(docs: DataFrame, found: DataFrame, reach: int) -> DataFrame:
     return grown
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """doc_id, k, text: repeated rows only once; k tells apart documents of one doc_id.
+
+    k is 0 where a doc_id has one text, which is as good as always: eight bytes a suffix
+    that compress to nothing.  Only the rows of repeated ids are shuffled.
+    """
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = stored(repeated.withColumnRenamed("doc_id", "again"), "repeated")
+    here = F.col("doc_id").eqNullSafe(F.col("again"))
+    several = docs.join(repeated, here, "left_semi")
+    several = several.select("doc_id", F.xxhash64("text").alias("k"), "text")
+    several = several.dropDuplicates(["doc_id", "k"])
+    single = docs.join(repeated, here, "left_anti")
+    return single.select("doc_id", F.lit(0).cast("long").alias("k"), "text").unionByName(several)
+
+
 def repeated_passages(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, start, n_words, of_doc_id, of_start: passages that an earlier document has.
 
     ``shortest`` must be at least SHORTEST.  Scratch tables are deleted as soon as
     what was built from them is stored.
     """
-    docs = docs.select("doc_id", "text").where("text IS NOT NULL")
+    docs = once(docs.select("doc_id", "text").where("text IS NOT NULL"))
     # stored, because range partitioning reads its input twice
     suffixes = stored(suffix_rows(docs), "suffixes")
     pairs = neighbour_pairs(suffixes)

@@ -387,3 +387,23 @@ def test_secret_behind_harmless_characters_is_read(spark, folder):
     found = secrets.scan(spark.read.parquet(f"{folder.path}/documents.parquet"), net).collect()
     best = net.probability(np.array(seen)).max()
     assert (found[0]["spans"] != "") == (best >= net.threshold)
+
+
+def test_documents_of_one_id_are_told_apart_once(spark):
+    """Contexts and suffixes of repeated rows were made for every row, with a key for each."""
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "a"), (None, "c"), (3, "d")]
+    got = suffixes.once(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6 and {(r["doc_id"], r["text"]) for r in got} == set(rows)
+    assert {r["doc_id"] for r in got if r["k"] == 0} == {2, 3}
+    assert len({(r["doc_id"], r["k"]) for r in got}) == 6
+
+
+def test_a_join_reads_the_contexts_of_its_side(spark):
+    docs = [(k, f"w{k} " + " ".join(f"x{i}" for i in range(40))) for k in range(3)]
+    docs = suffixes.once(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = [(1, 0, 1, 41, 0, 0, 1, 41), (2, 0, 1, 41, 0, 0, 1, 41), (2, 0, 1, 41, 1, 0, 1, 41)]
+    kinds = ["long", "long", "int", "int"] * 2
+    found = spark.createDataFrame(found, ", ".join(map(" ".join, zip(suffixes.RUN, kinds))))
+    sides = {r["c_id"]: (r["here"], r["there"]) for r in suffixes.contexts(docs, found).collect()}
+    assert sides == {0: (False, True), 1: (True, True), 2: (True, False)}
+    assert len(suffixes.extended(docs, found, 8).collect()) == 3

@@ -1,8 +1,10 @@
+import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from bandstream.session import scratch_path, stored
+from bandstream.session import DROP_SHUFFLES, scratch_path, stored
 
 
 def session(master, setting=None, checkpoint=None):
@@ -35,3 +37,22 @@ def test_stored_rows_come_back(spark):
     again = stored(df, "numbers")
     assert sorted(map(tuple, again.collect())) == [(i, 2 * i) for i in range(5)]
     assert again.inputFiles() and again.schema.names == df.schema.names
+
+
+def test_stored_tables_drop_their_shuffles(spark):
+    """They stayed on disk until the driver collected its garbage."""
+
+    def held():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager()
+        blocks = manager.diskBlockManager().getAllBlocks()
+        names = {blocks.apply(i).name() for i in range(blocks.size())}
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before, setting = held(), spark.conf.get(DROP_SHUFFLES)
+    counted = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "k")
+    assert sorted(r["count"] for r in counted.collect())[0] == 142
+    until = time.time() + 10
+    while held() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not held() - before
+    assert spark.conf.get(DROP_SHUFFLES) == setting
