@@ -11,7 +11,8 @@ are groups; every token of ``A`` in a group is linked to every one of ``B``.
 
 No token of either side spans a place where a space follows another character,
 so a text is a sequence of units (spaces, then no spaces; spaces at the end belong
-to the last), and a unit met before is not encoded again.  A text with a unit that does not decode to itself is
+to the last), and a unit met before is not encoded again.  For the same reason short
+units are encoded many in one line and aligned together.  A text with a unit that does not decode to itself is
 encoded as a whole.
 
 How many documents hold an id pair linked is counted over the corpus:
@@ -54,6 +55,10 @@ BLOCK_BYTES = 4 << 20
 CACHE_UNITS = 150_000
 #: Units handed to the tokenizers at once.
 ENCODE_UNITS = 2000
+#: Characters of a unit that is encoded in one line with others, at most.
+JOINED_CHARS = 100
+#: Units below which a line that does not decode to itself is not cut further.
+FEW_UNITS = 50
 #: Links of a group above which repeated ids are counted before they are paired.
 MANY_LINKS = 64
 
@@ -89,7 +94,11 @@ class Aligner:
             bytes([int(piece[3:5], 16)]) if self.is_byte[i] else piece.replace("▁", " ").encode()
             for i, piece in enumerate(map(self.b.id_to_piece, range(self.size_b)))
         ]
+        self.a_width = np.zeros(self.size_a, dtype=np.int64)
+        self.a_width[list(self.a_bytes)] = [len(b) for b in self.a_bytes.values()]
+        self.b_width = np.array([len(b) for b in self.b_bytes])
         self.shows = [str(i) for i in range(max(self.size_a, self.size_b))]
+        self.shown = pa.array(self.shows)
         self.known = Generations(CACHE_UNITS)
 
     def spans(self, texts: list[str]):
@@ -198,12 +207,130 @@ class Aligner:
         return [known[t] for t in texts]
 
     def _learn(self, texts: list[str]) -> dict[str, Unit | None]:
-        found = {}
-        for at in range(0, len(texts), ENCODE_UNITS):
-            for row in self.spans(texts[at : at + ENCODE_UNITS]):
+        found, ascii, short, others = {}, [], [], []
+        for text in texts:
+            kind = others if not one_line(text) else ascii if text.isascii() else short
+            kind.append(text)
+        lines = [
+            kind[at : at + ENCODE_UNITS]
+            for kind in (ascii, short)
+            for at in range(0, len(kind), ENCODE_UNITS)
+        ]
+        while lines:
+            line = lines.pop()
+            made = self.line(line)
+            if made is not None:
+                found.update(zip(line, made))
+            elif len(line) > FEW_UNITS:  # some unit does not decode to itself
+                part = -(-len(line) // 8)
+                lines += [line[at : at + part] for at in range(0, len(line), part)]
+            else:
+                others += line
+        for at in range(0, len(others), ENCODE_UNITS):
+            for row in self.spans(others[at : at + ENCODE_UNITS]):
                 found[row[0]] = self.unit(*row)
         return found
 
+    def line(self, units: list[str]) -> list[Unit] | None:
+        """What :meth:`unit` gives, for short units encoded as one text.
+
+        None if the bytes do not join to the text or a unit does not end with tokens
+        of both sides.
+        """
+        text = "".join(units)
+        raw, left = text.encode(), self.a.encode(text, add_special_tokens=False)
+        right = self.b.encode(text[1:], return_type="proto", num_threads=1).pieces
+        a_ids, b_ids = left.ids, [p.id for p in right]
+        if b"".join([self.a_bytes[a] for a in a_ids]) != raw:
+            return None
+        if b"".join([self.b_bytes[b] for b in b_ids]) != raw:
+            return None
+        a_ids, b_ids = np.array(a_ids), np.array(b_ids)
+        a_ends, b_ends = np.cumsum(self.a_width[a_ids]), np.cumsum(self.b_width[b_ids])
+        unit_ends = np.cumsum([len(t) for t in units])
+
+        # coarse cuts: spans of both sides end, and neither goes on inside a character
+        if text.isascii():  # a character is a byte: every end counts, and none hides a cut
+            a_cuts = np.array([end for _, end in left.offsets])
+            b_cuts = np.array([p.end for p in right]) + 1  # one more for the leading space
+        else:
+            chars = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+            widths = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+            byte_at = np.concatenate([[0], np.cumsum(widths)])
+            unit_ends = byte_at[unit_ends]
+            spans = np.array(left.offsets)
+            whole = np.append(spans[1:, 0] >= spans[:-1, 1], True)
+            a_cuts = byte_at[spans[whole, 1]]
+            begin, end = np.array([p.begin for p in right]), np.array([p.end for p in right])
+            hidden = np.array(self.is_byte)[b_ids] & (begin == end)
+            whole = np.append((begin[1:] >= end[:-1]) & ~hidden[:-1], True)
+            b_cuts = end[whole] + 1
+        sides = (a_ends, b_ends)
+        if any((np.diff(side) <= 0).any() for side in (*sides, a_cuts, b_cuts)):
+            return None
+        ends = np.intersect1d(a_cuts, b_cuts, assume_unique=True)
+        # inside a stretch with several tokens on both sides: the decoded bytes
+        if not len(ends) or ends[-1] != len(raw):
+            return None
+        sizes = [np.diff(np.searchsorted(side, ends, "right"), prepend=0) for side in sides]
+        several = (sizes[0] > 1) & (sizes[1] > 1)
+        if several.any():
+            inside = [side[np.repeat(several, n)] for side, n in zip(sides, sizes)]
+            ends = np.union1d(ends, np.intersect1d(*inside, assume_unique=True))
+        for some, side in ((ends, a_ends), (ends, b_ends), (unit_ends, ends)):
+            found = np.searchsorted(side, some)
+            if found[-1] == len(side) or (side[found] != some).any():
+                return None
+        # token counts up to each group's end, and group counts up to each unit's end
+        a_at, b_at, at = (
+            np.concatenate([[0], np.searchsorted(whole, some, "right")])
+            for whole, some in ((a_ends, ends), (b_ends, ends), (ends, unit_ends))
+        )
+        joined = [
+            pc.binary_join(
+                pa.ListArray.from_arrays(groups.astype(np.int32), self.shown.take(pa.array(ids))), ","
+            )
+            for groups, ids in ((a_at, a_ids), (b_at, b_ids))
+        ]
+        groups = pc.binary_join_element_wise(*joined, "|")
+        shown = pc.binary_join(pa.ListArray.from_arrays(at.astype(np.int32), groups), ";")
+
+        n_a, n_b = np.diff(a_at), np.diff(b_at)
+        linked = n_a * n_b
+        group = np.repeat(np.arange(len(ends)), linked)
+        nth = np.arange(len(group)) - np.repeat(np.cumsum(linked) - linked, linked)
+        codes = a_ids[a_at[group] + nth // n_b[group]] * self.size_b
+        codes += b_ids[b_at[group] + nth % n_b[group]]
+        unit = np.repeat(np.arange(len(units)), np.diff(at))[group]
+        wide = self.size_a * self.size_b
+        pairs, times = np.unique(unit * wide + codes, return_counts=True)
+        n_pairs = np.bincount(pairs // wide, minlength=len(units))
+        n_links = np.bincount(unit, minlength=len(units))
+        again = n_pairs != n_links
+        sizes = 5 + n_pairs * (1 + again)
+        stops = np.cumsum(sizes)
+        begin = stops - sizes
+        numbers = np.empty(stops[-1], dtype="<i8")
+        counted = (np.diff(a_at[at]), np.diff(b_at[at]), np.diff(at), n_links, n_pairs)
+        for k, values in enumerate(counted):
+            numbers[begin + k] = values
+        numbers[_expand(begin + 5, n_pairs)] = pairs % wide
+        numbers[_expand((begin + 5 + n_pairs)[again], n_pairs[again])] = times[
+            np.repeat(again, n_pairs)
+        ]
+        data = numbers.tobytes()
+        cut = [data[8 * b : 8 * e] for b, e in zip(begin.tolist(), stops.tolist())]
+        return list(zip(shown.to_pylist(), cut))
+
+
+def one_line(unit: str) -> bool:
+    """A short unit behind one space, without other spaces or control characters but line ends."""
+    return (
+        1 < len(unit) <= JOINED_CHARS
+        and unit.rfind(" ") == 0
+        and (unit.isprintable() or unit.replace("\n", "").isprintable())
+    )
+
 
 @lru_cache(maxsize=2)
 def aligner(a_path: str, b_path: str) -> Aligner:

@@ -85,6 +85,38 @@ def test_texts_of_few_characters(tool, text):
     check(tool, text)
 
 
+def test_short_units_are_encoded_together(tool, monkeypatch):
+    """Calls of the tokenizers for each unit were most of the operator's time."""
+    units = [f" {w}{k}{end}" for k in range(300) for w, end in (("the", ""), ("é日", ","), ("a", "\nb"))]
+    units += [" a▁b", " ▁"]  # these do not decode to themselves
+    alone = [tool.unit(*row) for row in tool.spans(units)]
+    calls, spans = [], tool.spans
+    monkeypatch.setattr(tool, "spans", lambda texts: calls.extend(texts) or spans(texts))
+    found = tool._learn(units)
+    assert 2 <= len(calls) <= alignment.FEW_UNITS and {" a▁b", " ▁"} <= set(calls)
+
+    def read(unit):
+        n = np.frombuffer(unit[1], "<i8")
+        pairs, times = n[5 : 5 + n[4]], n[5 + n[4] :]
+        return unit[0], n[:5].tolist(), dict(zip(pairs, times if len(times) else [1] * len(pairs)))
+
+    assert alone[-2:] == [found[u] for u in units[-2:]] == [None, None]
+    assert [read(found[u]) for u in units[:-2]] == [read(u) for u in alone[:-2]]
+
+
+@given(st.lists(st.text(alphabet="abz'\n.é日\u0301ﬁ1,\U0001f600▁", min_size=1, max_size=6), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_units_of_a_line(tool, words):
+    """Where a line gives units, they are those that the units give alone."""
+    units = [f" {w}" for w in words if alignment.one_line(f" {w}")]
+    made = tool.line(units) if units else None
+    if made is not None:
+        alone = [tool.unit(*row) for row in tool.spans(units)]
+        assert [u[0] for u in made] == [u[0] for u in alone]
+        numbers = [[np.frombuffer(u[1], "<i8")[:5].tolist() for u in some] for some in (made, alone)]
+        assert numbers[0] == numbers[1]
+
+
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(alignment, "CACHE_UNITS", 3)
     tool = alignment.Aligner(*alignment.default_paths())
