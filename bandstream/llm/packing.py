@@ -12,8 +12,10 @@ end go to the next round, where they are some per cent of what the round had, an
 so on until one packer is enough (each round has at most half the packers of the
 one before); its open bins are the last.  Every round is stored, so that numbers stay what they are when a task runs again.
 
-Words between white space are independent for the tokenizer, so each worker
-encodes a word once with the library and remembers it.
+Words between white space are independent for the tokenizer, and so are their runs
+of letters, digits and other characters where lower case and composition are plain.
+Several megabytes of text are cut into such parts by arrays; each worker encodes a
+part once with the library, many in one line, and remembers it.
 
 Null texts are empty texts: one piece with the end token alone.  Equal rows are
 packed as rows of their own.  Documents without an id keep a null id.  No row of
@@ -23,10 +25,12 @@ an empty table gives no sequence.
 from __future__ import annotations
 
 import gc
+import os
 import re
 import zlib
-from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandstream.llm.common import Generations, fields, stored, table, text_bytes
+from bandstream.llm.common import fields, stored, table, text_bytes
 
 SIZE = 4096
 END = 1
@@ -43,39 +47,131 @@ END = 1
 OPEN_BINS = 1024
 #: Pieces dealt to a packer.
 TASK_PIECES = 100_000
-#: Words remembered per generation.
-CACHE_WORDS = 350_000
-
-#: Words of ASCII and Latin-1 letters, where lower case and composition are plain, in the
-#: parts that the tokenizer cuts them into; special tokens start with ``<|``.
-SIMPLE = re.compile(r"(?:(?!<\|)[\x00-\x7fÀ-ÖØ-öø-ÿ])+").fullmatch
-PARTS = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+"
-).findall
+#: Parts remembered, and their bytes; beyond either only those of the last chunk stay.
+CACHE_WORDS = 700_000
+CACHE_BYTES = 32 << 20
+#: Bytes of text cut and looked up at once.
+CHUNK_BYTES = 4 << 20
+#: Parts encoded in one line.
+LINE_PARTS = 200
+#: Texts or lines handed to the library at once.
+LIBRARY_TEXTS = 500
+
+SPACE, LETTER, DIGIT, OTHER, HARD = range(5)
+#: What a byte is.  ``HARD`` ones leave their word to the library as it stands.
+KINDS = np.full(256, OTHER, dtype=np.uint8)
+KINDS[[*b" \t\n\v\f\r"]] = SPACE
+KINDS[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = LETTER
+KINDS[[*b"0123456789"]] = DIGIT
+KINDS[[ord("'"), *range(0x80, 0x100)]] = HARD
+LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+
+#: Parts that are no hard words: these are one token sequence each, wherever they stand.
+PLAIN = re.compile(r"(?:(?!<\|)[\x00-&(-\x7fß-öø-ÿ])+").fullmatch
+
+
+def cut(raw: np.ndarray, stops: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The parts of the texts in ``raw`` (UTF-8, text k ends at ``stops[k]``), and how many each has.
+
+    A part is a run of letters in lower case, a digit or a run of other characters,
+    of ASCII and Latin-1 letters, where lower case and composition are plain.  Words
+    with other characters, apostrophes or ``<|``, which starts special tokens, are
+    hard: one part, unchanged.
+    """
+    kind, lower = KINDS[raw], LOWER[raw]
+    latin = np.flatnonzero(raw == 0xC3)  # leads U+00C0 to U+00FF
+    after = raw[latin + 1]
+    latin = latin[(after != 0x97) & (after != 0xB7)] + 1  # no × and ÷
+    kind[latin] = kind[latin - 1] = LETTER
+    upper = latin[raw[latin] < 0x9F]
+    lower[upper] |= 0x20
+    kind[:-1][(raw[:-1] == ord("<")) & (raw[1:] == ord("|"))] = HARD
+
+    first = np.zeros(len(raw) + 1, dtype=bool)
+    first[0], first[stops] = True, True
+    solid = kind != SPACE
+    begins = first[:-1] & solid
+    begins[1:] |= solid[1:] & ~solid[:-1]
+    begins = np.flatnonzero(begins)
+    if len(begins):
+        hard = begins[np.maximum.reduceat(kind, begins) == HARD]
+        ends = first[1:] & solid
+        ends[:-1] |= solid[:-1] & ~solid[1:]
+        ends = np.flatnonzero(ends)
+        edges = np.zeros(len(raw) + 1, dtype=np.int8)
+        edges[hard] = 1
+        edges[ends[np.searchsorted(ends, hard)] + 1] -= 1
+        inside = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+        kind[inside] = HARD
+        np.copyto(lower, raw, where=inside)
+
+    starts = first[:-1] | (kind == DIGIT)
+    starts[1:] |= kind[1:] != kind[:-1]
+    starts &= solid
+    per_text = np.diff(np.searchsorted(np.flatnonzero(starts), stops), prepend=0)
+    lower = lower[solid]
+    offsets = np.append(np.flatnonzero(starts[solid]), len(lower)).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(lower)]
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, buffers), per_text
 
 
 class Words:
-    """Encodes texts word by word with the tokenizers library."""
+    """Encodes texts part by part with the tokenizers library.
+
+    ``keys`` are the parts remembered, ``ids`` their token ids; as Arrow arrays they take
+    some 30 bytes a part.
+    """
 
     def __init__(self, path: str):
+        # A task has one core; the library's threads would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words, self.parts = Generations(CACHE_WORDS), Generations(CACHE_WORDS)
-
-    def _library(self, texts: list[str]) -> dict[str, bytes]:
-        rows = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return {t: array("I", row.ids).tobytes() for t, row in zip(texts, rows)}
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Encode words; those that differ in case and marks share their parts."""
-        cut = {w: PARTS(w.lower()) for w in missing if SIMPLE(w)}
-        parts = self.parts.get(list(set().union(*cut.values())), self._library)
-        found = self._library([w for w in missing if w not in cut])
-        part = parts.__getitem__
-        return found | {word: b"".join(map(part, found)) for word, found in cut.items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.keys, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+
+    def _library(self, texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), LIBRARY_TEXTS):
+            some = texts[at : at + LIBRARY_TEXTS]
+            for row in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                yield row.ids
+
+    def _lines(self, parts: list[str]) -> pa.ListArray | None:
+        """Encode plain parts many in one line; a token that ends a word ends a part."""
+        lines = [" ".join(parts[at : at + LINE_PARTS]) for at in range(0, len(parts), LINE_PARTS)]
+        ids = np.fromiter(chain.from_iterable(self._library(lines)), dtype=np.uint32)
+        ends = np.flatnonzero(self.last[ids]).astype(np.int32) + 1
+        if len(ends) != len(parts):
+            return None
+        return pa.ListArray.from_arrays(np.append(np.int32(0), ends), ids)
+
+    def _singly(self, parts: list[str]) -> pa.ListArray:
+        return pa.array(self._library(parts), pa.list_(pa.uint32()))
+
+    def _known(self, parts: pa.Array) -> pa.ListArray:
+        """The token ids of distinct ``parts``."""
+        at = pc.index_in(parts, value_set=self.keys)
+        missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        if len(missing):
+            texts = parts.take(pa.array(missing)).to_pylist()
+            hard = np.array([PLAIN(t) is None for t in texts])
+            missing = np.concatenate([missing[~hard], missing[hard]])
+            plain = [t for t, h in zip(texts, hard.tolist()) if not h]
+            others = [t for t, h in zip(texts, hard.tolist()) if h]
+            at = at.fill_null(0).to_numpy().copy()
+            at[missing] = len(self.keys) + np.arange(len(missing))
+            learnt = [self._lines(plain) or self._singly(plain), self._singly(others)]
+            self.keys = pa.concat_arrays([self.keys, parts.take(pa.array(missing))])
+            self.ids = pa.concat_arrays([self.ids, *learnt])
+        found = self.ids.take(at if isinstance(at, pa.Array) else pa.array(at))
+        if len(self.keys) > CACHE_WORDS or self.keys.nbytes > CACHE_BYTES:
+            self.keys, self.ids = parts, found  # the rest is forgotten
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts in one array, and how many each text has.
@@ -83,20 +179,16 @@ class Words:
         Texts are cut at ASCII white space; what else counts as white space is
         left to the library.
         """
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        found = self.words.get(words, self._learn)
-        packed = [found[w] for w in words]
-        sizes = np.array([len(p) >> 2 for p in packed], dtype=np.int64)
-        ids, at = np.frombuffer(b"".join(packed), dtype="<u4"), coded.indices.to_numpy()
-        taken = sizes[at]
-        ends = np.cumsum(taken)
-        total = int(ends[-1]) if len(ends) else 0
-        shift = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - taken), taken)
-        stops = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        per_text = np.diff(np.concatenate([[0], ends])[stops], prepend=0)
-        return ids[np.arange(total) + shift], per_text
+        if not len(texts):
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        at = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset :][: len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data or b"", dtype=np.uint8)[at[0] : at[-1]]
+        split, counts = cut(raw, at[1:] - at[0])
+        coded = split.dictionary_encode()
+        taken = self._known(coded.dictionary).take(coded.indices)
+        stops = taken.offsets.to_numpy()[np.cumsum(counts)]
+        return taken.flatten().to_numpy(), np.diff(stops, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -110,6 +202,20 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns (ids, texts) of batches, joined up to ``CHUNK_BYTES`` of text."""
+    held, size = [], 0
+    for batch in batches:
+        more = batch.column(1).nbytes
+        if held and size + more > CHUNK_BYTES:
+            yield [pa.concat_arrays(c) for c in zip(*held)]
+            held, size = [], 0
+        held.append((batch.column(0), batch.column(1).cast(pa.string())))
+        size += more
+    if held:
+        yield [pa.concat_arrays(c) for c in zip(*held)]
+
+
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -127,10 +233,10 @@ def pieces(
 
     def run(batches):
         gc.disable()  # a batch makes many short-lived lists and no cycles
-        for batch in batches:
-            ids_, sizes = words(path).encode(batch.column(1).cast(pa.string()))
+        for doc_ids, texts in chunks(batches):
+            ids_, sizes = words(path).encode(texts)
             rows, at = [], 0
-            for doc_id, n in zip(batch.column(0).to_pylist(), sizes.tolist()):
+            for doc_id, n in zip(doc_ids.to_pylist(), sizes.tolist()):
                 packed = ids_[at : at + n].tobytes() + end
                 at += n
                 for k, first in enumerate(range(0, n + 1, size)):

@@ -60,6 +60,58 @@ def test_small_cache(both, monkeypatch):
         assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
 
 
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_many_in_one_line(both):
+    ours, theirs = packing.Words(packing.default_path()), both[1]
+    ours.tokenizer = Counting(ours.tokenizer)
+    text = " ".join(f"{a}{b}{c}" for a in "bcdfgÉh" for b in "aeiouà" for c in map(chr, range(97, 123)))
+    ids, sizes = ours.encode(pa.array([text, text.upper(), text.title() + "."]))
+    assert ids.tolist() == ids_of(theirs, text) * 3 + ids_of(theirs, ".") and len(sizes) == 3
+    assert ours.tokenizer.texts <= 20  # of 1093 words
+
+
+PIECES = ["One", "two,", "don't", "L'ÉTÉ", "×", "a÷b", "ÿÀß", "x9y", "42", "日本", "e\u0301", "é\u0301", "<|", "|>",
+          "<|endoftext|>", "<|ENDOFTEXT|>", "a<b", "</w>", "\x1c", "\x85", "\u3000", "\ufb01", "İ", "!?", "\x00"]
+
+
+@given(st.lists(st.lists(st.sampled_from([*PIECES, " ", " ", "\n"]), max_size=12).map("".join), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_many_texts_in_one_buffer(both, texts):
+    ours, theirs = both
+    want = [ids_of(theirs, t) for t in texts]
+    for skipped in (0, 1):  # a slice keeps the buffers of the whole
+        ids, sizes = ours.encode(pa.array(texts, pa.string())[skipped:])
+        assert ids.tolist() == sum(want[skipped:], []) and sizes.tolist() == [len(w) for w in want[skipped:]]
+
+
+def test_vocabulary_without_marked_ends(both):
+    ours, theirs = packing.Words(packing.default_path()), both[1]
+    ours.last[:] = False
+    ids, _ = ours.encode(pa.array(["Plain words, not in a line"]))
+    assert ids.tolist() == ids_of(theirs, "Plain words, not in a line")
+
+
+def test_chunks_join_batches(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 100)
+    texts = ["x" * n for n in (5, 0, 300, 20, 20, 5)]
+    batches = [pa.record_batch({"i": [k], "t": pa.array([t.encode()])}) for k, t in enumerate(texts)]
+    empty = batches[0].slice(0, 0)
+    joined = list(packing.chunks([empty, *batches, empty]))
+    assert [len(ids) for ids, _ in joined] == [2, 1, 3]
+    assert [i for ids, _ in joined for i in ids.to_pylist()] == list(range(6))
+    assert [t for _, column in joined for t in column.to_pylist()] == texts
+
+
 def slow(lengths, size, limit):
     """The same rule over a sorted list of (free, number)."""
     bins, out, number = [], [], 0
